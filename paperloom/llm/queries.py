@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import leakage, lines, mixing, pairs
+from paperloom.llm import leakage, lines, mixing, pairs, quality, scan_noise, subjects
 from paperloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,37 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, folder, "paragraph_panel"))
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    panel = table(spark, folder, "paragraph_panel")
+    chain = subjects.train(panel, table(spark, folder, "subject_labels"), table(spark, folder, "paragraph_theme_prevalence_by_group"))
+    return subjects.subjects_of(panel, chain)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    themes = _subjects(spark, folder).select("paragraph_id", F.explode("subjects").alias("theme"))
+    return themes.join(quality.not_prose(table(spark, folder, "paragraph_panel")), "paragraph_id", "left_anti")
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_shares(_subjects(spark, folder))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.noise_outside_junk(table(spark, folder, "line_text"), table(spark, folder, "paragraph_panel"))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, folder, "line_text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(table(spark, folder, "paragraph_panel"))
+
+
+def p4_issues(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.issue_text_kinds(table(spark, folder, "paragraph_panel"), table(spark, folder, "corpus_issue_level_summary"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     found = pairs.pair_table(table(spark, folder, "paragraph_terms"), "paragraph_id", "node", "loaded_at")
     return found.associated().select("term_a", "term_b")
@@ -57,7 +88,7 @@ def p7_order(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_clean, p5_found, p5_pairs, p6_found, p6_clean, p7_found, p7_shares, p7_order)
+        for f in (p1_found, p1_clean, p2_found, p2_shares, p3_found, p3_paragraphs, p4_found, p4_issues, p5_found, p5_pairs, p6_found, p6_clean, p7_found, p7_shares, p7_order)
     }
 
 
