@@ -32,10 +32,10 @@ _BULLET = r"^\s*(?:[•*+·o–—-]\s+\d*\s*\p{L}|\d{1,3}\s*(?:[):]|-)\s*\p{Lu}
 _LEADER = r"(?:\.\s?){4,}\s*\d+\W*$"
 _DATED = rf"(?i)^(?:{MONTH})\p{{L}}{{0,6}}\.?\s+\d{{1,2}}\s*(?:[:,–-]|\.\.\.)\s*\p{{L}}"
 _NAMES = r"^(?:\p{Lu}[\p{L}'~|^]*(?:\s+\p{L}+)?,\s*)+\p{Lu}[\p{L}']*(?:\s+\p{L}+)?[;,.]?\s*$"
-_FOLIO = r"(?i)^\W*(?:p|pp|pg|page|pág|página)?\W*[\dOolI]{1,4}\W*$"
+_FOLIO = r"(?i)^\W*(?:p|pp|pg|page|pág|página)?\W*(?:[\dOolI]{1,4}|[ivxlc]{1,8})\W*$"
 _RUNNING = (
-    r"(?i)^\W*(?:page\s*\d+\s+\S.*|\d{1,4}\s*[/|*·-]\s*\S.*|.*\S\s*[*·|/]\s*\d{1,4}|.*\bvol\W*\d+.*|.*\bno\W*\d+"
-    r"|\p{L}{3,9}\s+1[89]\d\d\s+\S.*|.*[,–-]\s*\p{L}{3,9}\s+1[89]\d\d)\W*$"
+    r"(?i)^\W*(?:page\s*\d+\s+\S.*|\d{1,4}\s*[/|*·]\s*\S.*|.*\S\s*[*·|/]\s*\d{1,4}|.*\bvol\W*\d+.*|.*\bno\W*\d+"
+    r"|\S{3,9}\s+1[89]\d\d\s+\S.*|.*[,–-]\s*\S{3,9}\s+1[89]\d\d)\W*$"
 )
 #: No word of a running line stands in lower case but such joining words.
 _LOWER_WORD = r"(?<![\p{L}~|^,'.@])(?!(?:of|the|del|de|la|los|and|y|edition|vol|no|page)(?!\p{L}))\p{Ll}{3,}"
