@@ -27,28 +27,22 @@ MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|ene|abr|ago|dic"
 
 _CELL = r"(?:\$?\d[\d.,]*%?|n\.a\.|-)"
 #: A row of figures: at least two cells in a row, or a name and then cells behind separators, to the end of the line.
-_ROW = rf"^[^\d]{{0,40}}?(?:\d{{4}})?(?:(?:\s{{2,}}|\s*[|;]\s*|\t){_CELL}){{2,}}\s*$|^{_CELL}(?:\s+{_CELL})+$"
-_BULLET = r"^\s*(?:[•*+·o–—-]\s+\d*\s*\p{L}|\d{1,3}\s*(?:[):]|-)\s*\p{Lu})"
-_LEADER = r"(?:\.\s?){4,}\s*\d+\W*$"
-_DATED = rf"(?i)^(?:{MONTH})\p{{L}}{{0,6}}\.?\s+\d{{1,2}}\s*(?:[:,–-]|\.\.\.)\s*\p{{L}}"
-_NAMES = r"^(?:\p{Lu}[\p{L}'~|^]*(?:\s+\p{L}+)?,\s*)+\p{Lu}[\p{L}']*(?:\s+\p{L}+)?[;,.]?\s*$"
-_FOLIO = r"(?i)^\W*(?:p|pp|pg|page|pág|página)?\W*(?:[\dOolI]{1,4}|[ivxlc]{1,8})\W*$"
+_ROW = rf"(?m)^[^\d\n]{{0,40}}?(?:\d{{4}})?(?:(?:[^\S\n]{{2,}}|[^\S\n]*[|;][^\S\n]*|\t){_CELL}){{2,}}[^\S\n]*$|^{_CELL}(?:[^\S\n]+{_CELL})+$"
+_ITEM = (
+    r"(?m)^[^\S\n]*(?:[•*+·o–—-][^\S\n]+\d*[^\S\n]*\p{L}|\d{1,3}[^\S\n]*(?:[):]|-)[^\S\n]*\p{Lu})"
+    r"|(?:\.[^\S\n]?){4,}[^\S\n]*\d+[^\w\n]*$"
+    rf"|^(?i:{MONTH})\p{{L}}{{0,6}}\.?[^\S\n]+\d{{1,2}}[^\S\n]*(?:[:,–-]|\.\.\.)[^\S\n]*\p{{L}}"
+)
+_NAMES = r"(?m)^(?:\p{Lu}[\p{L}'~|^]*(?:[^\S\n]+\p{L}+)?,[^\S\n]*)+\p{Lu}[\p{L}']*(?:[^\S\n]+\p{L}+)?[;,.]?[^\S\n]*$"
+_FOLIO = r"(?mi)^[^\w\n]*(?:p|pp|pg|page|pág|página)?[^\w\n]*(?:[\dOolI]{1,4}|[ivxlc]{1,8})[^\w\n]*$"
 _RUNNING = (
-    r"(?i)^\W*(?:page\s*\d+\s+\S.*|\d{1,4}\s*[/|*·]\s*\S.*|.*\S\s*[*·|/]\s*\d{1,4}|.*\bvol\W*\d+.*|.*\bno\W*\d+"
-    r"|\S{3,9}\s+1[89]\d\d\s+\S.*|.*[,–-]\s*\S{3,9}\s+1[89]\d\d)\W*$"
+    r"(?mi)^[^\w\n]*(?:page[^\S\n]*\d+[^\S\n]+\S.*|\d{1,4}[^\S\n]*[/|*·][^\S\n]*\S.*|.*\S[^\S\n]*[*·|/][^\S\n]*\d{1,4}|.*\bvol[^\w\n]*\d+.*|.*\bno[^\w\n]*\d+"
+    r"|\S{3,9}[^\S\n]+1[89]\d\d[^\S\n]+\S.*|.*[,–-][^\S\n]*\S{3,9}[^\S\n]+1[89]\d\d)[^\w\n]*$"
 )
-#: No word of a running line stands in lower case but such joining words.
+#: Words in lower case, but for those that join the words of a title.
 _LOWER_WORD = r"(?<![\p{L}~|^,'.@])(?!(?:of|the|del|de|la|los|and|y|edition|vol|no|page)(?!\p{L}))\p{Ll}{3,}"
-
-
-def statistics(text: str = "paragraph_text", norm: str = "paragraph_text_norm") -> dict[str, Column]:
-    """The statistics by name. `text` holds the lines, `norm` the normalised text; where norm is null, the text in lower case is used."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    low = F.coalesce(F.col(norm), F.lower(raw))
-    lines = F.filter(F.split(raw, "\n"), lambda x: F.trim(x) != "")
-    words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
-    tokens = F.filter(F.split(low, r"\s+"), lambda x: x != "")
-    return {"raw": raw, "low": low, "lines": lines, "words": words, "tokens": tokens}
+_VOWELLESS = r"(?<!\p{L})[\p{L}&&[^aeiouyáéíóúü]]{2,}(?!\p{L})"
+_MIXED = r"\p{L}\d+\p{L}|[Ãâï¿§¬]|(?<=\s)[^\p{L}\p{N}\s]{1,3}(?=\s|$)|[^\p{L}\p{N}\s]{2,}(?=\s|$)"
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -58,43 +52,58 @@ def _share(part: Column, whole: Column) -> Column:
 def with_statistics(panel: DataFrame) -> DataFrame:
     """Adds the statistics of each row: counts of words, lines and characters, mean word length, and shares from 0 to 1.
 
+    The lines are those of paragraph_text; the words those of paragraph_text_norm, or of the text in lower case where that is null.
     Null and empty texts have counts and shares of 0. Columns: n_words, n_tokens, n_lines, n_chars, mean_word_length, symbol_share,
-    digit_share, common_share, n_common_kinds, end_share, vowelless_share, run_share, mixed_share, odd_share, row_share, cell_share,
-    item_share, names_share, bare_share, running_share, folio, lower_words.
+    digit_share, common_share, n_common, n_common_kinds, end_share, vowelless_share, run_share, mixed_share, row_share, cell_share,
+    item_share, names_share, running_share, folio, lower_words. Patterns that can only match some texts, such as rows of figures, are
+    tried only on those: rows and cells where a figure or dash stands, names where there are as many commas as lines, running lines
+    on up to three lines, words in lower case where function words are few.
     """
-    base = panel.withColumns({f"_{k}": v for k, v in statistics().items()})
-    low, raw, lines, words, tokens = (F.col(f"_{k}") for k in ("low", "raw", "lines", "words", "tokens"))
-    n_lines, n_words, n_tokens = F.size(lines), F.size(words), F.size(tokens)
-    long_words = F.filter(words, lambda w: F.length(w) >= 2)
-    of_lines = lambda pattern: _share(F.size(F.filter(lines, lambda x: F.trim(x).rlike(pattern))), n_lines)
-    of_tokens = lambda pattern: _share(F.size(F.filter(tokens, lambda x: x.rlike(pattern))), n_tokens)
-    common = F.filter(words, lambda w: w.isin(COMMON))
-    out = base.withColumns(
+    raw, low = F.col("_raw"), F.col("_low")
+    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
+    c = F.col
+    base = panel.withColumns({"_raw": F.coalesce("paragraph_text", F.lit("")), "_low": F.coalesce("paragraph_text_norm", F.lower("paragraph_text"), F.lit(""))})
+    base = base.withColumn("_words", F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))
+    base = base.withColumns(
         {
-            "n_words": n_words,
-            "n_tokens": n_tokens,
-            "n_lines": n_lines,
+            "n_words": F.size("_words"),
+            "n_tokens": count(low, r"\S+"),
+            "n_lines": count(raw, r"(?m)^.*\S"),
             "n_chars": F.length(low),
-            "mean_word_length": _share(F.length(F.array_join(words, "")), n_words),
-            "symbol_share": _share(F.regexp_count(low, F.lit(r"[^\p{L}\p{N}\s.,;:'\"()-]")), F.length(low)),
-            "digit_share": _share(F.regexp_count(low, F.lit(r"\p{N}")), F.length(low)),
-            "common_share": _share(F.size(common), n_words),
-            "n_common_kinds": F.size(F.array_distinct(common)),
-            "end_share": of_lines(r"[.!?]\W*$"),
-            "vowelless_share": _share(F.size(F.filter(long_words, lambda w: ~w.rlike("[aeiouyáéíóúü]"))), F.size(long_words)),
-            "run_share": of_tokens(r"(\p{L})\1\1|[-–—]{4}"),
-            "mixed_share": of_tokens(r"\p{L}\d+\p{L}|^\d\p{L}+\d|[^\p{L}\p{N}\s]{2,}$|^[^\p{L}\p{N}\s$]{1,3}$|[Ãâï¿§¬]"),
-            "row_share": of_lines(_ROW),
-            "cell_share": of_tokens(rf"^{_CELL}[;|]?$"),
-            "item_share": of_lines(f"{_BULLET}|{_LEADER}|{_DATED}"),
-            "names_share": of_lines(_NAMES),
-            "bare_share": _share(F.size(F.filter(lines, lambda x: ~F.lower(x).rlike(rf"(?<!\p{{L}})(?:{'|'.join(COMMON[:24])})(?!\p{{L}})"))), n_lines),
-            "running_share": of_lines(f"{_RUNNING}|{_FOLIO}"),
-            "folio": of_lines(_FOLIO),
-            "lower_words": F.regexp_count(raw, F.lit(_LOWER_WORD)),
+            "_common": F.filter("_words", lambda w: w.isin(COMMON)),
+            "_digits": F.length(low) - F.length(F.translate(low, "0123456789", "")),
+            "_letters": F.length(F.array_join("_words", "")),
+            "_commas": F.length(raw) - F.length(F.translate(raw, ",", "")),
+        }
+    )
+    base = base.withColumns(
+        {
+            "mean_word_length": _share(c("_letters"), c("n_words")),
+            "digit_share": _share(c("_digits"), c("n_chars")),
+            "n_common": F.size("_common"),
+            "common_share": _share(F.size("_common"), c("n_words")),
+            "n_common_kinds": F.size(F.array_distinct("_common")),
+            "symbol_share": _share(F.length(low) - F.length(F.regexp_replace(low, r"[^\p{L}\p{N}\s.,;:'\"()-]+", "")), c("n_chars")),
+            "vowelless_share": _share(count(low, _VOWELLESS), c("n_words")),
+            "run_share": _share(count(low, r"(\p{L})\1\1\S*|[-–—]{4,}"), c("n_tokens")),
+            "mixed_share": _share(count(low, _MIXED), c("n_tokens")),
+            "end_share": _share(count(raw, r"(?m)[.!?][^\w\n]*$"), c("n_lines")),
+        }
+    )
+    figures = (c("digit_share") > 0) | F.contains(raw, F.lit("-"))
+    few = (c("common_share") < 0.14) | (c("n_lines") <= 2)
+    out = base.withColumns(
+        {
+            "row_share": F.when(figures & few, _share(count(raw, _ROW), c("n_lines"))).otherwise(0.0),
+            "cell_share": F.when(figures & few, _share(count(low, rf"(?<!\S){_CELL}[;|]?(?!\S)"), c("n_tokens"))).otherwise(0.0),
+            "item_share": _share(count(raw, _ITEM), c("n_lines")),
+            "names_share": F.when(few & (c("_commas") >= c("n_lines")), _share(count(raw, _NAMES), c("n_lines"))).otherwise(0.0),
+            "running_share": F.when(c("n_lines").between(1, 3), _share(count(raw, f"{_RUNNING}|{_FOLIO}"), c("n_lines"))).otherwise(0.0),
+            "folio": F.when(c("n_lines") == 1, count(raw, _FOLIO)).otherwise(0),
+            "lower_words": F.when(few, count(raw, _LOWER_WORD)).otherwise(c("n_words")),
         }
     )
-    return out.drop("_low", "_raw", "_lines", "_words", "_tokens")
+    return out.drop("_low", "_raw", "_words", "_common", "_digits", "_letters", "_commas")
 
 
 def labelling_functions() -> list[tuple[str, str, Column]]:
@@ -108,12 +117,12 @@ def labelling_functions() -> list[tuple[str, str, Column]]:
         ("sentence_end", "prose", (c("end_share") > 0) & (c("n_words") >= 3) & (c("item_share") < 0.4) & (c("common_share") > 0)),
         ("item_lines", "list", (c("item_share") >= 0.45) & (c("row_share") < 0.5)),
         ("name_lines", "list", (c("names_share") >= 0.4) & (c("n_lines") >= 2) & (c("lower_words") <= 2)),
-        ("bare_short_lines", "list", (c("n_lines") >= 2) & (c("bare_share") >= 0.7) & (c("mixed_share") < 0.25) & (c("row_share") < 0.4) & (c("vowelless_share") < 0.35) & (c("run_share") < 0.12) & (c("symbol_share") < 0.1)),
+        ("bare_short_lines", "list", (c("n_lines") >= 2) & (c("n_common") <= 0.3 * c("n_lines")) & (c("mixed_share") < 0.25) & (c("row_share") < 0.4) & (c("vowelless_share") < 0.35) & (c("run_share") < 0.12) & (c("symbol_share") < 0.1)),
         ("figure_rows", "tabular", (c("row_share") >= 0.5) & (c("n_lines") >= 2)),
         ("figure_cells", "tabular", (c("cell_share") >= 0.34) & (c("n_lines") >= 2)),
         ("no_vowels", "junk", (c("vowelless_share") >= 0.35) & (c("n_tokens") >= 3) & (c("item_share") < 0.5)),
         ("symbols", "junk", (c("symbol_share") >= 0.12) & (c("row_share") < 0.5)),
-        ("mixed_tokens", "junk", (c("mixed_share") >= 0.25) & (c("cell_share") < 0.3) & (c("item_share") < 0.5)),
+        ("mixed_tokens", "junk", (c("mixed_share") >= 0.25) & (c("running_share") == 0) & (c("cell_share") < 0.3) & (c("item_share") < 0.5)),
         ("letter_runs", "junk", c("run_share") >= 0.12),
         ("no_known_word", "junk", (c("common_share") == 0) & (c("n_tokens") >= 4) & (c("item_share") < 0.3) & (c("cell_share") < 0.2) & (c("names_share") < 0.3) & (c("running_share") < 1)),
         ("page_number", "furniture", c("folio") == 1),

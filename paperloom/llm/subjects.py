@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Labelled paragraphs that the chain is fitted on at most, and features it may use; the sample is the smallest by hash of the id.
-MAX_LABELLED = 8000
-MAX_FEATURES = 6144
+MAX_LABELLED = 5000
+MAX_FEATURES = 4096
 #: Standard deviations by which a feature must stand more often with some subject than by chance.
 MIN_TELL = 4.0
 #: A mark whose probability is below this is taken for a slip of the hand and left out of the last fit.
@@ -28,25 +28,32 @@ BEAM = 8
 
 # Letters and figures that scanning takes for one another, by the letter that stands for them all.
 GLYPHS = str.maketrans({"0": "o", "1": "l", "|": "", "5": "s", "9": "g", "@": "a", "i": "l", "(": "c", "h": "b", "f": "t", "e": "c", "v": "y", "~": "", "^": "", "8": "b", "6": "b"})
-_CUT = re.compile(r"[-‐‑¬­][^\S\n]*\n\s*")
-_INSIDE = re.compile(r"(?<=\w)[.,'’~^|](?=\w)|­")
-_TOKEN = re.compile(r"[^\W_]+(?:[@(][^\W_]+)*")
-_SENTENCE = re.compile(r"(?<=[a-záéíóúñ0-9)][.!?])\s+(?=[A-ZÁÉÍÓÚÑ¿¡\"])")
+_CUT = re.compile("[-\u2010\u2011\u00ac\u00ad][^\\S\n]*\n\\s*")
+_INSIDE = re.compile("(?<=\\w)[.,'’~^|](?=\\w)|\u00ad")
+_TOKEN = re.compile(r"[^\W_]+(?:[@(][^\W_]+)*|[.!?](?=\s|$)")
 
 
 def skeleton(word: str) -> str:
-    """The word with confusable glyphs made one: rn as m, cl as d, ri as n, and single letters by GLYPHS."""
-    return word.translate(GLYPHS).replace("rn", "m").replace("cl", "d").replace("rl", "n")
+    """The word with confusable glyphs made one: rn as m, cl as d, ri as n, and single letters by GLYPHS; the end of a sentence is empty."""
+    return "" if word in ".!?" else word.translate(GLYPHS).replace("rn", "m").replace("cl", "d").replace("rl", "n")
+
+
+def tokens(text: str) -> list[str]:
+    """Words in lower case and ends of sentences; words cut at a line's end are put together."""
+    return _TOKEN.findall(_INSIDE.sub("", _CUT.sub("", text)).lower())
 
 
 def terms(text: str) -> list[str]:
-    """Skeletons of the words in order, words cut at a line's end put together, sentence borders as None."""
-    whole = _INSIDE.sub("", _CUT.sub("", text))
-    out: list[str] = []
-    for sentence in _SENTENCE.split(whole):
-        out += [skeleton(w) for w in _TOKEN.findall(sentence.lower()) if not w.isdigit()]
-        out.append("")
-    return out
+    """Skeletons of the words in order, without figures; ends of sentences are empty."""
+    return [skeleton(w) for w in tokens(text) if not w.isdigit()]
+
+
+def source_of(source: str | None) -> str:
+    return "source:" + re.sub(r"[\d_.]+.*$", "", source or "")
+
+
+def shape(text: str, n_sentences: int) -> tuple[str, str]:
+    return f"sentences:{min(n_sentences, 6)}", f"lines:{min(text.count(chr(10)) // 3, 5)}"
 
 
 def features(text: str | None, source: str | None) -> set[str]:
@@ -56,9 +63,8 @@ def features(text: str | None, source: str | None) -> set[str]:
     found.discard("")
     found.update(f"{a} {b}" for a, b in zip(ws, ws[1:]) if a and b)
     found.update(f"{a} {b} {c}" for a, b, c in zip(ws, ws[1:], ws[2:]) if a and b and c)
-    found.add("source:" + re.sub(r"[\d_.]+.*$", "", source or ""))
-    found.add(f"sentences:{min(ws.count(''), 6)}")
-    found.add(f"lines:{min((text or '').count(chr(10)) // 3, 5)}")
+    found.add(source_of(source))
+    found.update(shape(text or "", ws.count("")))
     return found
 
 
@@ -74,13 +80,60 @@ class Chain:
     scale: np.ndarray
     shift: np.ndarray
 
-    def matrix(self, rows: list[set[str]]) -> np.ndarray:
+    def prepare(self) -> None:
+        """Numbers the words of the features, and files features of two and three words under one number each."""
+        parts = [(f.split(" "), i) for f, i in self.index.items() if ":" not in f]
+        self.word_ids = {w: n for n, w in enumerate(sorted({w for ws, _ in parts for w in ws}), 1)}
+        self.end, self.base = len(self.word_ids) + 1, len(self.word_ids) + 2
+        self.one = np.full(self.base, -1)
+        grams: tuple[dict, dict] = {}, {}
+        for ws, i in parts:
+            ids = [self.word_ids[w] for w in ws]
+            if len(ids) == 1:
+                self.one[ids[0]] = i
+            else:
+                grams[len(ids) - 2][sum(x * self.base**k for k, x in enumerate(ids))] = i
+        self.grams = [(np.array(sorted(g), dtype=np.int64), np.array([g[k] for k in sorted(g)], dtype=np.int64)) for g in grams]
+        self.memo: dict[str, int] = {}
+
+    def number(self, word: str) -> int:
+        """The word's number, 0 if no feature has it, -1 for figures."""
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        n = self.memo[word] = self.end if word in ".!?" else -1 if word.isdigit() else self.word_ids.get(skeleton(word), 0)
+        return n
+
+    def matrix(self, texts: list[str | None], sources: list[str | None]) -> np.ndarray:
         """Scores without links: one row a paragraph, one column a subject."""
-        get, out = self.index.get, np.tile(self.bias, (len(rows), 1))
-        for r, found in enumerate(rows):
-            at = [i for i in map(get, found) if i is not None]
-            if at:
-                out[r] += self.weights[at].sum(axis=0)
+        if not hasattr(self, "memo"):
+            self.prepare()
+        flat, starts, rows, cols = [], [], [], []
+        for r, (text, source) in enumerate(zip(texts, sources, strict=True)):
+            starts.append(len(flat))
+            numbers = [self.memo[w] if w in self.memo else self.number(w) for w in tokens(text or "")]
+            numbers = [n for n in numbers if n >= 0]
+            flat += numbers
+            flat.append(0)
+            for f in (source_of(source), *shape(text or "", numbers.count(self.end))):
+                if f in self.index:
+                    rows.append(r)
+                    cols.append(self.index[f])
+        ids = np.array(flat, dtype=np.int64)
+        row_of = np.repeat(np.arange(len(texts)), np.diff([*starts, len(flat)]))
+        found = [(row_of, self.one[ids])]
+        for n, (keys, columns) in enumerate(self.grams, 2):
+            if len(keys) and len(ids) >= n:
+                key = sum(ids[k : len(ids) - n + 1 + k] * self.base**k for k in range(n))
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found.append((row_of[: len(key)], np.where(keys[at] == key, columns[at], -1)))
+        r = np.concatenate([np.array(rows, dtype=np.int64), *(x for x, _ in found)])
+        c = np.concatenate([np.array(cols, dtype=np.int64), *(x for _, x in found)])
+        pairs = np.unique(r[c >= 0] * len(self.index) + c[c >= 0])
+        out = np.tile(self.bias, (len(texts), 1))
+        if len(pairs):
+            r, c = np.divmod(pairs, len(self.index))
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            out[r[first]] += np.add.reduceat(self.weights[c], first, axis=0)
         return out
 
     def decode(self, scores: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +171,7 @@ def _fit(x: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int, ridge: fl
     return w, b, c * before
 
 
-def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int = 120, ridge: float = 1e-3, max_features: int = MAX_FEATURES, min_tell: float = MIN_TELL) -> Chain:
+def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int = 80, ridge: float = 1e-3, max_features: int = MAX_FEATURES, min_tell: float = MIN_TELL) -> Chain:
     """The chain from (features, subjects) of labelled paragraphs. Frequent subjects come first in the chain."""
     y = np.array([[s in labels for s in subjects] for _, labels in rows], float).reshape(len(rows), len(subjects))
     order = np.argsort(-y.sum(axis=0), kind="stable")
@@ -191,8 +244,7 @@ def subjects_of(panel: DataFrame, chain: Chain, key: str = "paragraph_id") -> Da
         model = Chain(**shared.value)
         names = np.array(model.subjects, dtype=object)
         for batch in batches:
-            rows = [features(t, s) for t, s in zip(batch["paragraph_text"], batch["file_name"], strict=True)]
-            sets, p = model.decode(model.matrix(rows))
+            sets, p = model.decode(model.matrix(batch["paragraph_text"].tolist(), batch["file_name"].tolist()))
             sets[[not t for t in batch["paragraph_text"]]] = 0
             yield pd.DataFrame({key: batch[key], "subjects": [sorted(names[row > 0]) for row in sets], "confidence": p})
 
