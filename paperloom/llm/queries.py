@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import leakage, lines, mixing, pairs, quality, scan_noise, subjects
+from paperloom.llm import leakage, lines, mixing, pairs, pii, quality, scan_noise, subjects
 from paperloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,10 +85,18 @@ def p7_order(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.curriculum(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.items(table(spark, folder, "documents"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_clean, p2_found, p2_shares, p3_found, p3_paragraphs, p4_found, p4_issues, p5_found, p5_pairs, p6_found, p6_clean, p7_found, p7_shares, p7_order)
+        for f in (p1_found, p1_clean, p2_found, p2_shares, p3_found, p3_paragraphs, p4_found, p4_issues, p5_found, p5_pairs, p6_found, p6_clean, p7_found, p7_shares, p7_order, p8_found, p8_clean)
     }
 
 
