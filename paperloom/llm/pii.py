@@ -41,27 +41,31 @@ _W = rf"(?:[{_U}][{_L}]+(?:[{_U}][{_L}]+)?|[{_U}]{{2,}})"
 _SUR = rf"{_W}(?:-{_W}| y {_W})?"
 _TITLE = rf"(?:{'|'.join(sorted(TITLES + [t.upper() for t in TITLES], key=len, reverse=True))})\.?"
 _END = rf"(?!\w|-\w| (?:{'|'.join(STREETS + BODIES)})\b)"
+_ANCHOR = re.compile(rf"[{_U}]\w*|\d+|@|[\[(] ?(?:at|AT|arroba) ?[\])]")
 _CAPITALS = re.compile(rf"(?<![\w.@+-])(?:(?P<title>{_TITLE}) )?(?P<a>{_W})(?: [{_U}]\.)*(?: (?P<b>{_W}))?(?:(?:-| y ){_W})?(?![\w@])")
-_PAIR = re.compile(rf"(?<![\w.@+-])(?P<a>{_W})(?: {_W})?(?: [{_U}]\.)* (?P<sur>{_SUR}){_END}")
+_PAIR = re.compile(rf"(?<![\w.@+-]){_W}(?: {_W})?(?: [{_U}]\.)* {_SUR}{_END}")
 _TITLED = re.compile(rf"(?<![\w.@+-]){_TITLE} (?P<name>(?:(?:{_W}|[{_U}]\.) )?(?:[{_U}]\. )*{_SUR}){_END}")
-_INITIALS = re.compile(rf"(?<![\w.@+#-])(?<!\d )(?<!\d-[{_U}] )(?P<name>(?:[{_U}]\. ){{1,3}}{_SUR}){_END}")
-_TURNED = re.compile(rf"(?<![\w.@+-])(?P<name>{_SUR}, (?P<a>{_W})(?: [{_U}]\.)*)(?![\w-]| (?:[{_U}]\. )?{_W}(?! y\b))")
+_INITIALS = re.compile(rf"(?<![\w.@+#-])(?<!\d )(?<!\d-[{_U}] )(?:[{_U}]\. ){{1,3}}{_SUR}{_END}")
+_GIVEN_LAST = re.compile(rf"{_W}(?: [{_U}]\.)*(?![\w-]| (?:[{_U}]\. )?{_W}(?! y\b))")
+_SURNAME_BEFORE = re.compile(rf"(?<![\w.@+-])({_SUR}), \Z")
 
 _TLD = r"[A-Za-z]{2,12}"
 _EMAIL = re.compile(
     rf"(?<![\w.+-])[\w][\w.+-]*(?:@| @ |@ | @| ?[\[(] ?(?:at|AT|arroba) ?[\])] ?)[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.| ?[\[(] ?(?:dot|DOT|punto) ?[\])] ?)[A-Za-z0-9-]+)*"
     rf"(?:\.| ?[\[(] ?(?:dot|DOT|punto) ?[\])] ?){_TLD}(?![\w@-])"
 )
-_PHONE = re.compile(r"(?<![\w.,/+-])(?<!\d )(?P<code>\+?1[ .-]?)?(?P<area>\(\d{3}\) ?|\d{3}[-./ ])?(?P<local>\d{3}[-. ]\d{2} ?\d{2})(?![\w/-]|[.,]\d)")
-_NUMBER = re.compile(r"(?P<label>[^\W\d_]+)(?P<mark>:?\.? (?:no\.? |n[.º°]+ ?|number |núm\.? |# ?)?)(?P<number>(?=(?:[^\s]*\d){5})(?:[A-Z]{0,3}\d[\dA-Z]*(?:[-./][\dA-Z]+)*|\d{3} \d{2} \d{4})(?:-[A-Z])?)(?![\w-])", re.IGNORECASE)
+_PHONE = re.compile(r"(?<![\w.,/+-])(?<!\d )(?P<code>\+?1[ .-]?)?(?P<area>\(\d{3}\) ?|\d{3}[-./ ])?\d{3}[-. ]\d{2} ?\d{2}(?![\w/-]|[.,]\d)")
+_NUMBER = re.compile(r"(?<![\w.-])(?:\d{3} \d{2} \d{4}|[A-Z]{0,3}\d[\dA-Z]*(?:[-./][\dA-Z]+)*)(?![\w-])")
+_LABEL = re.compile(r"([^\W\d_]+):?\.? (?:(?:no|n[.º°]+|number|núm)\.? |# ?)?\Z", re.IGNORECASE)
 _SSN = re.compile(r"\d{3}[ -]?\d{2}[ -]?\d{4}\Z")
-_PLACE = re.compile(
-    rf"(?<![\w.,/-])\d{{1,5}}(?:-?[A-Z])?(?: [NSEW]\.| (?:North|South|East|West))?(?: (?:{_W}|[a-z]{{2,3}}(?= {_W}))){{1,4}} (?:{'|'.join(STREETS + [s.upper() for s in STREETS])})\b\.?"
-    rf"(?:,? (?:{'|'.join(UNITS)})\.? ?#?\d+[A-Z]?(?!\w)|,? ?#\d+[A-Z]?)?"
-    rf"|(?<!\w)(?:{'|'.join(CALLES + [s.upper() for s in CALLES])})\.? (?:(?:{_W}|de|del|la|las|los|el) ){{1,4}}(?:(?:No|Núm|N)\.? ?|# ?)?\d{{1,5}}(?:-?[A-Z])?(?![\w.-]*\d)"
-    rf"(?:,? (?:{'|'.join(UNITS)})\.? ?#?\d+[A-Z]?(?!\w))?"
+_UNIT = rf"(?:,? (?:{'|'.join(UNITS)})\.? ?#?\d+[A-Z]?(?!\w)|,? ?#\d+[A-Z]?)?"
+_STREET = re.compile(
+    rf"(?<![\w.,/-])\d{{1,5}}(?:-?[A-Z])?(?: [NSEW]\.| (?:North|South|East|West))?(?: (?:{_W}|[a-z]{{2,3}}(?= {_W}))){{1,4}} (?:{'|'.join(STREETS + [s.upper() for s in STREETS])})\b\.?{_UNIT}"
 )
-_SPACE = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]+")
+_CALLE = re.compile(rf"(?<!\w){_W}\.? (?:(?:{_W}|de|del|la|las|los|el) ){{1,4}}(?:(?:No|Núm|N)\.? ?|# ?)?\d{{1,5}}(?:-?[A-Z])?(?![\w.-]*\d){_UNIT}")
+_TITLE_WORDS = {*TITLES, *(t.upper() for t in TITLES)}
+_CALLE_WORDS = {*CALLES, *(t.upper() for t in CALLES)}
+_SPACE = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]{2,}|[^\S\n ]")
 _BROKEN = re.compile(r"(?<=\w)-[^\S\n]*\n[^\S\n]*(?=\w)")
 _LOCAL = re.compile(r"([a-zñ]{2,})\.([a-zñ]{2,})")
 
@@ -85,29 +89,70 @@ def _after(text: str, at: int) -> str:
     return re.sub(r"\d+", "#", " ".join(text[at : at + 36].partition("\n")[0].split()[:2]).lower())
 
 
+def _labelled(text: str, at: int) -> tuple[str, re.Match] | None:
+    """The word before a number that starts at `at`, and the number, if it has five figures or more."""
+    m = _NUMBER.match(text, at)
+    if not m or sum(ch.isdigit() for ch in m[0]) < 5:
+        return None
+    label = _LABEL.search(text, max(0, at - 40), at)
+    return (label[1].lower(), m) if label else None
+
+
+def _phone(text: str, at: int) -> re.Match | None:
+    return _PHONE.match(text, at - 1 if at and text[at - 1] in "(+" else at)
+
+
+def _certain(phone: re.Match) -> bool:
+    """A country code or a bracketed area code."""
+    return bool(phone["code"]) or bool(phone["area"] and phone["area"][0] == "(")
+
+
+def _email(text: str, at: int) -> tuple[int, int] | None:
+    """The address around a sign that stands for @."""
+    low = max(0, at - 64)
+    for m in _EMAIL.finditer(text[low : at + 100]):
+        if m.start() + low < at < m.end() + low:
+            return m.start() + low, m.end() + low
+    return None
+
+
 def evidence(text: str) -> Iterator[tuple[str, str, str, bool]]:
     """(kind, pattern, instance, seed): what a text tells of contexts and of what they surround."""
-    for m in _CAPITALS.finditer(text):
-        if not m["title"] and not m["b"]:
+    done = 0
+    for anchor in _ANCHOR.finditer(text):
+        at = anchor.start()
+        if at < done:
             continue
-        first = "" if m["title"] else m["a"].lower()
-        left, right = _before(text, m.start()), _after(text, m.end())
-        if left and left[-1] not in ".!?":
-            yield "name", f"{left} _", first, bool(m["title"])
-        if right and right[0] not in ".!?":
-            yield "name", f"_ {right}", first, bool(m["title"])
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            local = _LOCAL.match(m[0].lower())
+        ch = text[at]
+        if ch.isdigit() or (ch.isalpha() and anchor[0][-1].isdigit()):
+            phone = _phone(text, at) if ch.isdigit() else None
+            number = _labelled(text, at)
+            if number:
+                seed = number[0] in ("ssn", "security") and bool(_SSN.match(number[1][0]))
+                yield "identity_number", f"_ {_after(text, number[1].end())}", number[0], seed
+                done = number[1].end()
+            if phone:
+                yield "phone", _before(text, phone.start(), 1), "certain" if _certain(phone) else "open", _certain(phone)
+                done = max(done, phone.end())
+        elif ch.isalpha():
+            m = _CAPITALS.match(text, at)
+            if not m:
+                continue
+            done = m.end()
+            if not m["title"] and not m["b"]:
+                continue
+            first = "" if m["title"] else m["a"].lower()
+            left, right = _before(text, at), _after(text, done)
+            if left and left[-1] not in ".!?":
+                yield "name", f"{left} _", first, bool(m["title"])
+            if right and right[0] not in ".!?":
+                yield "name", f"_ {right}", first, bool(m["title"])
+        else:
+            span = _email(text, at)
+            local = _LOCAL.match(text[span[0] : at].lower()) if span else None
             if local:
                 yield "name", "_@", local[1], True
-    for m in _NUMBER.finditer(text):
-        label = m["label"].lower()
-        seed = label in ("ssn", "security") and bool(_SSN.match(m["number"]))
-        yield "identity_number", f"_ {_after(text, m.end())}", label, seed
-    for m in _PHONE.finditer(text):
-        certain = bool(m["code"]) or bool(m["area"] and m["area"][0] == "(")
-        yield "phone", _before(text, m.start(), 1), "certain" if certain else "open", certain
+            done = span[1] if span else done
 
 
 def gather(documents: DataFrame) -> DataFrame:
@@ -169,42 +214,58 @@ def learn(documents: DataFrame, rounds: int = ROUNDS) -> tuple[set[str], set[str
 
 
 def find(text: str, names: set[str], labels: set[str], calls: dict[str, float]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the items of a smoothed text, in order, none overlapping; of rival readings the one that comes first below stands."""
-    taken: list[tuple[int, int, str]] = []
+    """(start, end, kind) of the items of a smoothed text, in order, none overlapping.
+
+    The text is read once from left to right. A number is an identity if its label is trusted, else the start of an address, else a
+    phone if its form is certain or its context trusted. Capitalised words are read as a title, a street's Spanish name, a trusted
+    given name or initials.
+    """
+    found: list[tuple[int, int, str]] = []
+    done = 0
 
     def take(start: int, end: int, kind: str) -> None:
-        if all(end <= s or start >= e for s, e, _ in taken):
-            taken.append((start, end, kind))
-
-    if "@" in text or "at" in text or "arroba" in text:
-        for m in _EMAIL.finditer(text):
-            take(*m.span(), "email")
-    for m in _NUMBER.finditer(text):
-        if m["label"].lower() in labels:
-            take(*m.span("number"), "identity_number")
-    for m in _PLACE.finditer(text):
-        end = m.end() - 1 if m[0].endswith(".") and not re.search(r"\b(?:St|Ave|Rd|Dr|Ln|Blvd|Ct|Ter|Pl|Cir|Hwy|Pkwy|Sq)\.\Z", m[0]) else m.end()
-        take(m.start(), end, "street_address")
-    for m in _PHONE.finditer(text):
-        share = calls.get(_before(text, m.start(), 1))
-        certain = bool(m["code"]) or bool(m["area"] and m["area"][0] == "(")
-        if certain or (share is not None and share >= 0.05) or (share is None and m["area"]):
-            take(*m.span(), "phone")
-    for m in _TITLED.finditer(text):
-        take(*m.span("name"), "name")
-    for m in _TURNED.finditer(text):
-        if m["a"].lower() in names and not text[m.start() : m.end()].split(",")[0].lower() in names:
+        nonlocal done
+        while found and found[-1][1] > start:  # an address of mail reaches back over what its name part looked like
+            found.pop()
+        found.append((start, end, kind))
+        done = end
+
+    for anchor in _ANCHOR.finditer(text):
+        at = anchor.start()
+        ch = text[at]
+        if not ch.isalnum():
+            span = _email(text, at)
+            if span:
+                take(*span, "email")
+            continue
+        if at < done:
+            continue
+        word = anchor[0]
+        if ch.isdigit() or word[-1].isdigit():
+            number = _labelled(text, at)
+            if number and number[0] in labels:
+                take(*number[1].span(), "identity_number")
+            elif ch.isdigit() and (m := _STREET.match(text, at)):
+                take(*m.span(), "street_address")
+            elif ch.isdigit() and (m := _phone(text, at)):
+                share = calls.get(_before(text, m.start(), 1))
+                if _certain(m) or (share is not None and share >= 0.05) or (share is None and m["area"]):
+                    take(*m.span(), "phone")
+            continue
+        if word in _CALLE_WORDS and (m := _CALLE.match(text, at)):
+            take(*m.span(), "street_address")
+        elif word in _TITLE_WORDS and (m := _TITLED.match(text, at)):
             take(*m.span("name"), "name")
-    at = 0
-    while m := _PAIR.search(text, at):
-        if m["a"].lower() in names:
+        elif word.lower() in names:
+            turned = text[at - 2 : at] == ", " and _GIVEN_LAST.match(text, at)
+            before = turned and _SURNAME_BEFORE.search(text[max(done, at - 64) : at])
+            if before and before[1].lower() not in names:
+                take(max(done, at - 64) + before.start(1), turned.end(), "name")
+            elif m := _PAIR.match(text, at):
+                take(*m.span(), "name")
+        elif len(word) == 1 and text[at + 1 : at + 2] == "." and (m := _INITIALS.match(text, at)):
             take(*m.span(), "name")
-            at = m.end()
-        else:
-            at = m.end("a")
-    for m in _INITIALS.finditer(text):
-        take(*m.span("name"), "name")
-    return sorted(taken)
+    return found
 
 
 def items(documents: DataFrame, trusted: tuple[set[str], set[str], dict[str, float]] | None = None) -> DataFrame:
