@@ -56,7 +56,7 @@ def with_statistics(panel: DataFrame) -> DataFrame:
     Null and empty texts have counts and shares of 0. Columns: n_words, n_tokens, n_lines, n_chars, mean_word_length, symbol_share,
     digit_share, common_share, n_common, n_common_kinds, end_share, vowelless_share, run_share, mixed_share, row_share, cell_share,
     item_share, names_share, running_share, folio, lower_words. Patterns that can only match some texts, such as rows of figures, are
-    tried only on those: rows and cells where a figure or dash stands, names where there are as many commas as lines, running lines
+    tried only on those: items, rows and cells where function words are few, rows and cells also only where a figure or dash stands, names where there are as many commas as lines, running lines
     on up to three lines, words in lower case where function words are few.
     """
     raw, low = F.col("_raw"), F.col("_low")
@@ -96,7 +96,7 @@ def with_statistics(panel: DataFrame) -> DataFrame:
         {
             "row_share": F.when(figures & few, _share(count(raw, _ROW), c("n_lines"))).otherwise(0.0),
             "cell_share": F.when(figures & few, _share(count(low, rf"(?<!\S){_CELL}[;|]?(?!\S)"), c("n_tokens"))).otherwise(0.0),
-            "item_share": _share(count(raw, _ITEM), c("n_lines")),
+            "item_share": F.when(few, _share(count(raw, _ITEM), c("n_lines"))).otherwise(0.0),
             "names_share": F.when(few & (c("_commas") >= c("n_lines")), _share(count(raw, _NAMES), c("n_lines"))).otherwise(0.0),
             "running_share": F.when(c("n_lines").between(1, 3), _share(count(raw, f"{_RUNNING}|{_FOLIO}"), c("n_lines"))).otherwise(0.0),
             "folio": F.when(c("n_lines") == 1, count(raw, _FOLIO)).otherwise(0),
