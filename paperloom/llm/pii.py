@@ -65,16 +65,21 @@ _STREET = re.compile(
 _CALLE = re.compile(rf"(?<!\w){_W}\.? (?:(?:{_W}|de|del|la|las|los|el) ){{1,4}}(?:(?:No|Núm|N)\.? ?|# ?)?\d{{1,5}}(?:-?[A-Z])?(?![\w.-]*\d){_UNIT}")
 _TITLE_WORDS = {*TITLES, *(t.upper() for t in TITLES)}
 _CALLE_WORDS = {*CALLES, *(t.upper() for t in CALLES)}
-_SPACE = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]{2,}|[^\S\n ]")
+_SPACE = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]{2,}|\t")
 _BROKEN = re.compile(r"(?<=\w)-[^\S\n]*\n[^\S\n]*(?=\w)")
 _LOCAL = re.compile(r"([a-zñ]{2,})\.([a-zñ]{2,})")
 
 
+_DIGITS = str.maketrans("0123456789", "#" * 10)
+
+
 def smooth(text: str) -> str:
     """The text with soft hyphens gone, accents composed, and each single line break or run of blanks as one blank; paragraphs stay apart."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.replace("\u00ad", "").replace("\u00a0", " "))
-    return _SPACE.sub(" ", _BROKEN.sub("-", text))
+    if "-\n" in text or "- \n" in text:
+        text = _BROKEN.sub("-", text)
+    return _SPACE.sub(" ", text) if "\n" in text or "  " in text or "\t" in text else text
 
 
 def item_key(item: str) -> str:
@@ -82,11 +87,11 @@ def item_key(item: str) -> str:
 
 
 def _before(text: str, at: int, n: int = 2) -> str:
-    return re.sub(r"\d", "#", " ".join(text[max(0, at - 36) : at].rpartition("\n")[2].split()[-n:]).lower())
+    return " ".join(text[max(0, at - 28) : at].rpartition("\n")[2].split()[-n:]).lower().translate(_DIGITS)
 
 
 def _after(text: str, at: int) -> str:
-    return re.sub(r"\d+", "#", " ".join(text[at : at + 36].partition("\n")[0].split()[:2]).lower())
+    return " ".join(text[at : at + 28].partition("\n")[0].split(None, 2)[:2]).lower().translate(_DIGITS)
 
 
 def _labelled(text: str, at: int) -> tuple[str, re.Match] | None:
