@@ -1,15 +1,577 @@
-"""Named queries over the tables, and SQL for those that SQL can express."""
+"""Named queries over the tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paperloom import lexicon as lx
+from paperloom.functions import text as tx
+from paperloom.operators import embed, graph, layout, metadata, network, panel, themes
+from paperloom.plans import sql
+from paperloom.sources.tables import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+LEX = lx.TermLexicon()
+PAGE_WIDTH = 612.0
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    """Registers a query; its doubles are rounded to six places, as its SQL's are."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        df = f(spark, folder)
+        return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+
+    _QUERIES[f.__name__] = run
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.queries()
+
+
+def _paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return panel.once(table(s, d, "paragraph_panel"))
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return panel.labelled(_paragraphs(s, d))
+
+
+def _themed(s: SparkSession, d: str) -> DataFrame:
+    return panel.themed(_labels(s, d))
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "line_text")
+
+
+# Labels
+
+
+@query
+def theme_contrast(s, d):
+    return themes.contrast(themes.prevalence(_themed(s, d)))
+
+
+@query
+def theme_prevalence(s, d):
+    return themes.prevalence(_themed(s, d))
+
+
+@query
+def identity_type(s, d):
+    return _labels(s, d).select("paragraph_id", panel.identity_type().alias("identity_type"), panel.domain_other().alias("domain_other"))
+
+
+@query
+def pattern_hits(s, d):
+    cols = [f"{k}_hits" for k in lx.ALL_PATTERNS]
+    return _labels(s, d).select("paragraph_id", *cols).unpivot(["paragraph_id"], cols, "label", "hits").where("hits <> ''").withColumn("label", F.regexp_replace("label", "_hits$", ""))
+
+
+@query
+def split_theme(s, d):
+    return _themed(s, d).where(F.col(f"{lx.COMBINED}_hits") != "").select("paragraph_id", F.col("theme_anti_discrimination").cast("int").alias("anti"), F.col("theme_equal_opportunity").cast("int").alias("equal"))
+
+
+@query
+def monthly_theme(s, d):
+    return themes.monthly(_themed(s, d))
+
+
+@query
+def group_share_gap(s, d):
+    return themes.share_gap(_themed(s, d))
+
+
+@query
+def complete_grid(s, d):
+    return themes.complete(themes.monthly(_themed(s, d)))
+
+
+@query
+def normalize_max100(s, d):
+    return themes.max100(themes.complete(themes.monthly(_themed(s, d)))).drop("per100")
+
+
+@query
+def gap_ribbon(s, d):
+    return themes.gaps(themes.complete(themes.monthly(_themed(s, d))))
+
+
+@query
+def gap_change(s, d):
+    return themes.gap_change(themes.gaps(themes.complete(themes.monthly(_themed(s, d))))).drop("label")
+
+
+@query
+def axis_breaks(s, d):
+    return themes.every_kth(themes.monthly(_themed(s, d)))
+
+
+@query
+def key_themes(s, d):
+    return themes.counts(_themed(s, d)).unpivot(["group_name"], lx.THEMES, "theme", "n").where(F.col("theme").isin("domain_education", "domain_health", "domain_housing", "domain_immigration", "domain_employment_labor", "policy_frame_funding"))
+
+
+@query
+def table_prevalence(s, d):
+    rows = table(s, d, "paragraph_theme_prevalence_by_group").distinct()
+    return rows.select("batch_no", "group_name", "theme", themes.pretty(F.regexp_replace("theme", "^(domain|theme)_", "")).alias("pretty"), F.coalesce(F.try_divide(100.0 * F.col("n_theme"), F.greatest("n_paragraphs_group", F.lit(1))), F.lit(0.0)).alias("pct"))
+
+
+# Quality and summaries
+
+
+@query
+def text_metrics(s, d):
+    rows = _paragraphs(s, d).withColumns(tx.metrics(F.col("text")))
+    return rows.drop("file_name", "year", "month", "text")
+
+
+@query
+def quality_filter(s, d):
+    return panel.gated(_labels(s, d)).select("paragraph_id", "quality_keep", "quality_reason")
+
+
+@query
+def quality_split(s, d):
+    return panel.gated(_labels(s, d)).groupBy("quality_reason").agg(F.count("*").alias("n"), F.sum("quality_keep").alias("n_kept"))
+
+
+@query
+def issue_summary(s, d):
+    return panel.issue_summary(panel.gated(_labels(s, d)))
+
+
+@query
+def corpus_summary(s, d):
+    return panel.corpus_summary(panel.issue_summary(panel.gated(_labels(s, d))))
+
+
+@query
+def key_union(s, d):
+    a = table(s, d, "paragraph_panel").select("file_name").distinct().withColumn("in_panel", F.lit(1))
+    b = table(s, d, "issue_metadata").select("file_name").distinct().withColumn("in_metadata", F.lit(1))
+    return a.join(b, "file_name", "full_outer").fillna(0, ["in_panel", "in_metadata"])
+
+
+@query
+def issue_lookup(s, d):
+    meta = metadata.last_loaded(table(s, d, "issue_metadata")).select("file_name", "canonical_issue_date", "validation_status")
+    rows = _paragraphs(s, d).select("paragraph_id", "file_name").join(meta, "file_name", "left")
+    return rows.select("paragraph_id", F.coalesce("canonical_issue_date", F.lit("")).alias("issue_date"), F.coalesce("validation_status", F.lit("")).alias("status"))
+
+
+# Dates
+
+
+def _fronts(s: SparkSession, d: str) -> DataFrame:
+    first = layout.latest(_lines(s, d)).where("page_number = 1 and text is not null").groupBy("file_name").agg(layout.joined("text", "\n").alias("front_text"))
+    return metadata.front_parsed(first).drop("front_text")
+
+
+@query
+def filename_date(s, d):
+    return table(s, d, "issue_metadata").select("file_name").distinct().withColumns(metadata.filename_date())
+
+
+@query
+def front_parse(s, d):
+    return _fronts(s, d)
+
+
+@query
+def resolve_date_source(s, d):
+    return metadata.resolved(_fronts(s, d)).select("file_name", "date_source", "date_conflict", "validation_status", "front_issue_date", "canonical_issue_date")
+
+
+@query
+def date_conflicts(s, d):
+    return metadata.last_loaded(table(s, d, "issue_metadata")).where("date_conflict").select("file_name", "file_issue_date", "front_year", "front_month", "validation_status")
+
+
+@query
+def parse_outcomes(s, d):
+    return metadata.last_loaded(table(s, d, "issue_metadata")).groupBy("date_source").agg(F.count("*").alias("n"), F.count_if("date_review_needed").alias("n_review"))
+
+
+@query
+def table_date_source(s, d):
+    rows = metadata.last_loaded(table(s, d, "issue_metadata")).withColumn("derived", metadata.date_source())
+    return rows.select("file_name", "derived", metadata.validation_status(F.col("derived")).alias("derived_status"))
+
+
+@query
+def best_parse(s, d):
+    rows = metadata.last_loaded(table(s, d, "issue_metadata"))
+    rows = rows.select("file_name", F.struct(F.col("front_year").alias("year"), F.col("front_month").alias("month")).alias("first"), F.struct(F.col("file_year").alias("year"), F.col("file_month").alias("month")).alias("second"))
+    best = metadata.better("first", "second")
+    return rows.select("file_name", best["year"].alias("year"), best["month"].alias("month"))
+
+
+# Layout
+
+
+@query
+def gap_segmentation(s, d):
+    return layout.segments(layout.latest(_lines(s, d))).select("line_id", "paragraph_in_column")
+
+
+@query
+def paragraph_sequence(s, d):
+    return layout.paragraphs(_lines(s, d)).select("paragraph_id", "paragraph_in_column", "paragraph_in_page", "paragraph_text")
+
+
+@query
+def page_text(s, d):
+    return layout.page_texts(_lines(s, d))
+
+
+@query
+def issue_text(s, d):
+    return layout.issue_texts(layout.page_texts(_lines(s, d)))
+
+
+@query
+def column_cluster(s, d):
+    return layout.column_centers(layout.latest(_lines(s, d)), PAGE_WIDTH)
+
+
+@query
+def nearest_column(s, d):
+    rows = layout.latest(_lines(s, d))
+    return layout.nearest_column(rows, layout.column_centers(rows, PAGE_WIDTH)).groupBy("column_no").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def line_debris(s, d):
+    return layout.without_debris(layout.latest(_lines(s, d))).groupBy("file_name").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def layout_clean(s, d):
+    return layout.latest(_lines(s, d)).where("text is not null").select("line_id", tx.layout_clean(F.col("text")).alias("clean"))
+
+
+# Terms
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    return network.term_rows(_labels(s, d), LEX)
+
+
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    return network.keyed(_terms(s, d), LEX)
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    terms = _terms(s, d)
+    return network.scored(network.keyed(terms, LEX), network.support(network.keyed(terms, LEX, 1, 1)))
+
+
+@query
+def token_sequence(s, d):
+    return _terms(s, d).select("paragraph_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def ngram_df(s, d):
+    return network.support(_keys(s, d)).where("pooled_n >= 2")
+
+
+@query
+def directional_bigram(s, d):
+    return network.directional(_terms(s, d)).where("n >= 3")
+
+
+@query
+def doc_totals(s, d):
+    return network.doc_totals(_keys(s, d))
+
+
+@query
+def pmi_score(s, d):
+    return _scored(s, d).select("key", "n", "pmi", "score", "gap", "select_score")
+
+
+@query
+def select_terms(s, d):
+    return network.selected(_scored(s, d)).select("key", "pooled_n")
+
+
+@query
+def merge_stats(s, d):
+    merged = network.variants(network.selected(_scored(s, d)))
+    return merged.agg(F.count("*").alias("n_keys"), F.count_if(F.col("key") != F.col("rep")).alias("n_merged"))
+
+
+@query
+def variant_merge(s, d):
+    return network.variants(network.selected(_scored(s, d)))
+
+
+@query
+def rep_recount(s, d):
+    rows = network.recounted(_keys(s, d), network.variants(network.selected(_scored(s, d))))
+    return rows.groupBy("key").agg(F.sum("pan").alias("pan_n"), F.sum("eth").alias("eth_n"))
+
+
+def _network(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    terms = _terms(s, d)
+    keys = network.keyed(terms, LEX)
+    merged = network.variants(network.selected(_scored(s, d)))
+    recount = network.recounted(keys, merged)
+    labels = network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(terms), LEX)
+    node = network.nodes(recount, labels, network.doc_totals(keys))
+    return node, network.pair_counts(recount, labels, node)
+
+
+@query
+def label_terms(s, d):
+    merged = network.variants(network.selected(_scored(s, d)))
+    return network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(_terms(s, d)), LEX)
+
+
+@query
+def dual_hub_nodes(s, d):
+    return _network(s, d)[0]
+
+
+@query
+def dual_hub_edges(s, d):
+    return network.edges(*_network(s, d))
+
+
+@query
+def pair_counts(s, d):
+    return _network(s, d)[1]
+
+
+@query
+def choose_nodes(s, d):
+    return network.choose(_network(s, d)[0])
+
+
+@query
+def grouped_layout(s, d):
+    return graph.layout(network.choose(_network(s, d)[0]))
+
+
+@query
+def phrase_nodes(s, d):
+    """The nodes of one group: its own support, ranked by score and recount."""
+    terms = _terms(s, d).where("pan = 1").withColumn("eth", F.lit(0))
+    keys = network.keyed(terms, LEX)
+    rows = network.selected(network.scored(keys, network.support(network.keyed(terms, LEX, 1, 1))), 70, "score")
+    merged = network.variants(rows)
+    counts = network.recounted(keys, merged).groupBy("key").agg(F.count("*").alias("pan_n")).where("pan_n >= 8")
+    total = F.broadcast(network.doc_totals(keys).select("pan_docs"))
+    return counts.join(rows.select("key", "score"), "key").join(total, how="inner").select("key", "pan_n", "score", (F.col("pan_n") / F.col("pan_docs")).alias("pan_rate"))
+
+
+@query
+def hub_word_stats(s, d):
+    words = _terms(s, d).select("pan", "eth", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.sum("pan").alias("pan_n"), F.sum("eth").alias("eth_n"))
+    total = F.broadcast(_terms(s, d).agg(F.sum("pan").alias("p"), F.sum("eth").alias("e")))
+    rows = words.where(F.greatest("pan_n", "eth_n") >= 8).join(total, how="inner")
+    rows = network.log_odds(rows, F.col("p"), F.col("e"))
+    return rows.select("word", "pan_n", "eth_n", (F.col("pan_n") / F.col("p")).alias("pan_rate"), (F.col("eth_n") / F.col("e")).alias("eth_rate"), "log_odds_pan_vs_eth")
+
+
+# Graphs, over the given edges
+
+
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    return graph.undirected(table(s, d, "dual_hub_edges").where("edge_type = 'term_term'").dropDuplicates(["batch_no", "file_name", "from_node", "to_node", "weight_n"]))
+
+
+def _weights(g: DataFrame) -> DataFrame:
+    return g.select(F.col("a").alias("node"), "w").unionByName(g.select(F.col("b").alias("node"), "w")).groupBy("node").agg(F.sum("w").alias("weight"))
+
+
+@query
+def graph_edges(s, d):
+    return _graph(s, d)
+
+
+@query
+def connected_components(s, d):
+    return graph.components(_graph(s, d).where("w >= 3"))
+
+
+@query
+def component_summary(s, d):
+    g = _graph(s, d).where("w >= 3")
+    return graph.community_summary(graph.ranked(graph.components(g), "component", _weights(g)))
+
+
+@query
+def community_labels(s, d):
+    g = _graph(s, d).where("w >= 3")
+    return graph.ranked(graph.components(g), "component", _weights(g)).where("community_rank <= 5")
+
+
+@query
+def louvain(s, d):
+    return graph.louvain(_graph(s, d))
+
+
+@query
+def community_summary(s, d):
+    g = _graph(s, d)
+    return graph.community_summary(graph.ranked(graph.louvain(g), "community", _weights(g)))
+
+
+@query
+def edge_filter(s, d):
+    g = _graph(s, d)
+    return graph.induced(g, _weights(g).where("weight >= 10"))
+
+
+@query
+def drop_terms(s, d):
+    return graph.without(_graph(s, d), ["budget", "field office"])
+
+
+@query
+def hub_row(s, d):
+    return graph.with_hub(_weights(_graph(s, d)), "panethnic_hub")
+
+
+@query
+def vertex_size(s, d):
+    return _weights(_graph(s, d)).select("node", graph.scaled(F.col("weight"), 4.0, 20.0, 0.5).alias("size"))
+
+
+@query
+def edge_width(s, d):
+    from pyspark.sql import Window as W
+
+    rows = table(s, d, "hub_word_edges").where("cooccur_n is not null").groupBy("hub", "to_node").agg(F.sum("cooccur_n").alias("n"))
+    return rows.withColumn("width", 0.4 + 2.6 * F.col("n") / F.max("n").over(W.partitionBy("hub")))
+
+
+# Words and vectors
+
+
+def _words(s: SparkSession, d: str) -> DataFrame:
+    return _paragraphs(s, d).select("paragraph_id", "file_name", tx.term_sequence(F.col("text"), LEX).alias("tokens"))
+
+
+@query
+def fcm_window(s, d):
+    return embed.window_pairs(_words(s, d), "paragraph_id").where("n >= 5")
+
+
+@query
+def pairwise_pmi(s, d):
+    return embed.window_pmi(_words(s, d), "paragraph_id").where("n >= 5")
+
+
+@query
+def kwic(s, d):
+    return embed.keyword_in_context(_words(s, d), "paragraph_id", "grant")
+
+
+@query
+def slide_windows(s, d):
+    return embed.windows(_words(s, d), "paragraph_id").groupBy("paragraph_id").agg(F.count("*").alias("n_windows"))
+
+
+@query
+def tf_idf(s, d):
+    return embed.tf_idf(_words(s, d).select("file_name", F.explode("tokens").alias("word")), "file_name")
+
+
+@query
+def track_keyword(s, d):
+    rows = embed.tf_idf(_words(s, d).select("file_name", F.explode("tokens").alias("word")), "file_name")
+    return rows.where(F.col("word").rlike("^immigra|^deport|^visa")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("tf_idf").alias("tf_idf"))
+
+
+@query
+def top_terms(s, d):
+    rows = _words(s, d).select("file_name", F.explode("tokens").alias("word")).groupBy("file_name", "word").agg(F.count("*").alias("n"))
+    return embed.top_with_ties(rows, "file_name", "n", 10)
+
+
+@query
+def vocab_prune(s, d):
+    return _words(s, d).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query
+def clean_corpus(s, d):
+    return table(s, d, "documents").where("text is not null and text <> ''").select("doc_id", tx.corpus_clean(F.col("text"), lx.STOPWORDS).alias("clean"))
+
+
+@query
+def both_groups(s, d):
+    words = _terms(s, d).select("pan", "eth", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.sum("pan").alias("pan_n"), F.sum("eth").alias("eth_n"))
+    return words.where("pan_n > 0 and eth_n > 0")
+
+
+@query
+def stem_count(s, d):
+    return _words(s, d).select(F.explode("tokens").alias("word")).groupBy(embed.stem(F.col("word")).alias("stem")).agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query
+def skipgrams(s, d):
+    return embed.skipgrams(_words(s, d), "paragraph_id").groupBy("target", "context", "label").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query
+def cosine_knn(s, d):
+    v = table(s, d, "embeddings")
+    return embed.neighbours(v, v.where("vec_id % 20 = 0"))
+
+
+@query
+def knn_overlap(s, d):
+    v = table(s, d, "embeddings")
+    found = embed.neighbours(v, v.where("vec_id in (0, 1)")).groupBy("vec_id").agg(F.min("query_id").alias("lo"), F.max("query_id").alias("hi"))
+    return found.select("vec_id", F.when(F.col("lo") < F.col("hi"), "shared").when(F.col("lo") == 0, "first only").otherwise("second only").alias("class"))
+
+
+@query
+def analogy_knn(s, d):
+    return embed.analogy(table(s, d, "embeddings"), 3, 2, 1)
+
+
+@query
+def mean_similarity(s, d):
+    v = table(s, d, "embeddings")
+    near = embed.neighbours(v, v.where("vec_id % 20 = 0"), 50).join(v.select("vec_id", "label"), "vec_id")
+    return near.groupBy("query_id", "label").agg(F.avg("similarity").alias("mean_similarity"))
+
+
+@query
+def confidence_band(s, d):
+    v = table(s, d, "embeddings").groupBy("label").agg(F.avg(F.col("embedding")[0].cast("double")).alias("est"), F.stddev_samp(F.col("embedding")[0].cast("double")).alias("sd"), F.count("*").alias("n"))
+    se = F.col("sd") / F.sqrt("n")
+    return v.select("label", "est", (F.col("est") - 1.96 * se).alias("low"), (F.col("est") + 1.96 * se).alias("high"))
+
+
+@query
+def bootstrap_means(s, d):
+    return embed.bootstrap_means(table(s, d, "embeddings"), "label").select("label", "boot", "n")
+
+
+@query
+def word_vectors(s, d):
+    """Word2Vec over the term sequences, as the built-in stand-in for co-occurrence embeddings."""
+    from pyspark.ml.feature import Word2Vec
+
+    rows = _words(s, d).select("tokens")
+    model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=42, numPartitions=2, inputCol="tokens", outputCol="v").fit(rows)
+    return model.getVectors().select("word")
