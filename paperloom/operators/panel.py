@@ -74,7 +74,7 @@ def issue_summary(gate: DataFrame) -> DataFrame:
 def corpus_summary(issues: DataFrame) -> DataFrame:
     """(metric, value): sums, means, medians and extremes over the issues."""
     raw, kept = F.col("n_paragraphs_raw"), F.col("n_paragraphs_filtered")
-    month = F.format_string("%04d-%02d-01", "year", "month")
+    month = F.when(F.col("year").isNotNull() & F.col("month").isNotNull(), F.format_string("%04d-%02d-01", "year", "month"))
     stats = {"n_issues": F.count("*"), "paragraphs_raw_total": F.sum(raw), "paragraphs_filtered_total": F.sum(kept), "keep_rate_pct_overall": percent(F.sum(kept), F.sum(raw))}
     stats |= {f"{name}_paragraphs_per_issue_{k}": f(c) for name, c in (("raw", raw), ("filtered", kept)) for k, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))}
     stats |= {f"{k}_total": F.sum(f"n_{k}") for k in ("identity_labeled", "panethnic_appeared", "ethnic_appeared", "both_labels", "invisibility", "funding")}

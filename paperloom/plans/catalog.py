@@ -10,6 +10,7 @@ from paperloom import lexicon as lx
 from paperloom.functions import text as tx
 from paperloom.operators import embed, graph, layout, metadata, network, panel, themes
 from paperloom.plans import sql
+from paperloom.session import cut_lineage
 from paperloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,13 +270,24 @@ def _terms(s: SparkSession, d: str) -> DataFrame:
     return network.term_rows(_labels(s, d), LEX)
 
 
+def _stored_terms(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Terms, candidate keys and scores, each written once as several steps read them."""
+    terms = cut_lineage(_terms(s, d))
+    keys = cut_lineage(network.keyed(terms, LEX))
+    return terms, keys, cut_lineage(network.scored(keys, network.support(network.keyed(terms, LEX, 1, 1))))
+
+
 def _keys(s: SparkSession, d: str) -> DataFrame:
     return network.keyed(_terms(s, d), LEX)
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    terms = _terms(s, d)
-    return network.scored(network.keyed(terms, LEX), network.support(network.keyed(terms, LEX, 1, 1)))
+    return _stored_terms(s, d)[2]
+
+
+def _merged(scored: DataFrame, k: int = 90, by: str = "select_score") -> DataFrame:
+    """At most k rows, written once."""
+    return cut_lineage(network.variants(cut_lineage(network.selected(scored, k, by))))
 
 
 @query
@@ -310,35 +322,35 @@ def select_terms(s, d):
 
 @query
 def merge_stats(s, d):
-    merged = network.variants(network.selected(_scored(s, d)))
+    merged = _merged(_scored(s, d))
     return merged.agg(F.count("*").alias("n_keys"), F.count_if(F.col("key") != F.col("rep")).alias("n_merged"))
 
 
 @query
 def variant_merge(s, d):
-    return network.variants(network.selected(_scored(s, d)))
+    return _merged(_scored(s, d))
 
 
 @query
 def rep_recount(s, d):
-    rows = network.recounted(_keys(s, d), network.variants(network.selected(_scored(s, d))))
+    _, keys, scored = _stored_terms(s, d)
+    rows = network.recounted(keys, _merged(scored))
     return rows.groupBy("key").agg(F.sum("pan").alias("pan_n"), F.sum("eth").alias("eth_n"))
 
 
 def _network(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    terms = _terms(s, d)
-    keys = network.keyed(terms, LEX)
-    merged = network.variants(network.selected(_scored(s, d)))
+    terms, keys, scored = _stored_terms(s, d)
+    merged = _merged(scored)
     recount = network.recounted(keys, merged)
-    labels = network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(terms), LEX)
-    node = network.nodes(recount, labels, network.doc_totals(keys))
+    labels = cut_lineage(network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(terms), LEX))
+    node = cut_lineage(network.nodes(recount, labels, network.doc_totals(keys)))
     return node, network.pair_counts(recount, labels, node)
 
 
 @query
 def label_terms(s, d):
-    merged = network.variants(network.selected(_scored(s, d)))
-    return network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(_terms(s, d)), LEX)
+    terms, _, scored = _stored_terms(s, d)
+    return network.labelled_keys(_merged(scored).select(F.col("rep").alias("key")), network.directional(terms), LEX)
 
 
 @query
@@ -369,10 +381,10 @@ def grouped_layout(s, d):
 @query
 def phrase_nodes(s, d):
     """The nodes of one group: its own support, ranked by score and recount."""
-    terms = _terms(s, d).where("pan = 1").withColumn("eth", F.lit(0))
-    keys = network.keyed(terms, LEX)
-    rows = network.selected(network.scored(keys, network.support(network.keyed(terms, LEX, 1, 1))), 70, "score")
-    merged = network.variants(rows)
+    terms = cut_lineage(_terms(s, d).where("pan = 1").withColumn("eth", F.lit(0)))
+    keys = cut_lineage(network.keyed(terms, LEX))
+    rows = cut_lineage(network.selected(network.scored(keys, network.support(network.keyed(terms, LEX, 1, 1))), 70, "score"))
+    merged = cut_lineage(network.variants(rows))
     counts = network.recounted(keys, merged).groupBy("key").agg(F.count("*").alias("pan_n")).where("pan_n >= 8")
     total = F.broadcast(network.doc_totals(keys).select("pan_docs"))
     return counts.join(rows.select("key", "score"), "key").join(total, how="inner").select("key", "pan_n", "score", (F.col("pan_n") / F.col("pan_docs")).alias("pan_rate"))

@@ -90,7 +90,7 @@ for _old, _new in CONFUSED:
     _CLEAN = f"replace({_CLEAN}, '{_old}', '{_new}')"
 _MAP = lambda word, pairs: "CASE " + word + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in pairs.items()) + " END"
 FRONTS = rf"""{LINES}, fronts AS (SELECT file_name, string_agg(text, {NL} ORDER BY column_index, y0, x0, line_id) AS front_text FROM latest WHERE page_number = 1 AND text IS NOT NULL GROUP BY 1),
-c AS (SELECT file_name, {_ASCII.format(_CLEAN).replace("'x'", "'X'")} AS c FROM fronts),
+c AS (SELECT file_name, {_ASCII.format(_CLEAN).replace("'x'", "'Q'")} AS c FROM fronts),
 mq AS (SELECT *, nullif(regexp_extract(c, '{MONTH}', 1), '') AS m, nullif(regexp_extract(c, '{QUARTER}', 1), '') AS q FROM c),
 anchor AS (SELECT *, CASE WHEN m IS NOT NULL THEN length(string_split_regex(c, '{MONTH}')[1]) + 1 WHEN q IS NOT NULL THEN length(string_split_regex(c, '{QUARTER}')[1]) + 1 ELSE 0 END AS a FROM mq),
 years AS (SELECT file_name, min_by(substr(c, i, 4)::INTEGER, (abs(i - a), i)) AS front_year FROM (SELECT *, unnest(range(1, length(c) - 2)) AS i FROM anchor) WHERE regexp_matches(substr(' ' || c || ' ', i, 6), '^\W(?:19|20)\d\d\W$') GROUP BY 1),
