@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Terms of the error function's series; enough for |x| up to 6, beyond which it is 1 to the last digit.
 TERMS = 120
@@ -35,3 +35,8 @@ def odds_ratio(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """0 where the whole is 0."""
     return F.coalesce(F.try_divide(100.0 * part, whole), F.lit(0.0))
+
+
+def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Adds the columns of a table of one row, as scalar subqueries; nulls where it has none."""
+    return rows.withColumns({c: totals.select(c).scalar() for c in totals.columns})

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from paperloom.functions.stats import with_totals
+
+#: Query vectors that are broadcast at most; more are matched in blocks of this size by the caller.
+MAX_QUERIES = 100_000
+
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -13,9 +18,11 @@ def cosine(a: Column, b: Column) -> Column:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest of all vectors for each query vector, itself excluded, ties by id.
 
-    `queries` is a stated set that is broadcast, its size checked by the optimizer's limit through the caller; each partition of vectors
-    keeps its own k best before any are shuffled.
+    `queries` is a stated set that is broadcast after its size was checked; each partition of vectors keeps its own k best of each query
+    before any are shuffled.
     """
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError("too many query vectors for a broadcast; pass them in blocks")
     q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
     scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
@@ -24,10 +31,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 
 def analogy(vectors: DataFrame, plus: int, minus: int, base: int) -> DataFrame:
     """(vec_id, similarity) to base - minus + plus."""
-    of = lambda i, name: vectors.where(F.col("vec_id") == i).select(F.col("embedding").alias(name))
-    one = F.broadcast(of(base, "e").join(of(minus, "m"), how="inner").join(of(plus, "p"), how="inner"))  # one row
-    target = F.zip_with(F.zip_with("e", "m", lambda a, b: a - b), F.col("p"), lambda a, b: a + b)
-    return vectors.join(one.select(target.alias("t")), how="inner").select("vec_id", cosine(F.col("embedding"), F.col("t")).alias("similarity"))
+    of = lambda i: vectors.where(F.col("vec_id") == i).select("embedding").scalar()
+    rows = vectors.withColumns({"_b": of(base), "_m": of(minus), "_p": of(plus)})
+    target = F.zip_with(F.zip_with("_b", "_m", lambda a, b: a - b), F.col("_p"), lambda a, b: a + b)
+    return rows.withColumn("_t", target).select("vec_id", cosine(F.col("embedding"), F.col("_t")).alias("similarity"))
 
 
 def window_pairs(tokens: DataFrame, key: str, words: str = "tokens", width: int = 6) -> DataFrame:
@@ -46,10 +53,10 @@ def windows(tokens: DataFrame, key: str, words: str = "tokens", k: int = 4) -> D
 def window_pmi(tokens: DataFrame, key: str, k: int = 4, least: int = 5) -> DataFrame:
     """(a, b, n, pmi): ln(p(a, b) / (p(a) p(b))) over windows, of words in at least `least` windows."""
     win = windows(tokens, key, k=k).select(F.array_sort(F.array_distinct("window")).alias("w"))
-    n_windows = F.broadcast(win.agg(F.count("*").alias("n_windows")))  # one row
+    n_windows = win.agg(F.count("*").alias("n_windows"))
     single = win.select(F.explode("w").alias("a")).groupBy("a").agg(F.count("*").alias("n_a")).where(F.col("n_a") >= least)
     pair = win.select(F.posexplode("w").alias("i", "a"), "w").select("a", F.explode(F.slice("w", F.col("i") + 2, k)).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    rows = pair.join(single, "a").join(single.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b").join(n_windows, how="inner")
+    rows = with_totals(pair.join(single, "a").join(single.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b"), n_windows)
     return rows.select("a", "b", "n", F.ln(F.col("n") * F.col("n_windows") / (F.col("n_a").cast("double") * F.col("n_b"))).alias("pmi"))
 
 
@@ -65,8 +72,7 @@ def tf_idf(words: DataFrame, document: str) -> DataFrame:
     n = words.groupBy(document, "word").agg(F.count("*").alias("n"))
     total = n.groupBy(document).agg(F.sum("n").alias("total"))
     df = n.groupBy("word").agg(F.count("*").alias("df"))
-    docs = F.broadcast(total.agg(F.count("*").alias("n_docs")))  # one row
-    rows = n.join(total, document).join(df, "word").join(docs, how="inner")
+    rows = with_totals(n.join(total, document).join(df, "word"), total.agg(F.count("*").alias("n_docs")))
     return rows.select(document, "word", "n", "total", (F.col("n") / F.col("total") * F.ln(F.col("n_docs") / F.col("df"))).alias("tf_idf"))
 
 

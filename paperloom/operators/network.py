@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import text as tx
+from paperloom.functions.stats import with_totals
 from paperloom.lexicon import TermLexicon
 from paperloom.operators.panel import flag
 
@@ -67,10 +68,10 @@ def scored(keys: DataFrame, unigrams: DataFrame, min_any: int = 8, method: str =
     top = support(keys).where(F.greatest("pan_n", "eth_n") >= min_any)
     parts = top.select("key", F.explode(F.split(F.element_at(F.split("key", r"\|\|", 2), 2), r"\|\|\|")).alias("t"))
     uni = unigrams.select(F.substring("key", 4, 1000).alias("t"), F.col("pooled_n").alias("u"))
-    docs = F.broadcast(doc_totals(keys))  # one row
-    parts = parts.join(uni, "t", "left").join(docs, how="inner")
+    docs = doc_totals(keys)
+    parts = with_totals(parts.join(uni, "t", "left"), docs)
     logs = parts.groupBy("key").agg(F.sum(F.ln(F.greatest(F.lit(1e-12), F.coalesce("u", F.lit(0)) / F.greatest("pooled_docs", F.lit(1))))).alias("ln_parts"))
-    rows = top.join(logs, "key").join(docs, how="inner")
+    rows = with_totals(top.join(logs, "key"), docs)
     freq, n = F.col("pooled_n").cast("double"), F.col("n")
     pmi = F.when(n <= 1, F.lit(0.0)).otherwise(F.ln(F.greatest(F.lit(1e-12), freq / F.greatest("pooled_docs", F.lit(1)))) - F.col("ln_parts"))
     rows = rows.withColumn("pmi", pmi)
@@ -143,7 +144,7 @@ def nodes(recount: DataFrame, labels: DataFrame, docs: DataFrame, min_any: int =
     """(node, node_key, ngram_n, pan_n, eth_n, pooled_n, pan_rate, eth_rate, gap_pan_minus_eth, selection_score, tilt): keys of one label added up."""
     counts = recount.groupBy("key").agg(F.sum("pan").alias("pan_n"), F.sum("eth").alias("eth_n")).where(F.greatest("pan_n", "eth_n") >= min_any)
     by = counts.join(labels, "key").groupBy(F.col("label").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("key")), ";;").alias("node_key"), F.min("n").alias("ngram_n"), F.sum("pan_n").alias("pan_n"), F.sum("eth_n").alias("eth_n"))
-    rows = by.join(F.broadcast(docs), how="inner").withColumns({"pooled_n": F.col("pan_n") + F.col("eth_n"), "pan_rate": F.col("pan_n") / F.greatest("pan_docs", F.lit(1)), "eth_rate": F.col("eth_n") / F.greatest("eth_docs", F.lit(1))})
+    rows = with_totals(by, docs).withColumns({"pooled_n": F.col("pan_n") + F.col("eth_n"), "pan_rate": F.col("pan_n") / F.greatest("pan_docs", F.lit(1)), "eth_rate": F.col("eth_n") / F.greatest("eth_docs", F.lit(1))})
     rows = rows.withColumn("gap_pan_minus_eth", F.col("pan_rate") - F.col("eth_rate"))
     rows = rows.withColumns({"selection_score": F.col("pooled_n") * (1 + F.least(F.lit(2.0), 12 * F.abs("gap_pan_minus_eth"))), "tilt": tilt(F.col("gap_pan_minus_eth"))})
     return rows.drop("pooled_docs", "pan_docs", "eth_docs")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom import lexicon as lx
 from paperloom.functions import text as tx
+from paperloom.functions.stats import with_totals
 from paperloom.operators import embed, graph, layout, metadata, network, panel, themes
 from paperloom.plans import sql
 from paperloom.session import cut_lineage
@@ -386,15 +387,14 @@ def phrase_nodes(s, d):
     rows = cut_lineage(network.selected(network.scored(keys, network.support(network.keyed(terms, LEX, 1, 1))), 70, "score"))
     merged = cut_lineage(network.variants(rows))
     counts = network.recounted(keys, merged).groupBy("key").agg(F.count("*").alias("pan_n")).where("pan_n >= 8")
-    total = F.broadcast(network.doc_totals(keys).select("pan_docs"))
-    return counts.join(rows.select("key", "score"), "key").join(total, how="inner").select("key", "pan_n", "score", (F.col("pan_n") / F.col("pan_docs")).alias("pan_rate"))
+    scored = with_totals(counts.join(rows.select("key", "score"), "key"), network.doc_totals(keys).select("pan_docs"))
+    return scored.select("key", "pan_n", "score", (F.col("pan_n") / F.col("pan_docs")).alias("pan_rate"))
 
 
 @query
 def hub_word_stats(s, d):
     words = _terms(s, d).select("pan", "eth", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.sum("pan").alias("pan_n"), F.sum("eth").alias("eth_n"))
-    total = F.broadcast(_terms(s, d).agg(F.sum("pan").alias("p"), F.sum("eth").alias("e")))
-    rows = words.where(F.greatest("pan_n", "eth_n") >= 8).join(total, how="inner")
+    rows = with_totals(words.where(F.greatest("pan_n", "eth_n") >= 8), _terms(s, d).agg(F.sum("pan").alias("p"), F.sum("eth").alias("e")))
     rows = network.log_odds(rows, F.col("p"), F.col("e"))
     return rows.select("word", "pan_n", "eth_n", (F.col("pan_n") / F.col("p")).alias("pan_rate"), (F.col("eth_n") / F.col("e")).alias("eth_rate"), "log_odds_pan_vs_eth")
 

@@ -48,7 +48,7 @@ def list_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf", lim
 
 
 #: A page of a layout: blocks of lines of words with their boxes.
-LAYOUT = "_width double, _height double, flow array<struct<block: array<struct<line: array<struct<_xMin: double, _yMin: double, _xMax: double, _yMax: double, word: array<string>>>>>>"
+LAYOUT = "_width double, _height double, flow array<struct<block: array<struct<line: array<struct<_xMin: double, _yMin: double, _xMax: double, _yMax: double, word: array<string>>>>>>>"
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
