@@ -106,3 +106,58 @@ def bootstrap_means(vectors: DataFrame, group: str, boots: int = 20, seed: int =
     rows = vectors.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumn("times", times).where("times > 0")
     part = rows.select(group, "boot", "times", F.posexplode("embedding").alias("d", "v")).groupBy(group, "boot", "d").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("v"), F.sum("times").alias("n"))
     return part.groupBy(group, "boot").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("embedding"))
+
+
+def around(tokens: DataFrame, key: str, vectors: DataFrame, width: int = 6) -> DataFrame:
+    """(word, n, context): for each word with a vector, the mean vector of the words within `width` places, over all its occurrences.
+
+    `vectors` is (word, vector). Window pairs are added up before vectors are joined to them.
+    """
+    near = window_pairs(tokens, key, width=width)
+    both = near.select(F.col("a").alias("word"), F.col("b").alias("other"), "n").unionByName(near.select(F.col("b").alias("word"), F.col("a").alias("other"), "n"))
+    rows = both.join(vectors.select(F.col("word").alias("other"), "vector"), "other").select("word", "n", F.posexplode("vector").alias("d", "v"))
+    part = rows.groupBy("word", "d").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n"))
+    return part.groupBy("word").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("context"))
+
+
+def transform_matrix(contexts: DataFrame, vectors: DataFrame, ridge: float = 1e-6) -> DataFrame:
+    """(row, values): the matrix that takes mean context vectors to word vectors best, words weighted by ln(n).
+
+    Only the sums of products, of the size of the vectors squared, reach the driver.
+    """
+    import numpy as np
+
+    rows = contexts.join(vectors, "word").select("context", "vector", F.ln(F.col("n") + 1.0).alias("w"))
+    cells = rows.select("w", "vector", "context", F.posexplode("context").alias("i", "x"))
+    gram = cells.select("i", F.posexplode("context").alias("j", "y"), "x", "w").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y") * F.col("w")).alias("s"))
+    cross = cells.select("i", F.posexplode("vector").alias("j", "y"), "x", "w").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y") * F.col("w")).alias("s"))
+    a, b = gram.collect(), cross.collect()
+    if not a:
+        return contexts.sparkSession.createDataFrame([], "row int, values array<double>")
+    k, m = max(r["i"] for r in a) + 1, max(r["j"] for r in b) + 1
+    g, c = np.zeros((k, k)), np.zeros((k, m))
+    for target, cells_ in ((g, a), (c, b)):
+        for r in cells_:
+            target[r["i"], r["j"]] = r["s"]
+    found = np.linalg.solve(g + ridge * np.eye(k), c).T
+    return contexts.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(found)], "row int, values array<double>")
+
+
+def contrast_neighbours(vectors: DataFrame, group: str, targets: DataFrame, permutations: int = 100, seed: int = 42) -> DataFrame:
+    """(vec_id, ratio, p): how much nearer each target vector is to the mean of group 1 than to that of group 0, and the share of random groupings at least as far from 1.
+
+    `group` holds 0 or 1. Random groupings are taken from hashes and keep the share of group 1 on average; targets are a stated set that is broadcast.
+    """
+    if targets.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError("too many target vectors for a broadcast; pass them in blocks")
+    share = vectors.agg(F.avg(group).alias("share"))
+    runs = with_totals(vectors.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(permutations)))), share)
+    drawn = (F.pmod(F.xxhash64("vec_id", "run", F.lit(seed)), F.lit(1_000_000)) / 1e6 < F.col("share")).cast("int")
+    runs = runs.withColumn("g", F.when(F.col("run") == 0, F.col(group)).otherwise(drawn))
+    mean = runs.select("run", "g", F.posexplode("embedding").alias("d", "v")).groupBy("run", "g", "d").agg(F.avg("v").alias("v"))
+    mean = mean.groupBy("run", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("m"))
+    wide = mean.groupBy("run").agg(F.max(F.when(F.col("g") == 1, F.col("m"))).alias("m1"), F.max(F.when(F.col("g") == 0, F.col("m"))).alias("m0"))
+    near = wide.join(F.broadcast(targets.select("vec_id", "embedding")), F.lit(True)).select("run", "vec_id", F.try_divide(cosine(F.col("embedding"), F.col("m1")), cosine(F.col("embedding"), F.col("m0"))).alias("ratio"))
+    seen = near.where("run = 0").select("vec_id", F.col("ratio").alias("seen"))
+    rows = near.where("run > 0").join(seen, "vec_id").groupBy("vec_id").agg(F.max("seen").alias("ratio"), F.avg((F.abs(1 - F.col("ratio")) >= F.abs(1 - F.col("seen"))).cast("int")).alias("p"))
+    return rows

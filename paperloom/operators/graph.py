@@ -140,3 +140,13 @@ def layout(nodes: DataFrame) -> DataFrame:
     x = F.element_at(F.create_map(*[F.lit(v) for kv in place.items() for v in kv]), F.col("tilt")) + F.when(F.col("n") > 5, 0.024 * ((F.col("i") % 2) * 2 - 1)).otherwise(0.0)
     y = F.when(F.col("n") == 1, 1.7).otherwise(1.7 - 3.4 * F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))) - 0.18
     return rows.select("node", x.alias("x"), y.alias("y"))
+
+
+def nearest_vertex(points: DataFrame) -> DataFrame:
+    """(node, distance, radius, inner): the distance to the nearest other point, the distance from the origin, and whether it is within the 45th percentile of these. For the few points of a drawing."""
+    from paperloom.functions.stats import with_totals
+
+    rows = with_totals(points.withColumn("radius", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)), points.agg(F.percentile(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2), F.lit(0.45)).alias("cut"), F.collect_list(F.struct("node", "x", "y")).alias("all")))
+    others = F.filter("all", lambda o: o["node"] != F.col("node"))
+    nearest = F.array_min(F.transform(others, lambda o: F.sqrt((o["x"] - F.col("x")) ** 2 + (o["y"] - F.col("y")) ** 2)))
+    return rows.select("node", nearest.alias("distance"), "radius", (F.col("radius") <= F.col("cut")).alias("inner"))

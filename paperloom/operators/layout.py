@@ -8,6 +8,8 @@ from paperloom.functions.text import normalized
 
 PAGE, COLUMN = ["file_name", "page_number"], ["file_name", "page_number", "column_index"]
 MAX_COLUMNS = 3
+#: Pages of an issue that are joined into one text.
+PAGES_PER_PART = 1000
 
 
 def latest(lines: DataFrame) -> DataFrame:
@@ -80,7 +82,8 @@ def page_texts(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.count_distinct("column_index").alias("column_count"), F.sum("n").alias("line_count"), F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("page_text"))
 
 
-def issue_texts(pages: DataFrame) -> DataFrame:
-    """(file_name, page_count, issue_text): pages in order."""
+def issue_texts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
+    """(file_name, part, page_count, issue_text): pages in order. An issue of more than `pages_per_part` pages comes in several parts, so that no row grows without bound."""
+    part = F.floor((F.col("page_number") - 1) / pages_per_part).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "page_text")))
-    return pages.groupBy("file_name").agg(F.count("*").alias("page_count"), F.array_join(F.transform(ordered, lambda x: x["page_text"]), "\n\n").alias("issue_text"))
+    return pages.groupBy("file_name", part.alias("part")).agg(F.count("*").alias("page_count"), F.array_join(F.transform(ordered, lambda x: x["page_text"]), "\n\n").alias("issue_text"))

@@ -37,10 +37,10 @@ def _lookup(word: Column, table: dict[str, int]) -> Column:
 
 def _nearest_year(text: Column, anchor: Column) -> Column:
     """The year that starts nearest to the anchor (0 for none), of equally near ones the first."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 3))
-    at = F.filter(places, lambda i: F.regexp_like(F.substring(F.concat(F.lit(" "), text, F.lit(" ")), i, F.lit(6)), F.lit(r"^\W(?:19|20)\d{2}\W")))
-    best = F.array_min(F.transform(at, lambda i: F.struct(F.abs(i - anchor).alias("d"), i.alias("i"))))
-    return F.when(F.size(at) > 0, F.substring(text, best["i"], F.lit(4)).cast("int"))
+    years, between = F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), F.split(text, YEAR, -1)
+    start = lambda k: 1 + 4 * (k - 1) + F.aggregate(F.slice(between, 1, k), F.lit(0), lambda total, x: total + F.length(x))
+    places = F.transform(F.sequence(F.lit(1), F.size(years)), lambda k: F.struct(F.abs(start(k) - anchor).alias("d"), k.alias("k")))
+    return F.when(F.size(years) > 0, F.element_at(years, F.array_min(places)["k"]).cast("int"))
 
 
 def front_parsed(fronts: DataFrame, text: str = "front_text") -> DataFrame:

@@ -177,7 +177,7 @@ def issue_lookup(s, d):
 
 
 def _fronts(s: SparkSession, d: str) -> DataFrame:
-    first = layout.latest(_lines(s, d)).where("page_number = 1 and text is not null").groupBy("file_name").agg(layout.joined("text", "\n").alias("front_text"))
+    first = layout.latest(_lines(s, d).where("page_number = 1")).where("text is not null").groupBy("file_name").agg(layout.joined("text", "\n").alias("front_text"))
     return metadata.front_parsed(first).drop("front_text")
 
 
@@ -587,3 +587,50 @@ def word_vectors(s, d):
     rows = _words(s, d).select("tokens")
     model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=42, numPartitions=2, inputCol="tokens", outputCol="v").fit(rows)
     return model.getVectors().select("word")
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    words = cut_lineage(_words(s, d))
+    model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=42, numPartitions=2, inputCol="tokens", outputCol="v").fit(words.select("tokens"))
+    return words, model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+@query
+def context_vectors(s, d):
+    words, vectors = _vectors(s, d)
+    return embed.around(words, "paragraph_id", vectors).select("word", "n")
+
+
+@query
+def transform_matrix(s, d):
+    words, vectors = _vectors(s, d)
+    vectors = cut_lineage(vectors)
+    return embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors).select("row", F.size("values").alias("n"))
+
+
+@query
+def contrast_neighbours(s, d):
+    v = table(s, d, "embeddings").withColumn("g", (F.col("label") % 2).cast("int"))
+    return embed.contrast_neighbours(v, "g", v.where("vec_id % 20 = 0")).select("vec_id", "ratio")
+
+
+@query
+def nearest_vertex(s, d):
+    return graph.nearest_vertex(graph.layout(network.choose(_network(s, d)[0])))
+
+
+@query
+def stopword_antijoin(s, d):
+    words = _paragraphs(s, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    stop = s.createDataFrame([(w,) for w in lx.STOPWORDS], "word string")
+    return words.join(F.broadcast(stop), "word", "left_anti").groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query
+def term_totals(s, d):
+    n = _words(s, d).select("file_name", F.explode("tokens").alias("word")).groupBy("file_name", "word").agg(F.count("*").alias("n"))
+    total = n.groupBy("file_name").agg(F.sum("n").alias("total"))
+    return n.join(total, "file_name", "left").where("n >= 3")

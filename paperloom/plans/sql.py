@@ -218,7 +218,7 @@ def queries() -> dict[str, str]:
         "gap_segmentation": f"WITH {SEGMENTS} SELECT line_id, paragraph_in_column FROM segments",
         "paragraph_sequence": rf"WITH {SEGMENTS} SELECT regexp_replace(file_name, '\.[^.]*$', '') || '_p' || page_number || '_c' || column_index || '_n' || paragraph_in_column AS paragraph_id, paragraph_in_column, row_number() OVER (PARTITION BY file_name, page_number ORDER BY column_index, paragraph_in_column)::INTEGER AS paragraph_in_page, t AS paragraph_text FROM paras WHERE length(regexp_replace(lower(t), '[^a-z0-9]', '', 'g')) >= 8",
         "page_text": f"WITH {SEGMENTS} SELECT * FROM pages",
-        "issue_text": f"WITH {SEGMENTS} SELECT file_name, count(*) AS page_count, string_agg(page_text, {NL} || {NL} ORDER BY page_number) AS issue_text FROM pages GROUP BY 1",
+        "issue_text": f"WITH {SEGMENTS} SELECT file_name, ((page_number - 1) // 1000)::INTEGER AS part, count(*) AS page_count, string_agg(page_text, {NL} || {NL} ORDER BY page_number) AS issue_text FROM pages GROUP BY 1, 2",
         "column_cluster": rounded(f"WITH {_CENTERS} SELECT * FROM centers", "center"),
         "nearest_column": f"WITH {_CENTERS}, b AS (SELECT line_id, min_by(column_no, (abs((x0 + x1) / 2 - center), column_no)) AS column_no FROM latest JOIN centers USING (file_name, page_number) GROUP BY 1) SELECT column_no, count(*) AS n_lines FROM b GROUP BY 1",
         "line_debris": f"WITH {LINES} SELECT file_name, count(*) AS n_lines FROM latest WHERE length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) >= 2 GROUP BY 1",
@@ -264,4 +264,8 @@ def queries() -> dict[str, str]:
         "analogy_knn": rounded("WITH e AS (SELECT embedding::DOUBLE[] AS v, vec_id FROM embeddings), t AS (SELECT list_transform(range(1, len(e1.v) + 1), lambda i: (e1.v[i]::FLOAT - e2.v[i]::FLOAT + e3.v[i]::FLOAT)::DOUBLE) AS t FROM e e1, e e2, e e3 WHERE e1.vec_id = 1 AND e2.vec_id = 2 AND e3.vec_id = 3) SELECT vec_id, list_cosine_similarity(v, t) AS similarity FROM e, t", "similarity"),
         "mean_similarity": rounded(f"WITH {_KNN('q.vec_id % 20 = 0', 50)} SELECT query_id, label, avg(similarity) AS mean_similarity FROM near JOIN embeddings USING (vec_id) GROUP BY 1, 2", "mean_similarity"),
         "confidence_band": rounded("WITH v AS (SELECT label, avg(embedding[1]::DOUBLE) AS est, stddev_samp(embedding[1]::DOUBLE) AS sd, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, est, est - 1.96 * sd / sqrt(n) AS low, est + 1.96 * sd / sqrt(n) AS high FROM v", "est low high"),
+        "contrast_neighbours": rounded("WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 2 AS g FROM embeddings), u AS (SELECT g, unnest(e) AS v, generate_subscripts(e, 1) AS d FROM g), m AS (SELECT g, d, avg(v) AS v FROM u GROUP BY 1, 2), mv AS (SELECT g, list(v ORDER BY d) AS m FROM m GROUP BY 1) SELECT vec_id, list_cosine_similarity(e, (SELECT m FROM mv WHERE g = 1)) / list_cosine_similarity(e, (SELECT m FROM mv WHERE g = 0)) AS ratio FROM g WHERE vec_id % 20 = 0", "ratio"),
+        "nearest_vertex": rounded(f"WITH {NODES}, pi AS (SELECT *, row_number() OVER (PARTITION BY tilt ORDER BY pooled_n DESC, node) - 1 AS i, count(*) OVER (PARTITION BY tilt) AS n FROM picked), xy AS (SELECT node, (CASE tilt WHEN 'panethnic_tilt' THEN -0.64 WHEN 'shared' THEN -0.02 ELSE 0.74 END + CASE WHEN n > 5 THEN 0.024 * ((i % 2) * 2 - 1) ELSE 0 END)::DOUBLE AS x, (CASE WHEN n = 1 THEN 1.7 ELSE 1.7 - 3.4::DOUBLE * i / (n - 1) END - 0.18)::DOUBLE AS y FROM pi), r AS (SELECT *, sqrt(x * x + y * y) AS radius FROM xy) SELECT a.node, (SELECT min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) FROM r b WHERE b.node <> a.node) AS distance, radius, radius <= (SELECT quantile_cont(radius, 0.45) FROM r) AS inner FROM r a", "distance radius"),
+        "stopword_antijoin": f"WITH {PANEL} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM panel) WHERE NOT list_contains({_LIST(lx.STOPWORDS)}, word) GROUP BY 1 HAVING count(*) >= 5",
+        "term_totals": f"WITH {_WORDROWS}, wn AS (SELECT file_name, word, count(*) AS n FROM word GROUP BY 1, 2) SELECT * FROM (SELECT file_name, word, n, (sum(n) OVER (PARTITION BY file_name))::BIGINT AS total FROM wn) WHERE n >= 3",
     }

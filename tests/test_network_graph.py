@@ -77,3 +77,36 @@ def test_windows_stay_within_a_document(spark):
 def test_nearest_vectors_leave_the_query_out(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in embed.neighbours(v, v.where("vec_id = 0"), 2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_transform_matrix_recovers_a_linear_map(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, x = np.array([[2.0, 1.0], [0.0, -1.0]]), rng.normal(size=(50, 2))
+    contexts = spark.createDataFrame([(f"w{i}", 10, r.tolist()) for i, r in enumerate(x)], "word string, n long, context array<double>")
+    vectors = spark.createDataFrame([(f"w{i}", (a @ r).tolist()) for i, r in enumerate(x)], "word string, vector array<double>")
+    got = np.array([r["values"] for r in embed.transform_matrix(contexts, vectors).orderBy("row").collect()])
+    assert np.allclose(got, a, atol=1e-5)
+
+
+def test_contexts_are_means_of_neighbours(spark):
+    tokens = spark.createDataFrame([("d", ["a", "b", "c"])], "k string, tokens array<string>")
+    vectors = spark.createDataFrame([("a", [1.0]), ("c", [3.0])], "word string, vector array<double>")
+    got = {r.word: r.context for r in embed.around(tokens, "k", vectors, width=1).collect()}
+    assert got == {"b": [2.0]}
+
+
+def test_contrast_tells_real_groups_from_random_ones(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, (rng.normal(size=3) * 0.1 + ([1, 0, 0.5] if i % 2 else [0, 1, 0.5])).tolist()) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, g int, embedding array<double>")
+    r = {x.vec_id: x for x in embed.contrast_neighbours(v, "g", v.where("vec_id < 2"), permutations=20).collect()}
+    assert r[1].ratio > 1.2 > 0.9 > r[0].ratio and r[1].p <= 0.1
+
+
+def test_nearest_vertex(spark):
+    p = spark.createDataFrame([("a", 0.0, 0.0), ("b", 3.0, 4.0), ("c", 3.0, 5.0)], "node string, x double, y double")
+    assert {r.node: r.distance for r in graph.nearest_vertex(p).collect()} == {"a": 5.0, "b": 1.0, "c": 1.0}
