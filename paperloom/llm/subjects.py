@@ -11,21 +11,28 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Labelled paragraphs that the chain is fitted on at most, and features it may use; the sample is the smallest by hash of the id.
+#: Labelled paragraphs that the chain is fitted on at most, those it is chosen from, the share that Spanish ones may take, and features.
 MAX_LABELLED = 5000
+POOL = 40_000
+SECOND_SHARE = 0.3
 MAX_FEATURES = 4096
 #: Standard deviations by which a feature must stand more often with some subject than by chance.
 MIN_TELL = 4.0
 #: A mark whose probability is below this is taken for a slip of the hand and left out of the last fit.
 DOUBT = 0.04
+#: Power of the inverse frequency that features are weighted by.
+RARE = 1.0
 BEAM = 8
 
+# Function words that tell the two languages apart.
+SPANISH = "el los las del la por y en de".split()
+ENGLISH = "the of and to for in by with".split()
 # Letters and figures that scanning takes for one another, by the letter that stands for them all.
 GLYPHS = str.maketrans({"0": "o", "1": "l", "|": "", "5": "s", "9": "g", "@": "a", "i": "l", "(": "c", "h": "b", "f": "t", "e": "c", "v": "y", "~": "", "^": "", "8": "b", "6": "b"})
 _CUT = re.compile("[-\u2010\u2011\u00ac\u00ad][^\\S\n]*\n\\s*")
@@ -171,8 +178,11 @@ def _fit(x: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int, ridge: fl
     return w, b, c * before
 
 
-def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int = 80, ridge: float = 1e-3, max_features: int = MAX_FEATURES, min_tell: float = MIN_TELL) -> Chain:
+def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int = 80, ridge: float = 4e-3, max_features: int = MAX_FEATURES, min_tell: float = MIN_TELL) -> Chain:
     """The chain from (features, subjects) of labelled paragraphs. Frequent subjects come first in the chain."""
+    k = len(subjects)
+    if not rows:
+        return Chain(subjects, {}, np.zeros((0, k)), np.full(k, -9.0), np.zeros((k, k)), np.ones(k), np.zeros(k))
     y = np.array([[s in labels for s in subjects] for _, labels in rows], float).reshape(len(rows), len(subjects))
     order = np.argsort(-y.sum(axis=0), kind="stable")
     subjects, y = [subjects[i] for i in order], y[:, order]
@@ -190,9 +200,9 @@ def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int
     x = np.zeros((len(rows), len(index)), np.float32)
     for r, (found, _) in enumerate(rows):
         x[r, [index[f] for f in found if f in index]] = 1
-    k = len(subjects)
-    if not len(rows):
-        return Chain(subjects, {}, np.zeros((0, k)), np.full(k, -9.0), np.zeros((k, k)), np.ones(k), np.zeros(k))
+    # Rare features count for more, or the ridge would keep what is seldom said, as in a second language, below notice.
+    rare = np.log(len(rows) / np.maximum(x.sum(axis=0), 1)).astype(np.float32) ** RARE
+    x *= rare
     scale, shift, trust = np.ones(k), np.zeros(k), np.ones_like(y)
     if len(rows) >= 200:
         # Twice over halves: scores of paragraphs that a fit hasn't seen tell wrong marks, and then calibrate without them.
@@ -207,7 +217,7 @@ def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int
                 p = 1 / (1 + np.exp(-(scale * z + shift)))
                 trust = 1.0 - (((y == 1) & (p < DOUBT)) | ((y == 0) & (p > 1 - DOUBT)))
     w, b, c = _fit(x, y, trust, rounds, ridge)
-    return Chain(subjects, index, w.astype(float), b, c, scale, shift)
+    return Chain(subjects, index, (w * rare[:, None]).astype(float), b, c, scale, shift)
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +233,27 @@ def _calibrate(z: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int = 30
     return np.maximum(scale, 0.2), shift
 
 
-def labelled(panel: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[set[str], set[str]]]:
-    """Features and subjects of at most `most` labelled paragraphs, those with the smallest hash. Labels without a paragraph are ignored."""
+def is_spanish(text: Column) -> Column:
+    """Whether Spanish function words outnumber English ones."""
+    count = lambda words: F.regexp_count(F.lower(text), F.lit(rf"\b(?:{'|'.join(words)})\b"))
+    return F.coalesce(count(SPANISH) > count(ENGLISH), F.lit(False))
+
+
+def labelled(panel: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, pool: int = POOL, second: float = SECOND_SHARE) -> list[tuple[set[str], set[str]]]:
+    """Features and subjects of at most `most` labelled paragraphs. Labels without a paragraph are ignored.
+
+    Of the `pool` labelled paragraphs with the smallest hash, the first by hash are taken, Spanish ones up to a share of `second`, as
+    they are too few otherwise to teach their words.
+    """
     marks = labels.where("paragraph_id is not null and theme is not null").groupBy("paragraph_id").agg(F.collect_set("theme").alias("themes"))
-    chosen = marks.orderBy(F.xxhash64("paragraph_id"), "paragraph_id").limit(most)
+    chosen = marks.withColumn("h", F.xxhash64("paragraph_id")).orderBy("h", "paragraph_id").limit(pool)
     texts = panel.select("paragraph_id", "file_name", "paragraph_text").join(F.broadcast(chosen), "paragraph_id").dropDuplicates(["paragraph_id"])
-    rows = sorted(texts.collect(), key=lambda r: r["paragraph_id"])
+    texts = texts.withColumn("spanish", is_spanish(F.col("paragraph_text")))
+    rank = F.row_number().over(W.partitionBy("spanish").orderBy("h", "paragraph_id"))
+    few = int(most * second)
+    rows = texts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("spanish"), few).otherwise(most)).drop("h").collect()
+    n_spanish = sum(r["spanish"] for r in rows)
+    rows = sorted((r for r in rows if r["spanish"] or r["rank"] <= most - n_spanish), key=lambda r: r["paragraph_id"])
     return [(features(r["paragraph_text"], r["file_name"]), set(r["themes"])) for r in rows]
 
 
@@ -238,7 +263,7 @@ def subjects_of(panel: DataFrame, chain: Chain, key: str = "paragraph_id") -> Da
     Repeated rows of a key are taken to have the same text. Null and empty texts have no subject. Rows with a null key are left out.
     """
     # The chain is of bounded size: MAX_FEATURES rows of as many numbers as there are subjects.
-    shared = panel.sparkSession.sparkContext.broadcast(chain.__dict__)
+    shared = panel.sparkSession.sparkContext.broadcast({f.name: getattr(chain, f.name) for f in fields(chain)})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Chain(**shared.value)
