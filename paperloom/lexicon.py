@@ -33,12 +33,13 @@ COMBINED = "domain_anti_discrimination_equal_opportunity"
 #: The themes that groups are compared by: the combined one is split in two, and counting words are no theme.
 THEMES = sorted([*(d for d in DOMAINS if d != COMBINED), "policy_frame_funding", "theme_invisibility", "theme_anti_discrimination", "theme_equal_opportunity"])
 
-# Words that are no terms. Words of fewer than four letters are no terms in any case and so aren't listed.
+# Words that are no terms. Words of fewer than four letters are no terms in any case and so aren't listed; names of a
+# corpus's own publisher are for the caller to add.
 STOPWORDS = """
     about above after again against because been before being below between both could does doing down during each from further have
     having here hers herself himself into itself just more most myself only other ours ourselves over same should some such than that
     their theirs them themselves then there these they this those through under until very were what when where which while whom will
-    with your yours yourself yourselves agenda council issue volume number page pages newsletter washington raza nclr also three first
+    with your yours yourself yourselves agenda council issue volume number page pages newsletter washington also three first
     second third fourth year years time state states united national american americans said says would must many much among however
     including within across based used using well make made still since every another week month months government office program
     programs group groups work works worked working people person percent january february march april june july august september
