@@ -115,7 +115,7 @@ def labelling_functions() -> list[tuple[str, str, Column]]:
         ("many_function_words", "prose", c("n_common_kinds") >= 3),
         ("lower_case_run", "prose", (c("lower_words") >= 3) & (c("common_share") > 0.08)),
         ("sentence_end", "prose", (c("end_share") > 0) & (c("n_words") >= 3) & (c("item_share") < 0.4) & (c("common_share") > 0)),
-        ("item_lines", "list", (c("item_share") >= 0.45) & (c("row_share") < 0.5)),
+        ("item_lines", "list", (c("item_share") >= 0.45) & (c("row_share") < 0.5) & (c("symbol_share") < 0.15)),
         ("name_lines", "list", (c("names_share") >= 0.4) & (c("n_lines") >= 2) & (c("lower_words") <= 2)),
         ("bare_short_lines", "list", (c("n_lines") >= 2) & (c("n_common") <= 0.3 * c("n_lines")) & (c("mixed_share") < 0.25) & (c("row_share") < 0.4) & (c("vowelless_share") < 0.35) & (c("run_share") < 0.12) & (c("symbol_share") < 0.1)),
         ("figure_rows", "tabular", (c("row_share") >= 0.5) & (c("n_lines") >= 2)),
@@ -124,7 +124,7 @@ def labelling_functions() -> list[tuple[str, str, Column]]:
         ("symbols", "junk", (c("symbol_share") >= 0.12) & (c("row_share") < 0.5)),
         ("mixed_tokens", "junk", (c("mixed_share") >= 0.25) & (c("running_share") == 0) & (c("cell_share") < 0.3) & (c("item_share") < 0.5)),
         ("letter_runs", "junk", c("run_share") >= 0.12),
-        ("no_known_word", "junk", (c("common_share") == 0) & (c("n_tokens") >= 4) & (c("item_share") < 0.3) & (c("cell_share") < 0.2) & (c("names_share") < 0.3) & (c("running_share") < 1)),
+        ("no_known_word", "junk", (c("common_share") == 0) & (c("n_tokens") >= 4) & ((c("item_share") < 0.3) | (c("symbol_share") >= 0.15)) & (c("cell_share") < 0.2) & (c("names_share") < 0.3) & (c("running_share") < 1)),
         ("page_number", "furniture", c("folio") == 1),
         ("running_line", "furniture", (c("running_share") == 1) & (c("n_lines") <= 2) & (c("n_words") <= 12) & (c("lower_words") <= 1)),
         ("title_line", "furniture", (c("n_lines") == 1) & (c("end_share") == 0) & (c("lower_words") <= 1) & c("n_words").between(2, 12) & (c("mixed_share") < 0.34) & (c("vowelless_share") < 0.35) & (c("item_share") == 0) & (c("names_share") == 0)),
