@@ -268,4 +268,9 @@ def queries() -> dict[str, str]:
         "nearest_vertex": rounded(f"WITH {NODES}, pi AS (SELECT *, row_number() OVER (PARTITION BY tilt ORDER BY pooled_n DESC, node) - 1 AS i, count(*) OVER (PARTITION BY tilt) AS n FROM picked), xy AS (SELECT node, (CASE tilt WHEN 'panethnic_tilt' THEN -0.64 WHEN 'shared' THEN -0.02 ELSE 0.74 END + CASE WHEN n > 5 THEN 0.024 * ((i % 2) * 2 - 1) ELSE 0 END)::DOUBLE AS x, (CASE WHEN n = 1 THEN 1.7 ELSE 1.7 - 3.4::DOUBLE * i / (n - 1) END - 0.18)::DOUBLE AS y FROM pi), r AS (SELECT *, sqrt(x * x + y * y) AS radius FROM xy) SELECT a.node, (SELECT min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) FROM r b WHERE b.node <> a.node) AS distance, radius, radius <= (SELECT quantile_cont(radius, 0.45) FROM r) AS inner FROM r a", "distance radius"),
         "stopword_antijoin": f"WITH {PANEL} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM panel) WHERE NOT list_contains({_LIST(lx.STOPWORDS)}, word) GROUP BY 1 HAVING count(*) >= 5",
         "term_totals": f"WITH {_WORDROWS}, wn AS (SELECT file_name, word, count(*) AS n FROM word GROUP BY 1, 2) SELECT * FROM (SELECT file_name, word, n, (sum(n) OVER (PARTITION BY file_name))::BIGINT AS total FROM wn) WHERE n >= 3",
+        "stem_count": f"""WITH {_WORDROWS}, w1 AS (SELECT regexp_replace(regexp_replace(word, 'sses$', 'ss'), 'ies$', 'y') AS w FROM word),
+w2 AS (SELECT CASE WHEN length(w) > 3 AND regexp_matches(w, '[^su]s$') THEN w[:-2] ELSE w END AS w FROM w1),
+w3 AS (SELECT CASE WHEN regexp_matches(w, '[aeiouy].*ing$') AND length(w) > 5 THEN w[:-4] WHEN regexp_matches(w, '[aeiouy].*ed$') AND length(w) > 4 THEN w[:-3] ELSE w END AS w FROM w2),
+w4 AS (SELECT CASE WHEN length(w) > 4 AND w LIKE '%ly' THEN w[:-3] ELSE w END AS w FROM w3)
+SELECT CASE WHEN length(w) > 4 AND w LIKE '%e' THEN w[:-2] ELSE w END AS stem, count(*) AS n FROM w4 GROUP BY 1 HAVING count(*) >= 5""",
     }
