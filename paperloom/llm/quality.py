@@ -55,9 +55,8 @@ def with_statistics(panel: DataFrame) -> DataFrame:
     The lines are those of paragraph_text; the words those of paragraph_text_norm, or of the text in lower case where that is null.
     Null and empty texts have counts and shares of 0. Columns: n_words, n_tokens, n_lines, n_chars, mean_word_length, symbol_share,
     digit_share, common_share, n_common, n_common_kinds, end_share, vowelless_share, run_share, mixed_share, row_share, cell_share,
-    item_share, names_share, running_share, folio, lower_words. Patterns that can only match some texts, such as rows of figures, are
-    tried only on those: items, rows and cells where function words are few, rows and cells also only where a figure or dash stands, names where there are as many commas as lines, running lines
-    on up to three lines, words in lower case where function words are few.
+    item_share, names_share, running_share, folio, lower_words. Patterns that need a certain sign are tried only where it stands: rows
+    and cells where there is a figure, a dash or n.a., names where there is a comma. Running lines are counted on up to three lines.
     """
     raw, low = F.col("_raw"), F.col("_low")
     count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
@@ -73,7 +72,6 @@ def with_statistics(panel: DataFrame) -> DataFrame:
             "_common": F.filter("_words", lambda w: w.isin(COMMON)),
             "_digits": F.length(low) - F.length(F.translate(low, "0123456789", "")),
             "_letters": F.length(F.array_join("_words", "")),
-            "_commas": F.length(raw) - F.length(F.translate(raw, ",", "")),
         }
     )
     base = base.withColumns(
@@ -90,20 +88,19 @@ def with_statistics(panel: DataFrame) -> DataFrame:
             "end_share": _share(count(raw, r"(?m)[.!?][^\w\n]*$"), c("n_lines")),
         }
     )
-    figures = (c("digit_share") > 0) | F.contains(raw, F.lit("-"))
-    few = (c("common_share") < 0.14) | (c("n_lines") <= 2)
+    cells = lambda x: x.rlike(r"[\d-]|n\.a\.")
     out = base.withColumns(
         {
-            "row_share": F.when(figures & few, _share(count(raw, _ROW), c("n_lines"))).otherwise(0.0),
-            "cell_share": F.when(figures & few, _share(count(low, rf"(?<!\S){_CELL}[;|]?(?!\S)"), c("n_tokens"))).otherwise(0.0),
-            "item_share": F.when(few, _share(count(raw, _ITEM), c("n_lines"))).otherwise(0.0),
-            "names_share": F.when(few & (c("_commas") >= c("n_lines")), _share(count(raw, _NAMES), c("n_lines"))).otherwise(0.0),
+            "row_share": F.when(cells(raw), _share(count(raw, _ROW), c("n_lines"))).otherwise(0.0),
+            "cell_share": F.when(cells(low), _share(count(low, rf"(?<!\S){_CELL}[;|]?(?!\S)"), c("n_tokens"))).otherwise(0.0),
+            "item_share": _share(count(raw, _ITEM), c("n_lines")),
+            "names_share": F.when(F.contains(raw, F.lit(",")), _share(count(raw, _NAMES), c("n_lines"))).otherwise(0.0),
             "running_share": F.when(c("n_lines").between(1, 3), _share(count(raw, f"{_RUNNING}|{_FOLIO}"), c("n_lines"))).otherwise(0.0),
             "folio": F.when(c("n_lines") == 1, count(raw, _FOLIO)).otherwise(0),
-            "lower_words": F.when(few, count(raw, _LOWER_WORD)).otherwise(c("n_words")),
+            "lower_words": count(raw, _LOWER_WORD),
         }
     )
-    return out.drop("_low", "_raw", "_words", "_common", "_digits", "_letters", "_commas")
+    return out.drop("_low", "_raw", "_words", "_common", "_digits", "_letters")
 
 
 def labelling_functions() -> list[tuple[str, str, Column]]:

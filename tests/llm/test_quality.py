@@ -59,3 +59,24 @@ def test_issues_beside_their_keep_rate(spark):
     issues = spark.createDataFrame([(1, "f", 80.0), (1, "f", 80.0), (2, "f", None)], "batch_no int, file_name string, keep_rate_pct double")
     row = Q.issue_text_kinds(frame(spark), issues).first()
     assert row.n_paragraphs == frame(spark).count() and 0.5 < row.prose_share < 0.8 and row.keep_rate_pct == 80.0
+
+
+FULL_OF_FUNCTION_WORDS = {
+    "items": "* Friends of the Library\n* Sons of the Valley\n* Museum of the Coast",
+    "contents": "Report of the Board ..... 4\nLetter to the Editor ..... 6\nNotes from the Valley ..... 9",
+    "rows": "Cost of the hall  14  20\nRent of the van  9  n.a.\nPay for the band  30  41",
+    "absent": "Cost of the hall  n.a.  n.a.\nRent of the van  n.a.  n.a.\nPay for the band  n.a.  n.a.",
+    "names": "Sons of, Valley, Coast\nEl Sol, La Luna\nThe Choir of the Hill\nThe Band of the Coast\nThe Club of the Bay",
+    "capitals": "OF THE 742 GUESTS AT PIEDRAMORA,\nTHE MOST CAME IN MAY AND THE REST\nCAME TO THE FAIR IN JUNE.",
+}
+
+
+def test_statistics_don_t_depend_on_function_words(spark):
+    rows = spark.createDataFrame([(k, "f", t, " ".join(t.lower().split())) for k, t in FULL_OF_FUNCTION_WORDS.items()], PANEL)
+    got = {r.paragraph_id: r for r in Q.with_statistics(rows).withColumns({n: when for n, _, when in Q.labelling_functions()}).collect()}
+    assert all(r.common_share >= 0.14 and r.n_lines >= 3 for r in got.values())
+    assert got["items"].item_share == got["contents"].item_share == 1 and got["items"].item_lines and got["contents"].item_lines
+    assert not got["items"].lower_case_run and not got["capitals"].lower_case_run and got["capitals"].lower_words == 0
+    assert got["rows"].row_share == got["absent"].row_share == 1 and got["rows"].figure_rows and got["absent"].figure_rows
+    assert got["rows"].cell_share == got["absent"].cell_share == 6 / 18
+    assert got["names"].names_share == 0.4
