@@ -24,8 +24,8 @@ from paperloom.session import cut_lineage
 DOMINANCE, CLEAR = 20, 200
 #: The same for a word with signs or figures inside.
 ODD_DOMINANCE = 3
-#: Words told apart from suspects by a broadcast set; the most frequent accepted forms. The rest is
-#: looked up by a join.
+#: Words told apart from suspects by a broadcast set; the most frequent accepted forms. The rest, of misread words and of words cut at
+#: a line's end, is looked up by joins.
 MAX_ACCEPTED = 50_000
 MIN_ACCEPTED = 3
 #: Distinct words or word pairs counted in memory before they are handed on.
@@ -190,42 +190,97 @@ def lexicon(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return good.unionByName(compounds), judged.where("down").select("form", "n", "bones"), pairs
 
 
+def _seams(text: str | None, *after: str | None) -> Iterator[tuple[str, str, str, str, str]]:
+    """(left, sign, bare, whole, right) of a line that ends in a hyphen with each line below that its last word may go on in."""
+    end = _TAIL.search(text) if text else None
+    if not end:
+        return
+    left, sign = end[1], end[2]
+    bare = re.split("[-\u2011]", left)[-1]
+    for text_below in after:
+        begin = _HEAD.match(text_below) if text_below else None
+        if not begin:
+            continue
+        whole = _EDGE.sub("", begin[1])
+        right = re.split(f"[{HYPHENS}]", whole)[0]
+        if right and right[0].isalpha():
+            yield left, sign, bare, whole, right
+
+
+def _hyphenated(text: str | None) -> bool:
+    return bool(text) and text.rstrip()[-1:] in HYPHENS and bool(text.rstrip())
+
+
+def _looked_up(text: str, one: str | None, two: str | None, before: str | None) -> set[str]:
+    """The forms that the marks of a line at a hyphen ask for, and the skeletons that they do, each behind a blank."""
+    forms, bones = set(), set()
+    own, above = _hyphenated(text), _hyphenated(before)
+    words = tokens(text)
+    for w in (*(words[-1:] if own else ()), *(words[:1] if above else ())):
+        forms |= {key_of(w), w.lower()}
+    for left, _, bare, whole, right in (*(_seams(text, one, two) if own else ()), *(_seams(before, text) if above else ())):
+        compounds = {f"{left}-{whole}".lower(), f"{left}-{right}".lower()}
+        forms |= {f(w) for w in (bare + right, bare, right) for f in (key_of, str.lower)} | compounds
+        bones |= {" " + skeleton(w) for w in (*compounds, bare + right, (bare + right).lower())}
+    return forms | bones
+
+
+def _beyond(lines: DataFrame, accepted: DataFrame, known: dict[str, int]) -> DataFrame:
+    """(line_id, beyond): for lines at a hyphen, what they ask for that is accepted but too rare for the broadcast set, by a join with the whole table."""
+    shared = lines.sparkSession.sparkContext.broadcast(set(known))
+    kind = dict(lines.dtypes)["line_id"]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = shared.value | {" " + skeleton(w) for w in shared.value}
+        for batch in batches:
+            rows = []
+            for line_id, text, one, two, before in zip(batch["line_id"], batch["text"], batch["next_1"], batch["next_2"], batch["before"], strict=True):
+                if _hyphenated(text) or _hyphenated(before):
+                    rows += [(line_id, item) for item in _looked_up(text, one, two, before) - frequent]
+            yield pd.DataFrame(rows, columns=["line_id", "item"])
+
+    asked = lines.select("line_id", "text", "next_1", "next_2", "before").mapInPandas(ask, f"line_id {kind}, item string")
+    bones = F.pandas_udf(lambda words: words.map(lambda w: " " + skeleton(w)), "string")
+    held = accepted.select(F.col("form").alias("item"), "n").unionByName(accepted.select(bones("form").alias("item"), F.lit(1).cast("long").alias("n")).distinct())
+    return asked.join(held, "item").groupBy("line_id").agg(F.collect_set(F.struct("item", "n")).alias("beyond"))
+
+
 def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
-    """Adds cut (the word goes on below) and suspects (words that aren't accepted, with their neighbours; seam: length of a cut word's part above, below zero where the line holds that part)."""
+    """Adds cut (the word goes on below) and suspects (words that aren't accepted, with their neighbours; seam: length of a cut word's part above, below zero where the line holds that part).
+
+    `beyond` holds the accepted forms and skeletons outside the broadcast set that a line at a hyphen asks for, from _beyond(); null for none.
+    """
     shared = lines.sparkSession.sparkContext.broadcast(accepted)
     kinds = dict(lines.dtypes)
-    kept = [c for c in lines.columns if c not in ("next_1", "next_2", "before")]
+    kept = [c for c in lines.columns if c not in ("next_1", "next_2", "before", "beyond")]
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         bones = {skeleton(w) for w in known}
+        rare: dict[str, int] = {}
+
+        frequent = Memo(lambda form: known.get(key_of(form), 0) or known.get(form.lower(), 0)).__getitem__
 
-        count = Memo(lambda form: known.get(key_of(form), 0) or known.get(form.lower(), 0)).__getitem__
+        def count(form: str) -> int:
+            if not rare:
+                return frequent(form)
+            return known.get(key_of(form), 0) or rare.get(key_of(form), 0) or known.get(form.lower(), 0) or rare.get(form.lower(), 0)
+
+        def has_bones(form: str) -> bool:
+            return skeleton(form) in bones or " " + skeleton(form) in rare
 
         def cut_at(text: str | None, *after: str | None) -> tuple[str, str] | None:
             """The word's part on this line and the part below, if it is cut."""
-            end = _TAIL.search(text) if text else None
-            if not end:
-                return None
-            left, sign = end[1], end[2]
-            bare = re.split("[-\u2011]", left)[-1]
             best = None
-            for text_below in after:
-                begin = _HEAD.match(text_below) if text_below else None
-                if not begin:
-                    continue
-                whole = _EDGE.sub("", begin[1])
-                right = re.split(f"[{HYPHENS}]", whole)[0]
-                if not right or not right[0].isalpha():
-                    continue
-                joined, compound = count(bare + right), max(known.get(f"{left}-{whole}".lower(), 0), known.get(f"{left}-{right}".lower(), 0))
+            for left, sign, bare, whole, right in _seams(text, *after):
+                joined, compound = count(bare + right), max(known.get(w, 0) or rare.get(w, 0) for w in (f"{left}-{whole}".lower(), f"{left}-{right}".lower()))
                 if joined and joined >= compound:
                     return bare, right
                 if compound:
                     return None
-                if skeleton(f"{left}-{right}".lower()) in bones or skeleton(f"{left}-{whole}".lower()) in bones:
+                if has_bones(f"{left}-{right}".lower()) or has_bones(f"{left}-{whole}".lower()):
                     return None
-                if skeleton(bare + right) in bones or skeleton((bare + right).lower()) in bones:
+                if has_bones(bare + right) or has_bones((bare + right).lower()):
                     return bare, right
                 if best is None:
                     best = (bare, right)
@@ -237,10 +292,11 @@ def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for line_id, text, one, two, before in zip(batch["line_id"], batch["text"], batch["next_1"], batch["next_2"], batch["before"], strict=True):
+            for text, one, two, before, beyond in zip(batch["text"], batch["next_1"], batch["next_2"], batch["before"], batch["beyond"], strict=True):
                 words = tokens(text)
-                cut = cut_at(text, one, two) if text.rstrip()[-1] in HYPHENS else None
-                from_above = cut_at(before, text) if before and before.rstrip()[-1:] in HYPHENS and before.rstrip() else None
+                rare = {x["item"]: x["n"] for x in beyond} if beyond is not None else {}
+                cut = cut_at(text, one, two) if _hyphenated(text) else None
+                from_above = cut_at(before, text) if _hyphenated(before) else None
                 suspects = []
                 for i in [k for k, w in enumerate(words) if not count(w)]:
                     w = words[i]
@@ -270,6 +326,7 @@ def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs:
     form = F.pandas_udf(lambda words: words.map(key_of), "string")
     words = found.select("word").distinct().withColumns({"bones": bones("word"), "odd": strange("word"), "key": form("word")})
     words = words.join(accepted.select(F.col("form").alias("key")), "key", "left_anti")  # accepted, though too rare for the broadcast set
+    words = words.join(accepted.select(F.col("form").alias("small")), F.lower("word") == F.col("small"), "left_anti")
     counts = given_up.select(F.col("form").alias("key"), F.col("n").alias("n_wrong")).groupBy("key").agg(F.max("n_wrong").alias("n_wrong"))
     words = words.join(counts, "key", "left").fillna(1, ["n_wrong"])
     right = accepted.where("bones <> ''").select("bones", F.col("form").alias("right"), F.col("n").alias("n_right"))
@@ -355,7 +412,12 @@ def _analysed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     laid = cut_lineage(laid_out(lines))
     accepted, given_up, pairs = lexicon(laid)
     chosen = accepted.orderBy(F.desc("n"), "form").limit(MAX_ACCEPTED).select("form", "n").collect()  # at most MAX_ACCEPTED rows
-    marked = cut_lineage(_marks(laid, {r["form"]: r["n"] for r in chosen}))
+    known = {r["form"]: r["n"] for r in chosen}
+    if len(chosen) < MAX_ACCEPTED:  # the set is the whole table
+        asked = laid.withColumn("beyond", F.lit(None).cast("array<struct<item: string, n: bigint>>"))
+    else:
+        asked = laid.join(_beyond(laid, accepted, known), "line_id", "left")
+    marked = cut_lineage(_marks(asked, known))
     return marked, _misread(marked, accepted, given_up, pairs)
 
 

@@ -71,3 +71,17 @@ def test_page_numbers(spark):
     texts = {"- 12 -": 12, "Page 7": 7, "xiv": 14, "ix": 9, "p. 3": 3, "1975.": None, "12 members": None, "[8]": 8, "": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.page_number_value(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in rows} == texts
+
+
+def test_rare_accepted_forms_decide_about_hyphens(spark, monkeypatch):
+    rows = corpus()
+    for p in range(40, 44):
+        rows += page(p, ["members of the committee carried cat and walk", "the part and the time of the part-time panel", "A CATWALK IN THE COUNTY", "the catwalk and the little cottage"], p * 1000)
+    odd = ["members of the cat-", "walk displayed the part-", "time report of the cot-", "tage with neigbbors of the c0t-", "tage and the little-", "known CATWALK of zin-", "nober"]
+    lines = frame(spark, rows + page(50, odd, 95000)).cache()
+    whole = {tuple(r) for r in N.noise(lines).collect()}
+    text = [r.text for r in N.repaired(lines).where("page_number = 50").collect()]
+    assert (95001, "hyphen", None) in whole and (95002, "hyphen", None) not in whole and "catwalk displayed the part-time report of the cottage" in text[0]
+    monkeypatch.setattr(N, "MAX_ACCEPTED", 3)
+    assert {tuple(r) for r in N.noise(lines).collect()} == whole
+    assert [r.text for r in N.repaired(lines).where("page_number = 50").collect()] == text
