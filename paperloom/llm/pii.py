@@ -65,7 +65,7 @@ _STREET = re.compile(
 _CALLE = re.compile(rf"(?<!\w){_W}\.? (?:(?:{_W}|de|del|la|las|los|el) ){{1,4}}(?:(?:No|Núm|N)\.? ?|# ?)?\d{{1,5}}(?:-?[A-Z])?(?![\w.-]*\d){_UNIT}")
 _TITLE_WORDS = {*TITLES, *(t.upper() for t in TITLES)}
 _CALLE_WORDS = {*CALLES, *(t.upper() for t in CALLES)}
-_SPACE = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]{2,}|\t")
+_SPACE = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]{2,}|[^\S\n ]")
 _BROKEN = re.compile(r"(?<=\w)-[^\S\n]*\n[^\S\n]*(?=\w)")
 _LOCAL = re.compile(r"([a-zñ]{2,})\.([a-zñ]{2,})")
 
@@ -74,24 +74,43 @@ _DIGITS = str.maketrans("0123456789", "#" * 10)
 
 
 def smooth(text: str) -> str:
-    """The text with soft hyphens gone, accents composed, and each single line break or run of blanks as one blank; paragraphs stay apart."""
+    """The text with soft hyphens gone, accents composed, and each single line break, odd blank or run of blanks as one blank; paragraphs stay apart."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text.replace("\u00ad", "").replace("\u00a0", " "))
-    if "-\n" in text or "- \n" in text:
+    if "-" in text and "\n" in text:
         text = _BROKEN.sub("-", text)
-    return _SPACE.sub(" ", text) if "\n" in text or "  " in text or "\t" in text else text
+    return _SPACE.sub(" ", text)
 
 
 def item_key(item: str) -> str:
     return "".join(ch for ch in item.lower() if ch.isalnum())
 
 
+#: Characters in which the words of a context are looked for first; where they don't fit, twice as many are.
+NEAR = 28
+
+
 def _before(text: str, at: int, n: int = 2) -> str:
-    return " ".join(text[max(0, at - 28) : at].rpartition("\n")[2].split()[-n:]).lower().translate(_DIGITS)
+    """The n whole words before `at` in its paragraph, with # for figures."""
+    size = NEAR
+    while True:
+        low = max(0, at - size)
+        _, end, part = text[low:at].rpartition("\n")
+        words = part.split()
+        if len(words) > n or end or not low:
+            return " ".join(words[-n:]).lower().translate(_DIGITS)
+        size *= 2
 
 
 def _after(text: str, at: int) -> str:
-    return " ".join(text[at : at + 28].partition("\n")[0].split(None, 2)[:2]).lower().translate(_DIGITS)
+    """The two whole words from `at` in its paragraph, with # for figures."""
+    size = NEAR
+    while True:
+        part, end, _ = text[at : at + size].partition("\n")
+        words = part.split(None, 2)
+        if len(words) > 2 or end or at + size >= len(text):
+            return " ".join(words[:2]).lower().translate(_DIGITS)
+        size *= 2
 
 
 def _labelled(text: str, at: int) -> tuple[str, re.Match] | None:

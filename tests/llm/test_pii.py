@@ -84,3 +84,26 @@ def test_placeholders_nulls_repeats_and_clashes(spark):
     found = {tuple(r) for r in pii.items(df).collect()}
     assert found == {(1, "name", "torvezorro"), (1, "email", "deskpuenteexample")}
     assert pii.items(df.where("false")).count() == 0 and pii.redacted(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("end", ["\r\n", "  \n", "\t\n", "\n", " \n  "])
+def test_items_broken_at_a_hyphen_with_any_line_end(end):
+    flat = pii.smooth(f"passport A078-935-{end}975, call 407-555-{end}0165, by Ruth Wexelan-{end}Torvelan.")
+    assert flat == "passport A078-935-975, call 407-555-0165, by Ruth Wexelan-Torvelan."
+
+
+@pytest.mark.parametrize("blank", ["\u2009", "\u202f", "\f", "\t", "\r", "\u00a0"])
+def test_odd_blanks_are_plain_ones(blank):
+    flat = pii.smooth(f"by{blank}Ruth{blank}Quinelan, 12{blank}N. Marigold{blank}Street")
+    assert [(k, pii.item_key(flat[s:e])) for s, e, k in pii.find(flat, NAMES, LABELS, CALLS)] == [("name", "ruthquinelan"), ("street_address", "12nmarigoldstreet")]
+
+
+def test_contexts_are_whole_words():
+    rnd = random.Random(7)
+    for _ in range(500):
+        text = "".join(rnd.choice(["a" * rnd.randint(1, 45), " ", " ", "7", "\n"]) for _ in range(12))
+        at = rnd.randint(0, len(text))
+        figures = lambda words: " ".join(words).replace("7", "#")
+        for n in (1, 2):
+            assert pii._before(text, at, n) == figures(text[:at].split("\n")[-1].split()[-n:])
+        assert pii._after(text, at) == figures(text[at:].split("\n")[0].split()[:2])
