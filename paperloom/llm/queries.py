@@ -23,12 +23,14 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     panel = table(spark, folder, "paragraph_panel")
     chain = subjects.train(panel, table(spark, folder, "subject_labels"), table(spark, folder, "paragraph_theme_prevalence_by_group"))
-    return subjects.subjects_of(panel, chain)
+    # Paragraphs that are no prose have no subject.
+    marks = quality.not_prose(panel).select("paragraph_id", F.lit(True).alias("not_prose"))
+    found = subjects.subjects_of(panel, chain).join(marks, "paragraph_id", "left")
+    return found.withColumn("subjects", F.when(F.col("not_prose"), F.array().cast("array<string>")).otherwise(F.col("subjects"))).drop("not_prose")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    themes = _subjects(spark, folder).select("paragraph_id", F.explode("subjects").alias("theme"))
-    return themes.join(quality.not_prose(table(spark, folder, "paragraph_panel")), "paragraph_id", "left_anti")
+    return _subjects(spark, folder).select("paragraph_id", F.explode("subjects").alias("theme"))
 
 
 def p2_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -81,3 +81,21 @@ def test_nulls_repeats_clashes_and_no_labels(spark):
     nothing = S.train(panel, spark.createDataFrame([], "paragraph_id string, theme string"), themes)
     assert all(not r.subjects for r in S.subjects_of(panel, nothing).collect())
     assert S.subjects_of(panel.where("false"), chain).count() == 0
+
+
+def test_shares_are_those_of_the_found_rows(spark, tmp_path):
+    from paperloom.llm import queries
+
+    rows, labels, _ = corpus(300)
+    lists = [(f"list{i}", "herald00_1960_05.pdf", "• 14 striker scored a late goal,\n• 10 striker scored a late goal,\n• 28 striker scored a late goal;") for i in range(10)]
+    panel = spark.createDataFrame(rows + lists, PANEL).withColumn("paragraph_text_norm", F.lower("paragraph_text"))
+    marks = spark.createDataFrame(labels, "paragraph_id string, theme string")
+    themes = spark.createDataFrame([(t,) for t in MATTER], "theme string")
+    for name, df in (("paragraph_panel", panel), ("subject_labels", marks), ("paragraph_theme_prevalence_by_group", themes)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    raw = {r.paragraph_id: r.subjects for r in S.subjects_of(panel, S.train(panel, marks, themes)).collect()}
+    found = [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()]
+    assert any(raw[p] for p, _, _ in lists) and not any(p.startswith("list") for p, _ in found)
+    shares = {r.theme: r for r in queries.p2_shares(spark, str(tmp_path)).collect()}
+    assert {t: shares[t].n_paragraphs for t in MATTER} == {t: sum(x == t for _, x in found) for t in MATTER}
+    assert shares["none"].n_paragraphs == 310 - len({p for p, _ in found}) and shares["law"].share == pytest.approx(shares["law"].n_paragraphs / 310)
