@@ -394,7 +394,7 @@ def noise(lines: DataFrame) -> DataFrame:
     """(line_id, noise_kind, detail): each line with each kind of noise that it has, once; kinds are header, page_number, hyphen, misread.
 
     Needs line_id, file_name, page_number, column_index, x0, y0, x1, y1, text and loaded_at; other columns are ignored. A line loaded
-    again counts as it was last loaded. Null and blank texts have no noise. `detail` holds the misread word and the form it stands
+    again counts as it was last loaded. Null and blank texts have no noise. Words of one or two characters, such as 0f for of, are never taken for misread. `detail` holds the misread word and the form it stands
     for as word=right, and is null otherwise. An empty table gives no rows.
     """
     laid, right = _analysed(lines)
