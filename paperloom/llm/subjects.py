@@ -3,7 +3,7 @@
 Method: a chain of classifiers over term, source and structure features. Link j of the chain is a logistic classifier of subject j
 that also sees the subjects before it, so it models which subjects stand together. Each link is calibrated on labelled paragraphs
 that it wasn't fitted on. A paragraph's set of subjects is decoded by beam search for the most probable combination. The chain is
-fitted on a bounded sample of the labelled paragraphs; term statistics and the decoding cover all paragraphs.
+fitted on a bounded sample of the labelled paragraphs, from which the term statistics come too; the decoding covers all paragraphs.
 """
 
 from __future__ import annotations
