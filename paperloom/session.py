@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set for the session."""
+    """The folder named in spark.checkpoint.dir, or that was set as the checkpoint folder.
+
+    Where neither is set, a session whose executors are on this machine, as in tests, gets a temporary one; a cluster is refused, as its
+    executors wouldn't see each other's files.
+    """
+    context = spark.sparkContext
     set_by_user = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_user:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(set_by_user)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(set_by_user)
         return set_by_user
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
+    return context.getCheckpointDir()
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
