@@ -70,17 +70,16 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-def _supply(spark: SparkSession, folder: str) -> DataFrame:
-    targets = table(spark, folder, "mix_targets")
-    return mixing.supply(mixing.with_tokens(table(spark, folder, "documents"), targets), targets)
+def _shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _supply(spark, folder).where("short").select("source")
+    return _shares(spark, folder).where("short").select("source")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return _supply(spark, folder)
+    return _shares(spark, folder)
 
 
 def p7_order(spark: SparkSession, folder: str) -> DataFrame:
