@@ -1,11 +1,10 @@
 """Items that appear together, kept in an incremental pair table.
 
-Method: the table keeps each basket's distinct items, and counts of items and of pairs in files bucketed by hash. A change brings the
-new content of some baskets. A changed basket emits -1 for what it no longer holds and +1 for what it holds anew, both for the pairs
-and for the items (the marginals); these signed deltas are added up before they are shuffled, and merged into the counts of the
-buckets they fall in; other buckets are left as they are. The association of a pair rests on its own count, its two marginals and
-the number of baskets. The part without the number of baskets is stored and recomputed only where a count or a marginal changed; the
-number of baskets enters as a factor on reading.
+Method: the table keeps each basket's distinct items, and counts of items (the marginals) and of pairs in files bucketed by hash. A
+change brings the new content of some baskets. A changed basket emits -1 for what it no longer holds and +1 for what it holds anew,
+both for the pairs and for the items; these signed deltas are added up before they are shuffled, and merged into the counts of the
+buckets they fall in; other buckets aren't read. The association of a pair rests on its count, its two marginals and the number of
+baskets. Marginals are stored apart, so a changed marginal rewrites no pair; affected() scores again the pairs that a change touched.
 """
 
 from __future__ import annotations
@@ -15,20 +14,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from paperloom.session import fresh_folder
+from paperloom.session import fresh_folder, parallelism
 
-BUCKETS = 32
-#: Items of a basket that are paired within one task; a larger basket is cut into blocks, and each pair of blocks is a row of its own.
+#: Rows of a bucket. Where the stored and changed rows of a kind come to twice as many a bucket, its buckets are made as many more.
+ROWS = 1_000_000
+#: Items of a basket that are paired within one row; a larger basket is cut into blocks, and each pair of blocks is a row of its own that goes to any task.
 BLOCK = 64
 
-PAIRS = "bucket int, term_a string, term_b string, n_ab long, core double"
-ITEMS = "bucket int, term string, n long"
-BASKETS = "bucket int, basket string, items array<string>"
+SCHEMAS = {"pairs": "bucket int, term_a string, term_b string, n_ab long", "items": "bucket int, term string, n long", "baskets": "bucket int, basket string, items array<string>"}
+KEYS = {"pairs": ("term_a", "term_b"), "items": ("term",), "baskets": ("basket",)}
 
 
 def spelling(term: Column) -> Column:
     """Lower case, hyphen and underscore as blank, blanks collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(term), r"[\s _-]+", " "))
+    return F.trim(F.regexp_replace(F.lower(term), r"[\s _-]+", " "))
 
 
 def baskets_of(rows: DataFrame, basket: str, term: str) -> DataFrame:
@@ -37,133 +36,186 @@ def baskets_of(rows: DataFrame, basket: str, term: str) -> DataFrame:
     return clean.distinct().groupBy("basket").agg(F.sort_array(F.collect_list("term")).alias("items"))
 
 
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """(term_a, term_b, d), term_a < term_b, from (d, left, right)."""
+    return rows.select("d", F.explode("left").alias("term_a"), "right").select("d", "term_a", F.explode("right").alias("term_b")).where("term_a < term_b").select("term_a", "term_b", "d")
+
+
 def signed_pairs(baskets: DataFrame, sign: Column) -> DataFrame:
-    """(term_a, term_b, d): the sign of each basket for each of its pairs, term_a < term_b, summed on the map side by who groups it."""
+    """(term_a, term_b, d): the sign of each basket for each of its pairs, summed on the map side by who groups it.
+
+    Pairs of blocks of large baskets are spread over the tasks before they are written out, so a basket of any size is no task's alone.
+    """
+    signed = baskets.withColumn("d", sign)
+    small = signed.where(F.size("items").between(2, BLOCK)).select("d", F.col("items").alias("left"), F.col("items").alias("right"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / BLOCK).cast("int")), lambda i: F.slice("items", i * BLOCK + 1, BLOCK))
-    cut = baskets.where(F.size("items") > 1).select(sign.alias("d"), blocks.alias("blocks"))
-    one = cut.select("d", "blocks", F.posexplode("blocks").alias("i", "left"))
+    large = signed.where(F.size("items") > BLOCK).select("d", blocks.alias("blocks"))
+    one = large.select("d", "blocks", F.posexplode("blocks").alias("i", "left"))
     two = one.select("d", "left", F.explode(F.slice("blocks", F.col("i") + 1, F.size("blocks"))).alias("right"))
-    return two.select("d", F.explode("left").alias("term_a"), "right").select("d", "term_a", F.explode("right").alias("term_b")).where("term_a < term_b").select("term_a", "term_b", "d")
+    spread = two.repartition(parallelism(baskets.sparkSession), F.xxhash64("left", "right"))
+    return _all_pairs(small).unionByName(_all_pairs(spread))
 
 
 class PairTable:
-    """Counts of items and pairs over baskets, in Parquet files below `path`, one folder for each bucket and version.
+    """Counts of items and pairs over baskets, in Parquet files below `path`, one folder for each kind, version and bucket.
 
-    A version is written whole before the manifest names it, so a job that dies midway leaves the version before it readable, and the
-    same change can be applied again.
+    A version is written whole before the manifest names it, and only then does the object take it on; a change that fails midway leaves
+    the version before it in force, and applying it again gives the same. Files that neither the last nor the one before last manifest
+    names are removed. Buckets number what the rows need, at about `rows` a bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path or fresh_folder(spark, "pairs"), buckets
-        self.version, self.n_baskets = 0, 0
-        self.files: dict[str, dict[int, str]] = {"pairs": {}, "items": {}, "baskets": {}}
+    def __init__(self, spark: SparkSession, path: str | None = None, rows: int = ROWS) -> None:
+        self.spark, self.path, self.rows = spark, path or fresh_folder(spark, "pairs"), rows
+        self.state: dict = {"version": 0, "n_baskets": 0, "kinds": {k: {"buckets": 1, "rows": 0, "files": {}} for k in SCHEMAS}}
+
+    @property
+    def version(self) -> int:
+        return self.state["version"]
 
-    def _bucket(self, *keys: str) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+    @property
+    def n_baskets(self) -> int:
+        return self.state["n_baskets"]
 
     def _stored(self, kind: str, only: set[int] | None = None) -> DataFrame:
-        schema = {"pairs": PAIRS, "items": ITEMS, "baskets": BASKETS}[kind]
-        paths = [p for b, p in sorted(self.files[kind].items()) if only is None or b in only]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _write(self, kind: str, rows: DataFrame, touched: set[int]) -> None:
-        """Replaces the touched buckets; a bucket's folder holds its rows with the column bucket inside."""
-        folder = f"{self.path}/{kind}/v{self.version}"
-        rows.withColumn("at", F.col("bucket")).repartition(max(1, min(len(touched), self.buckets)), "bucket").write.partitionBy("at").parquet(folder)
-        written = {r["at"] for r in self.spark.read.schema("at int").parquet(folder).select("at").distinct().collect()} if touched else set()
-        for b in touched:
-            if b in written:
-                self.files[kind][b] = f"{folder}/at={b}"
-            else:
-                self.files[kind].pop(b, None)
-
-    def _touched(self, keyed: DataFrame) -> set[int]:
-        """At most `buckets` numbers reach the driver."""
-        return {r["bucket"] for r in keyed.select("bucket").distinct().collect()}
+        paths = [p for b, p in sorted(self.state["kinds"][kind]["files"].items()) if only is None or b in only]
+        return self.spark.read.schema(SCHEMAS[kind]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[kind])
+
+    def _merge(self, kind: str, delta: DataFrame, n_delta: int, combine, version: int) -> dict:  # noqa: ANN001
+        """The kind's next state: the buckets that `delta` falls in are read, combined and written again; all of them where there must be more buckets."""
+        old = self.state["kinds"][kind]
+        buckets = old["buckets"]
+        while old["rows"] + n_delta > 2 * self.rows * buckets:
+            buckets *= 2
+        bucket = F.pmod(F.xxhash64(*KEYS[kind]), F.lit(buckets)).cast("int")
+        delta = delta.withColumn("bucket", bucket)
+        if buckets == old["buckets"]:
+            touched = {r["bucket"] for r in delta.select("bucket").distinct().collect()}  # at most as many as there are buckets
+            kept = {b: p for b, p in old["files"].items() if b not in touched}
+            before = self._stored(kind, touched)
+        else:
+            touched, kept = set(range(buckets)), {}
+            before = self._stored(kind).withColumn("bucket", bucket)
+        folder = f"{self.path}/{kind}/v{version}"
+        rows = combine(before, delta).withColumn("at", F.col("bucket"))
+        rows.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("at").parquet(folder)
+        files = kept | {b: f"{folder}/at={b}" for b in self._folders(folder)}
+        # Rows that a change adds to ones that were there are counted twice until the buckets are made more, when all rows are counted again.
+        n = old["rows"] + n_delta if buckets == old["buckets"] else self.spark.read.schema(SCHEMAS[kind]).parquet(*files.values()).count() if files else 0
+        return {"buckets": buckets, "rows": n, "files": files}
+
+    def _fs(self, path: str):  # noqa: ANN202
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jvm_path, jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folders(self, folder: str) -> list[int]:
+        """The buckets that were written; a listing, no job."""
+        path, fs = self._fs(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return [int(n[3:]) for n in names if n.startswith("at=")]
+
+    def _remove(self, paths: set[str]) -> None:
+        for p in paths:
+            path, fs = self._fs(p)
+            fs.delete(path, True)
+
+    def _step(self, version: int, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.path}/step/v{version}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def apply(self, changed: DataFrame) -> None:
         """Takes (basket, items) as the whole new content of these baskets; an empty array takes a basket out. Baskets not named stay.
 
         Each basket once. Applying the same change twice changes nothing the second time.
         """
-        self.version += 1
-        step = f"{self.path}/step/v{self.version}"
-        new = changed.select(self._bucket("basket").alias("bucket"), "basket", F.array_sort(F.array_distinct("items")).alias("items"))
-        new.write.parquet(f"{step}/new")
-        new = self.spark.read.schema(BASKETS).parquet(f"{step}/new")
-        old_buckets = self._touched(new)
-        before = self._stored("baskets", old_buckets)
-        both = new.select("basket", F.col("items").alias("now")).join(before.select("basket", F.col("items").alias("was")), "basket", "left").withColumn("was", F.coalesce("was", F.array().cast("array<string>")))
+        version = self.version + 1
+        old = self.state["kinds"]["baskets"]
+        bucket = F.pmod(F.xxhash64("basket"), F.lit(old["buckets"])).cast("int")
+        new = self._step(version, "new", changed.select("basket", F.array_sort(F.array_distinct("items")).alias("items"), bucket.alias("bucket")))
+        before = self._stored("baskets", {r["bucket"] for r in new.select("bucket").distinct().collect()}) if old["files"] else self._stored("baskets")
+        now = new.select("basket", F.col("items").alias("now"))
+        both = now.join(before.select("basket", F.col("items").alias("was")), "basket", "left").withColumn("was", F.coalesce("was", F.array().cast("array<string>")))
         both = both.where("now <> was")
-        out = both.select(F.col("was").alias("items"), F.lit(-1).cast("long").alias("d"))
-        come = both.select(F.col("now").alias("items"), F.lit(1).cast("long").alias("d"))
-        signed = out.unionByName(come)
-        pairs = signed_pairs(signed, F.col("d")).groupBy("term_a", "term_b").agg(F.sum("d").alias("d")).where("d <> 0")
-        items = signed.select("d", F.explode("items").alias("term")).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
-        pairs.select(self._bucket("term_a", "term_b").alias("bucket"), "term_a", "term_b", "d").write.parquet(f"{step}/pairs")
-        items.select(self._bucket("term").alias("bucket"), "term", "d").write.parquet(f"{step}/items")
-        pairs = self.spark.read.schema("bucket int, term_a string, term_b string, d long").parquet(f"{step}/pairs")
-        items = self.spark.read.schema("bucket int, term string, d long").parquet(f"{step}/items")
-        self.n_baskets += both.select(F.sum((F.size("now") > 0).cast("int") - (F.size("was") > 0).cast("int"))).first()[0] or 0
-
-        kept = before.join(new.select("basket"), "basket", "left_anti").select("bucket", "basket", "items")
-        self._write("baskets", kept.unionByName(new.where(F.size("items") > 0)), old_buckets)
-
-        touched = self._touched(items)
-        counts = self._stored("items", touched).unionByName(items.withColumnRenamed("d", "n"))
-        self._write("items", counts.groupBy("bucket", "term").agg(F.sum("n").alias("n")).where("n > 0"), touched)
-
-        # A pair is affected if its count changed or one of its marginals did; the buckets of both kinds are merged and scored again.
-        known = self._stored("pairs")
-        marginals = items.select("term")
-        affected = reduce(
-            DataFrame.unionByName,
-            [pairs.select("bucket"), known.join(marginals, F.col("term_a") == F.col("term"), "left_semi").select("bucket"), known.join(marginals, F.col("term_b") == F.col("term"), "left_semi").select("bucket")],
-        )
-        touched = self._touched(affected)
-        n = self._stored("items").select("term", "n")
-        merged = self._stored("pairs", touched).select("bucket", "term_a", "term_b", "n_ab").unionByName(pairs.withColumnRenamed("d", "n_ab"))
-        merged = merged.groupBy("bucket", "term_a", "term_b").agg(F.sum("n_ab").alias("n_ab")).where("n_ab > 0")
-        scored = merged.join(n.toDF("term_a", "n_a"), "term_a").join(n.toDF("term_b", "n_b"), "term_b")
-        core = F.col("n_ab") / (F.col("n_a").cast("double") * F.col("n_b"))
-        self._write("pairs", scored.select("bucket", "term_a", "term_b", "n_ab", core.alias("core")), touched)
-        self._save()
-
-    def _save(self) -> None:
+        signed = both.select(F.explode(F.array(F.struct(F.col("was").alias("items"), F.lit(-1).cast("long").alias("d")), F.struct(F.col("now").alias("items"), F.lit(1).cast("long").alias("d")))).alias("x")).select("x.*")
+        pairs = self._step(version, "pairs", signed_pairs(signed, F.col("d")).groupBy("term_a", "term_b").agg(F.sum("d").alias("d")).where("d <> 0"))
+        items = self._step(version, "items", signed.select("d", F.explode("items").alias("term")).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0"))
+        come = both.agg(F.coalesce(F.sum((F.size("now") > 0).cast("int") - (F.size("was") > 0).cast("int")), F.lit(0)).alias("n")).first()["n"]
+
+        def content(stored: DataFrame, delta: DataFrame) -> DataFrame:
+            return stored.join(delta.select("basket"), "basket", "left_anti").unionByName(delta.where(F.size("items") > 0)).select("bucket", "basket", "items")
+
+        def added(n: str):  # noqa: ANN202
+            def combine(stored: DataFrame, delta: DataFrame) -> DataFrame:
+                keys = [c for c in stored.columns if c != n]
+                return stored.unionByName(delta.withColumnRenamed("d", n)).groupBy(*keys).agg(F.sum(n).alias(n)).where(F.col(n) > 0)
+
+            return combine
+
+        kinds = {
+            "baskets": self._merge("baskets", new.drop("bucket"), new.count(), content, version),
+            "items": self._merge("items", items, items.count(), added("n"), version),
+            "pairs": self._merge("pairs", pairs, pairs.count(), added("n_ab"), version),
+        }
+        last = self.state
+        state = {"version": version, "n_baskets": self.n_baskets + come, "kinds": kinds}
+        self._save(state)
+        self.state = state
+        gone = set(last.get("before", [])) - self._named(state)
+        self.state["before"] = sorted(self._named(last))
+        self._remove({p for p in gone if p not in self._named(last)} | {f"{self.path}/step/v{version - 1}"})
+
+    @staticmethod
+    def _named(state: dict) -> set[str]:
+        return {p for kind in state["kinds"].values() for p in kind["files"].values()}
+
+    def _save(self, state: dict) -> None:
         """The manifest: version, number of baskets, and the folder of each bucket."""
-        row = json.dumps({"version": self.version, "n_baskets": self.n_baskets, "files": self.files})
-        self.spark.createDataFrame([(self.version, row)], "version int, manifest string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        row = json.dumps({k: v for k, v in state.items() if k != "before"})
+        self.spark.createDataFrame([(state["version"], row)], "version int, manifest string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, buckets: int = BUCKETS) -> PairTable:
+    def load(cls, spark: SparkSession, path: str, rows: int = ROWS) -> PairTable:
         """The last version that was saved below `path`."""
-        self = cls(spark, path, buckets)
+        self = cls(spark, path, rows)
         last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
-        state = json.loads(last["manifest"])
-        self.version, self.n_baskets = state["version"], state["n_baskets"]
-        self.files = {k: {int(b): p for b, p in x.items()} for k, x in state["files"].items()}
+        self.state = json.loads(last["manifest"])
+        for kind in self.state["kinds"].values():
+            kind["files"] = {int(b): p for b, p in kind["files"].items()}
         return self
 
     def items(self) -> DataFrame:
         """(term, n): the number of baskets that hold each item."""
         return self._stored("items").select("term", "n")
 
+    def _scored(self, pairs: DataFrame) -> DataFrame:
+        """Adds n_a, n_b and lift, the ratio of n_ab to what chance would give, n_ab * n / (n_a * n_b)."""
+        n = self.items()
+        both = pairs.join(n.toDF("term_a", "n_a"), "term_a").join(n.toDF("term_b", "n_b"), "term_b")
+        return both.withColumn("lift", F.col("n_ab") / (F.col("n_a").cast("double") * F.col("n_b")) * F.lit(float(self.n_baskets)))
+
     def pairs(self) -> DataFrame:
-        """(term_a, term_b, n_ab, lift): baskets that hold both, and their ratio to what chance would give, n_ab * n / (n_a * n_b)."""
-        return self._stored("pairs").select("term_a", "term_b", "n_ab", (F.col("core") * F.lit(float(self.n_baskets))).alias("lift"))
+        """(term_a, term_b, n_ab, lift): baskets that hold both, and their association."""
+        return self._scored(self._stored("pairs")).select("term_a", "term_b", "n_ab", "lift")
+
+    def affected(self) -> DataFrame:
+        """(term_a, term_b, n_ab, lift) of the pairs that the last change touched, by their own count or by a marginal, scored again. The number of baskets is a factor that all pairs share and touches none."""
+        step = f"{self.path}/step/v{self.version}"
+        pairs = self.spark.read.schema("term_a string, term_b string, d long").parquet(f"{step}/pairs")
+        items = self.spark.read.schema("term string, d long").parquet(f"{step}/items").select("term")
+        stored = self._stored("pairs").select("term_a", "term_b", "n_ab")
+        parts = [stored.join(pairs, ["term_a", "term_b"], "left_semi"), stored.join(items, F.col("term_a") == F.col("term"), "left_semi"), stored.join(items, F.col("term_b") == F.col("term"), "left_semi")]
+        return self._scored(reduce(DataFrame.unionByName, parts).distinct()).select("term_a", "term_b", "n_ab", "lift")
 
     def associated(self, min_count: int = 5, min_share: float = 0.002, min_lift: float = 3.0) -> DataFrame:
         """The pairs with enough joint baskets, absolutely and as a share of all baskets, and enough lift.
 
-        The lift is compared in whole numbers, n_ab * n >= min_lift * n_a * n_b, so that a tie isn't lost to rounding.
+        The lift is compared in whole numbers, n_ab * n >= min_lift * n_a * n_b, so that a tie isn't lost to rounding. Pairs with too few
+        joint baskets are left out as their files are read, before any marginal is joined.
         """
-        n = self.items()
         kept = self._stored("pairs").where((F.col("n_ab") >= min_count) & (F.col("n_ab") >= min_share * self.n_baskets))
-        both = kept.join(n.toDF("term_a", "n_a"), "term_a").join(n.toDF("term_b", "n_b"), "term_b")
         whole = lambda c: F.col(c).cast(T.DecimalType(19, 0))
-        return both.where(whole("n_ab") * F.lit(self.n_baskets).cast(T.DecimalType(18, 0)) >= F.lit(min_lift) * whole("n_a") * whole("n_b")).select(
-            "term_a", "term_b", "n_ab", (F.col("core") * F.lit(float(self.n_baskets))).alias("lift")
-        )
+        enough = whole("n_ab") * F.lit(self.n_baskets).cast(T.DecimalType(18, 0)) >= F.lit(min_lift) * whole("n_a") * whole("n_b")
+        return self._scored(kept).where(enough).select("term_a", "term_b", "n_ab", "lift")
 
 
 def pair_table(rows: DataFrame, basket: str, term: str, when: str | None = None, first_share: float = 0.8, path: str | None = None) -> PairTable:
