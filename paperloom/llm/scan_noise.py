@@ -99,11 +99,12 @@ def latest(lines: DataFrame) -> DataFrame:
 
 
 def laid_out(lines: DataFrame) -> DataFrame:
-    """(line_id, file_name, page_number, column_index, text, paragraph_in_column, ends, at_top, next_1, next_2, before) in reading order.
+    """(line_id, file_name, page_number, column_index, line_no, text, paragraph_in_column, ends, at_top, at_bottom, next_1, next_2, before) in reading order.
 
     A paragraph starts where the gap to the line above is more than max(8, 1.25 * median height) of its column; blank lines count for
-    the median but belong to no paragraph and are left out. ends: the line is its paragraph's last. at_top: no other line of the page lies higher. next_1 and next_2 are the
-    lines below in the column, `before` the one above.
+    the median but belong to no paragraph and are left out. line_no is the place of the line in its column. ends: the line is its
+    paragraph's last. at_top, at_bottom: no other line of the page lies higher, or lower. next_1 and next_2 are the lines below in the
+    column, `before` the one above.
     """
     rows = latest(lines.select("line_id", "file_name", "page_number", "column_index", "x0", "y0", "y1", "text", "loaded_at"))
     column = W.partitionBy("file_name", "page_number", "column_index")
@@ -111,9 +112,10 @@ def laid_out(lines: DataFrame) -> DataFrame:
     down = column.orderBy("y0", "x0", "line_id")
     rows = rows.withColumn("_gap", F.col("y0") - F.lag("y1").over(down))
     rows = rows.withColumn("_new", (F.coalesce(F.col("_gap"), F.lit(0.0)) > F.greatest(F.lit(8.0), 1.25 * F.col("_h"))).cast("int"))
-    rows = rows.withColumns({"paragraph_in_column": 1 + F.sum("_new").over(down), "ends": F.coalesce(F.lead("_new").over(down), F.lit(1)) == 1})
+    rows = rows.withColumns({"line_no": F.row_number().over(down), "paragraph_in_column": 1 + F.sum("_new").over(down), "ends": F.coalesce(F.lead("_new").over(down), F.lit(1)) == 1})
     rows = rows.withColumns({"next_1": F.lead("text", 1).over(down), "next_2": F.lead("text", 2).over(down), "before": F.lag("text", 1).over(down)})
-    rows = rows.withColumn("at_top", F.col("y0") <= F.min("y0").over(W.partitionBy("file_name", "page_number")))
+    page = W.partitionBy("file_name", "page_number")
+    rows = rows.withColumns({"at_top": F.col("y0") <= F.min("y0").over(page), "at_bottom": F.col("y1") >= F.max("y1").over(page)})
     return rows.drop("_h", "_gap", "_new", "x0", "y0", "y1", "loaded_at")
 
 
@@ -319,7 +321,7 @@ def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
 
 
 def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line_id, word, right): suspects with the form they are misread from."""
+    """(line_id, word, at_seam, right): suspects with the form they are misread from; at_seam: the word is put together from two lines."""
     found = marked.select("line_id", F.explode("suspects").alias("s")).select("line_id", "s.*").where(F.length("word") > 2)
     bones = F.pandas_udf(lambda words: words.map(skeleton), "string")
     strange = F.pandas_udf(lambda words: words.map(odd), "boolean")
@@ -344,11 +346,15 @@ def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs:
     supported = F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0)) > 0
     both = both.where(F.col("odd") | supported | (F.col("n_right") >= CLEAR * F.col("n_wrong")))
     best = F.max_by("right", F.struct(supported.cast("int"), "n_right", "right")).alias("right")
-    return both.groupBy("line_id", "word").agg(best)
+    return both.groupBy("line_id", "word", (F.col("seam") != 0).alias("at_seam")).agg(best)
 
 
-#: Pages that a printed number may be off the number of the page in its file.
-MAX_OFFSET = 3
+#: Pages that a printed number may be off the number of the page in its file, as covers are counted or not. A file whose pages are
+#: numbered otherwise, as in a volume numbered through, has an offset of its own: one that holds on so many pages at least and on that
+#: share of the pages with a number at their top or bottom.
+MAX_OFFSET, OWN_PAGES, OWN_SHARE = 3, 3, 0.5
+#: Characters of a running title at most, strokes at least, and pages of its file that it stands on.
+HEADER_LENGTH, HEADER_STROKES, HEADER_PAGES = 90, 6, 2
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}  # fixed values
 
 
@@ -367,9 +373,14 @@ def page_number_value(text: Column) -> Column:
     return F.when(~F.trim(text).rlike(r"^\d+\.$"), number)
 
 
-def _is_page_number() -> Column:
-    """Printed numbers may run a few pages ahead of or behind the file's, as covers are counted or not."""
-    return F.abs(page_number_value(F.col("text")) - F.col("page_number")) <= MAX_OFFSET
+def page_numbers(lines: DataFrame) -> DataFrame:
+    """(line_id) of the lines of laid_out() that consist of their page's number: near the page's own in its file, or off by what holds for the file."""
+    rows = lines.select("line_id", "file_name", "page_number", (F.col("at_top") | F.col("at_bottom")).alias("at_edge"), (page_number_value(F.col("text")) - F.col("page_number")).alias("off")).where("off is not null")
+    edge = rows.where("at_edge").groupBy("file_name", "off").agg(F.count_distinct("page_number").alias("n"))
+    file = edge.groupBy("file_name").agg(F.max_by("off", F.struct("n", (-F.abs("off")).alias("d"))).alias("own"), F.max("n").alias("n"), F.sum("n").alias("n_all"))
+    file = file.where((F.col("n") >= OWN_PAGES) & (F.col("n") >= OWN_SHARE * F.col("n_all")) & (F.abs("own") > MAX_OFFSET)).select(F.col("file_name").alias("of_file"), "own")
+    rows = rows.join(file, F.col("file_name").eqNullSafe(F.col("of_file")), "left")
+    return rows.where((F.abs("off") <= MAX_OFFSET) | (F.col("at_edge") & F.coalesce(F.col("off") == F.col("own"), F.lit(False)))).select("line_id")
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -380,14 +391,14 @@ def headers(lines: DataFrame) -> DataFrame:
     edition beside a title.
     """
     form = F.pandas_udf(lambda texts: texts.map(lambda t: skeleton(_FIGURES.sub("", re.sub(r"[^\w@(]+", " ", t)).replace(" ", "").lower())), "string")
-    short = (F.length("text") <= 90) & page_number_value(F.col("text")).isNull()
+    short = (F.length("text") <= HEADER_LENGTH) & page_number_value(F.col("text")).isNull()
     top = lines.where(F.col("at_top") & short).select("line_id", "file_name", "page_number", "text", "ends").withColumn("form", form("text"))
     again = top.groupBy("file_name", "form").agg(F.count_distinct("page_number").alias("n_pages")).withColumnRenamed("file_name", "of_file")
     top = top.join(again.withColumnRenamed("form", "of_form"), F.col("file_name").eqNullSafe(F.col("of_file")) & (F.col("form") == F.col("of_form")))
     sentence = F.col("text").rlike(r"[.!?;,]\s*$") | (F.regexp_count("text", F.lit(r"(?<![\p{L}])\p{Ll}{4,}")) >= 3)
     running = F.col("text").rlike(_RUNNING) & ~F.col("text").rlike(r"^\W*\d{1,3}\W+\p{Ll}") & (F.regexp_count("text", F.lit("[|;]")) < 2)
     apart = F.col("ends") | F.col("text").rlike(r"\S\s+[/|*·•]\s+\S")
-    return top.where(((F.col("n_pages") >= 2) & apart & ~sentence & (F.length("form") >= 6)) | running).select("line_id")
+    return top.where(((F.col("n_pages") >= HEADER_PAGES) & apart & ~sentence & (F.length("form") >= HEADER_STROKES)) | running).select("line_id")
 
 
 def noise(lines: DataFrame) -> DataFrame:
@@ -397,66 +408,154 @@ def noise(lines: DataFrame) -> DataFrame:
     again counts as it was last loaded. Null and blank texts have no noise. Words of one or two characters, such as 0f for of, are never taken for misread. `detail` holds the misread word and the form it stands
     for as word=right, and is null otherwise. An empty table gives no rows.
     """
-    laid, right = _analysed(lines)
-    marked = laid.select("line_id", "text", "page_number", "cut")
-    numbers = marked.where(_is_page_number()).select("line_id", F.lit("page_number").alias("noise_kind"))
-    cut = marked.where("cut").select("line_id", F.lit("hyphen").alias("noise_kind"))
+    laid, right, _ = _analysed(lines)
+    numbers = page_numbers(laid).select("line_id", F.lit("page_number").alias("noise_kind"))
+    cut = laid.where("cut").select("line_id", F.lit("hyphen").alias("noise_kind"))
     top = headers(laid).select("line_id", F.lit("header").alias("noise_kind"))
-    misread = right.groupBy("line_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "word", "right"))), " ").alias("detail"))
+    misread = right.groupBy("line_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "word", "right"))), " ").alias("detail"))
     plain = numbers.unionByName(cut).unionByName(top).withColumn("detail", F.lit(None).cast("string"))
     return plain.unionByName(misread.select("line_id", F.lit("misread").alias("noise_kind"), "detail"))
 
 
-def _analysed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines laid out with cut marks, and (line_id, word, right) of the misread words."""
+def _known(lines: DataFrame, accepted: DataFrame) -> dict[str, int]:
+    """The accepted forms that are broadcast: at most MAX_ACCEPTED, the most frequent."""
+    return {r["form"]: r["n"] for r in accepted.orderBy(F.desc("n"), "form").limit(MAX_ACCEPTED).select("form", "n").collect()}
+
+
+def _cut_marks(lines: DataFrame, accepted: DataFrame, known: dict[str, int]) -> DataFrame:
+    """_marks() by the whole accepted table: what the broadcast set doesn't hold is joined."""
+    if len(known) < MAX_ACCEPTED:  # the set is the whole table
+        asked = lines.withColumn("beyond", F.lit(None).cast("array<struct<item: string, n: bigint>>"))
+    else:
+        asked = lines.join(_beyond(lines, accepted, known), "line_id", "left")
+    return _marks(asked, known)
+
+
+def _analysed(lines: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, dict[str, int]]]:
+    """The lines laid out with cut marks, _misread(), and the accepted forms, whole and as far as they are broadcast."""
     laid = cut_lineage(laid_out(lines))
     accepted, given_up, pairs = lexicon(laid)
-    chosen = accepted.orderBy(F.desc("n"), "form").limit(MAX_ACCEPTED).select("form", "n").collect()  # at most MAX_ACCEPTED rows
-    known = {r["form"]: r["n"] for r in chosen}
-    if len(chosen) < MAX_ACCEPTED:  # the set is the whole table
-        asked = laid.withColumn("beyond", F.lit(None).cast("array<struct<item: string, n: bigint>>"))
-    else:
-        asked = laid.join(_beyond(laid, accepted, known), "line_id", "left")
-    marked = cut_lineage(_marks(asked, known))
-    return marked, _misread(marked, accepted, given_up, pairs)
+    known = _known(laid, accepted)
+    marked = cut_lineage(_cut_marks(laid, accepted, known))
+    return marked, _misread(marked, accepted, given_up, pairs), (accepted, known)
 
 
 def noise_outside_junk(lines: DataFrame, panel: DataFrame) -> DataFrame:
     """noise() without the lines of paragraphs that are junk by their statistics."""
-    laid, right = _analysed(lines)
+    laid, right, _ = _analysed(lines)
     junk = with_text_kind(panel).where("text_kind = 'junk'").select(F.col("paragraph_id").alias("of_paragraph"))
     clean = laid.withColumn("of_paragraph", paragraph_key()).join(junk, "of_paragraph", "left_anti")
-    numbers = clean.where(_is_page_number()).select("line_id", F.lit("page_number").alias("noise_kind"))
+    numbers = page_numbers(clean).select("line_id", F.lit("page_number").alias("noise_kind"))
     cut = clean.where("cut").select("line_id", F.lit("hyphen").alias("noise_kind"))
     top = headers(clean).select("line_id", F.lit("header").alias("noise_kind"))
     misread = right.select("line_id").distinct().join(clean.select("line_id"), "line_id", "left_semi").select("line_id", F.lit("misread").alias("noise_kind"))
     return numbers.unionByName(cut).unionByName(top).unionByName(misread)
 
 
+def _in_case(word: str, right: str) -> str:
+    return right.capitalize() if word[:1].isupper() and not right.isupper() else right
+
+
+def _mended(text: str, word: str, right: str) -> str:
+    """The text with `right` for each `word` that stands as a whole word."""
+    return re.sub(rf"(?<![^\W_]){re.escape(word)}(?![^\W_])", lambda m: _in_case(word, right), text)
+
+
+def reflow(lines: list) -> str:
+    """One running text of (text, cut, fixes) in order: words mended, cut words joined, compounds joined with their hyphen, other lines by blanks.
+
+    A fix at a seam is for the word that the lines make together.
+    """
+    out, open_end = "", False
+    seams: dict[str, str] = {}
+    for line in lines:
+        fixes = line["fixes"] if line["fixes"] is not None else ()
+        text = line["text"]
+        for f in fixes:
+            if not f["at_seam"]:
+                text = _mended(text, f["word"], f["right"])
+        seams |= {f["word"]: f["right"] for f in fixes if f["at_seam"]}
+        if open_end:
+            head = _HEAD.match(text)
+            text = text.lstrip()
+            tail = re.search(r"[^\s]*\Z", out)[0]
+            whole = tail + (_EDGE.sub("", head[1]) if head else "")
+            for word, right in seams.items():
+                if whole.endswith(word):  # the mended word takes the place of both parts
+                    rest = text[len(word) - (len(tail) - (len(whole) - len(word))) :]
+                    out, text = out[: len(out) - len(tail)] + tail[: len(whole) - len(word)] + _in_case(word, right), rest
+                    break
+            seams = {f["word"]: f["right"] for f in fixes if f["at_seam"]}
+        elif out:
+            text = " " + text
+        text = text.rstrip()
+        if line["cut"]:
+            text = text.rstrip(HYPHENS)
+        open_end = line["cut"] or bool(re.search(r"[^\W\d_][-\u2011]\Z", text))
+        out += text.replace("\u00ad", "")
+    return re.sub(r"\s+", " ", out).strip()
+
+
+#: A paragraph goes on in the next column or page if its text ends in a letter, comma or hyphen and the next one begins with a small letter.
+_OPEN, _GOES_ON = rf"[\p{{L}},;{HYPHENS}]\s*$", r"^\s*\p{Ll}"
+
+
+def _continued(paragraphs: DataFrame) -> DataFrame:
+    """(key, parent, tail, head): the first paragraph of a column that the last one of the column before goes on in, on the same page or the next.
+
+    Columns are linked to their neighbours by keys, so a file of any number of pages is no task's alone.
+    """
+    column = ["file_name", "page_number", "column_index"]
+    part = lambda text: F.struct("paragraph_in_column", "key", F.col(text).alias("text"))
+    columns = paragraphs.groupBy(*column).agg(F.min(part("head")).alias("first"), F.max(part("tail")).alias("last"))
+    page = W.partitionBy("file_name", "page_number")
+    columns = columns.withColumns({"rank": F.row_number().over(page.orderBy("column_index")), "n": F.count("*").over(page)})
+    further = F.col("rank") < F.col("n")
+    ends = columns.where(F.col("last.text").rlike(_OPEN)).select("file_name", F.when(further, F.col("page_number")).otherwise(F.col("page_number") + 1).alias("page_number"), F.when(further, F.col("rank") + 1).otherwise(1).alias("rank"), F.col("last.key").alias("parent"), F.col("last.text").alias("tail"))
+    starts = columns.where(F.col("first.text").rlike(_GOES_ON)).select("file_name", "page_number", "rank", F.col("first.key").alias("key"), F.col("first.text").alias("head"))
+    return ends.join(starts, ["file_name", "page_number", "rank"]).select("key", "parent", "tail", "head")
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """(key, root): the first paragraph of the chain that each linked paragraph belongs to; pointers double their reach each round."""
+    found = cut_lineage(links.select("key", F.col("parent").alias("root")))
+    while True:
+        up = found.select(F.col("key").alias("root"), F.col("root").alias("higher"))
+        step = cut_lineage(found.join(up, "root", "left").select("key", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+        found = step.select("key", "root")
+        if step.where("moved").isEmpty():
+            return found
+
+
 def repaired(lines: DataFrame) -> DataFrame:
     """(file_name, page_number, column_index, paragraph_in_column, text): running text of each paragraph.
 
-    Headers and page numbers are left out, misread words replaced by the form they stand for, cut words joined, compounds joined with
-    their hyphen, and lines joined by blanks. A paragraph of nothing but headers and numbers is left out.
+    Lines stand in the order of the windows of laid_out(). Headers and page numbers are left out, misread words replaced by the form
+    they stand for, cut words joined, compounds joined with their hyphen, and lines joined by blanks. A paragraph that goes on in the next
+    column or page is one, under the place of its first part. A paragraph of nothing but headers and numbers is left out.
     """
-    laid, right = _analysed(lines)
-    gone = headers(laid)
-    kept = laid.join(gone, "line_id", "left_anti").where(~F.coalesce(_is_page_number(), F.lit(False)))
-    fixes = right.groupBy("line_id").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
-    kept = kept.join(fixes, "line_id", "left")
-
-    def fix(texts: pd.Series, fixes: pd.Series) -> pd.Series:
-        def one(text: str, found: list | None) -> str:
-            for f in found if found is not None else ():
-                good = f["right"]
-                good = good.capitalize() if f["word"][:1].isupper() and not good.isupper() else good
-                text = text.replace(f["word"], good)
-            return text.replace("\u00ad", "") if not text.rstrip().endswith("\u00ad") else text
-
-        return pd.Series([one(t, f) for t, f in zip(texts, fixes, strict=True)])
-
-    fixed = kept.withColumn("text", F.pandas_udf(fix, "string")("text", "fixes"))
-    fixed = fixed.withColumn("text", F.when(F.col("cut"), F.concat(F.regexp_replace("text", f"[{HYPHENS}]\\s*$", ""), F.lit("\u0001"))).when(F.col("text").rlike("\\p{L}[-\u2011]\\s*$"), F.concat(F.rtrim("text"), F.lit("\u0001"))).otherwise(F.col("text")))
+    laid, right, (accepted, known) = _analysed(lines)
+    gone = headers(laid).unionByName(page_numbers(laid))
+    fixes = right.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("word", "right", "at_seam"))).alias("fixes"))
+    kept = laid.join(gone, "line_id", "left_anti").join(fixes, "line_id", "left")
     place = ["file_name", "page_number", "column_index", "paragraph_in_column"]
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "text"))), lambda x: x["text"]), " ")
-    return fixed.groupBy(*place).agg(F.regexp_replace(F.regexp_replace(whole, "\u0001 ?", ""), r"\s+", " ").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text", "cut", "fixes")))
+    kind = "struct<text: string, tail: string, head: string>"
+
+    def run(all_lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"text": [reflow(ls) for ls in all_lines], "tail": [ls[-1]["text"] for ls in all_lines], "head": [ls[0]["text"] for ls in all_lines]})
+
+    whole = kept.groupBy(*place).agg(ordered.alias("ls")).select(*place, F.pandas_udf(run, kind)("ls").alias("x")).select(*place, "x.*")
+    key = F.concat_ws("|", F.coalesce("file_name", F.lit("")), *place[1:])
+    whole = cut_lineage(whole.withColumn("key", key))
+    links = cut_lineage(_continued(whole))
+    # Whether the word at a link is cut is judged as within a column.
+    none = F.lit(None).cast("string")
+    seam = links.select(F.col("parent").alias("line_id"), F.col("tail").alias("text"), F.col("head").alias("next_1"), none.alias("next_2"), none.alias("before"))
+    seam = _cut_marks(seam, accepted, known).select(F.col("line_id").alias("key"), F.col("cut").alias("cut_below"))
+    chains = _chains(links)
+    chains = chains.unionByName(chains.select(F.col("root").alias("key"), "root").distinct())
+    parts = whole.join(chains, "key").join(seam, "key", "left")
+    again = F.array_sort(F.collect_list(F.struct("page_number", "column_index", "paragraph_in_column", "file_name", "text", F.coalesce("cut_below", F.lit(False)).alias("cut"), F.lit(None).cast("array<struct<word: string, right: string, at_seam: boolean>>").alias("fixes"))))
+    joined = parts.groupBy("root").agg(again.alias("ls")).select(*(F.col("ls")[0][c].alias(c) for c in place), F.pandas_udf(lambda s: s.map(reflow), "string")("ls").alias("text"))
+    return whole.join(chains, "key", "left_anti").select(*place, "text").unionByName(joined)

@@ -67,6 +67,45 @@ def test_paragraphs_are_reflowed(spark):
     assert [r.text for r in row] == ["the council of neighbors documented the little-known report"]
 
 
+def only(spark, rows, page_number=30):
+    return [r.text for r in N.repaired(frame(spark, corpus() + rows)).where(F.col("page_number") == page_number).orderBy("column_index", "paragraph_in_column").collect()]
+
+
+def test_lines_stand_in_the_order_of_the_page_not_of_their_ids(spark):
+    texts = ["members of the council met in February", "documented the report of neighbors", "displayed in the county Journal"]
+    odd = [(90000 - r[0], *r[1:]) for r in page(30, texts, 0)]
+    assert only(spark, odd) == [" ".join(texts)]
+
+
+def test_a_misread_word_that_is_cut_is_mended_once_joined(spark):
+    assert only(spark, page(30, ["the council of neigb-", "bors met the mem-", "bcrs, documented"], 90000)) == ["the council of neighbors met the members, documented"]
+
+
+def test_a_fix_is_for_whole_words():
+    assert N._mended("Cat", "Cat", "oat") == "Oat" and N._mended("cat catalog Cat, cat", "cat", "oat") == "oat catalog Cat, oat"
+    fix = [{"word": "neigbbors", "right": "neighbors", "at_seam": True}]
+    lines = [{"text": "(old-neigb-", "cut": True, "fixes": fix}, {"text": "bors), x", "cut": False, "fixes": None}]
+    assert N.reflow(lines) == "(old-neighbors), x"
+
+
+def test_paragraphs_go_on_over_columns_and_pages(spark):
+    below = lambda rows, column: [(r[0] + 100, *r[1:3], column, *r[4:]) for r in rows[1:]]
+    one = page(30, ["the council of neighbors met in Febru-"], 90000)
+    two = below(page(30, ["ary and members documented the"], 90200), 1)
+    three = page(31, ["report of the little-"], 90400)
+    four = page(32, ["known panel of neighbors.", "In the county"], 90600)
+    rows = one + two + three + four + page(33, ["displayed in the Journal"], 90800) + page(35, ["and it met"], 91000)
+    rows = [r for r in rows if "Old Bridge" not in r[8]]
+    assert only(spark, rows) == ["the council of neighbors met in February and members documented the report of the little-known panel of neighbors. In the county displayed in the Journal"]
+    assert only(spark, rows, 31) == only(spark, rows, 33) == [] and only(spark, rows, 35) == ["and it met"]
+
+
+def test_a_volume_that_is_numbered_through_has_an_offset_of_its_own(spark):
+    rows = [r for p in range(1, 6) for r in page(p, [BASE[0], f"- {p + 200} -"], p * 1000, file="vol.pdf")] + page(6, [BASE[0], "1975"], 6000, file="vol.pdf") + page(7, ["207", BASE[0]], 7000, file="vol.pdf")
+    got = {r.line_id for r in N.noise(frame(spark, rows)).where("noise_kind = 'page_number'").collect()}
+    assert got == {p * 1000 + 2 for p in range(1, 6)}
+
+
 def test_page_numbers(spark):
     texts = {"- 12 -": 12, "Page 7": 7, "xiv": 14, "ix": 9, "p. 3": 3, "1975.": None, "12 members": None, "[8]": 8, "": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.page_number_value(F.col("t")).alias("n")).collect()
