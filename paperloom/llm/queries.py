@@ -70,6 +70,10 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p6_too_short(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.too_short(table(spark, folder, "eval_items"))
+
+
 def _shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -97,7 +101,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_clean, p2_found, p2_shares, p3_found, p3_paragraphs, p4_found, p4_issues, p5_found, p5_pairs, p6_found, p6_clean, p7_found, p7_shares, p7_order, p8_found, p8_clean)
+        for f in (p1_found, p1_clean, p2_found, p2_shares, p3_found, p3_paragraphs, p4_found, p4_issues, p5_found, p5_pairs, p6_found, p6_clean, p6_too_short, p7_found, p7_shares, p7_order, p8_found, p8_clean)
     }
 
 
@@ -152,6 +156,11 @@ WITH words AS (
 SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM grams d JOIN grams e ON d.g = e.g AND d.is_item = 0 AND e.is_item = 1
 """
 
+_SHORT = f"""
+SELECT * FROM (SELECT item_id, max(coalesce(len(regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(passage, '[-‐‑¬­][ \\t]*\\n\\s*', '', 'g'), '[{_SILENT}]', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')), 0)) AS n_words
+FROM eval_items WHERE item_id IS NOT NULL GROUP BY 1) WHERE n_words < 12
+"""
+
 _P7 = """
 WITH t AS (SELECT lower(trim(source)) AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1),
 s AS (SELECT source, coalesce(sum(length(text)), 0) AS n FROM t LEFT JOIN (SELECT lower(trim(source)) AS source, text FROM documents) USING (source) GROUP BY 1)
@@ -170,5 +179,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _P5 + "SELECT term_a, term_b FROM scored WHERE n_ab >= 5 AND n_ab >= 0.002 * n AND above",
         "p5_pairs": _P5 + "SELECT term_a, term_b, n_ab, lift FROM scored",
         "p6_found": _P6,
+        "p6_too_short": _SHORT,
         "p7_found": _P7,
     }

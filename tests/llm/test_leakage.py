@@ -52,6 +52,28 @@ def test_removal_cuts_the_stretch_only(spark):
     assert got[1] == ("Before it. ! After it.", 1) and got[2] == ("nothing here", 0) and got[3] == (None, 0) and got[4][1] == 2
 
 
+def test_removal_beyond_the_bound_gives_the_same(spark):
+    text = "Before it. " + " ".join(WORDS[:14]).title() + "! After it. " + " ".join(WORDS[20:33])
+    rows = [(1, text), (2, "nothing here"), (3, None), (4, text + " " + text), (1, text), (5, text), (None, text), (6, ""), (7, "wo-\nrd0 " + " ".join(WORDS[1:12]) + " end")]
+    items = spark.createDataFrame([(i, " ".join(WORDS[i : i + 15])) for i in range(0, 30, 3)] + [(90, None), (91, "short")], ITEM)
+    docs = spark.createDataFrame(rows, DOC).withColumns({"digest": F.lit("d"), "at": F.lit(1), "gram": F.lit("g")})
+    got = [sorted(map(tuple, leakage.without_leaks(docs, items, max_broadcast_words=most).collect()), key=repr) for most in (1, 10**6)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) and (1, "Before it. ! After it. ", 2) in got[0] and (None, "Before it. ! After it. ", 2) in got[0]
+    assert leakage.without_leaks(docs, items.where("false"), max_broadcast_words=-1).where("n_cut > 0").count() == 0
+
+
+def test_the_filter_lets_every_true_window_through(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "FILTER_BYTES", 1 << 15)  # crowded
+    items = [(i, " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(60))) for i in range(200)]
+    docs = [(i, "x " + " ".join(items[i][1].split()[i % 40 : i % 40 + 12 + i % 2]) + " y") for i in range(200)] + [(1000 + i, " ".join(f"w{(i * 11 + k * 13) % 997}" for k in range(80))) for i in range(50)]
+    assert found(spark, docs, items) == found(spark, docs, items, max_broadcast_words=1) and len(found(spark, docs, items)) >= 200
+
+
+def test_items_that_can_t_be_searched(spark):
+    items = [(1, " ".join(WORDS[:12])), (2, " ".join(WORDS[:11])), (2, "a"), (3, None), (None, "x"), (4, "")]
+    assert {tuple(r) for r in leakage.too_short(spark.createDataFrame(items, ITEM)).collect()} == {(2, 11), (3, 0), (4, 0)}
+
+
 def test_spans_point_into_the_text():
     text = "Café días con-\ntinuous don’t x"
     assert [text[a:b] for a, b in leakage.word_spans(text)] == ["Café", "días", "con-\ntinuous", "don’t", "x"]
