@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import pii
 
 DOC = "doc_id long, text string"
-NAMES, LABELS, CALLS = {"amalia", "oscar", "ruth"}, {"ssn", "number", "passport", "cédula", "security"}, {"at": 0.4, "call": 0.4, "pages": 0.0}
+TRUSTED = pii.Trusted(names={"amalia", "oscar", "ruth"}, labels={"ssn", "number", "passport", "cédula", "security"}, calls={"at", "call"}, off={"pages"})
 
 
 @pytest.mark.parametrize(
@@ -37,7 +38,7 @@ NAMES, LABELS, CALLS = {"amalia", "oscar", "ruth"}, {"ssn", "number", "passport"
 )
 def test_forms(text, expected):
     flat = pii.smooth(text)
-    assert [(k, pii.item_key(flat[s:e])) for s, e, k in pii.find(flat, NAMES, LABELS, CALLS)] == expected
+    assert [(k, pii.item_key(flat[s:e])) for s, e, k in pii.find(flat, TRUSTED)] == expected
 
 
 def corpus(n=400):
@@ -71,9 +72,51 @@ def corpus(n=400):
 def test_seeds_lead_to_unseen_names_labels_and_contexts(spark):
     docs, truth = corpus()
     df = spark.createDataFrame(docs, DOC)
-    names, labels, calls = pii.learn(df)
-    assert names == {"amalia", "oscar", "ruth", "hugo", "celia", "walter"} and labels == {"ssn", "passport"} and calls["pages"] == 0
+    known = pii.Trusted.of(pii.learn(df).collect())
+    assert known.names == {"amalia", "oscar", "ruth", "hugo", "celia", "walter"} and known.labels == {"ssn", "passport"} and known.off == {"pages"}
     assert {tuple(r) for r in pii.items(df).collect()} == truth
+    assert {tuple(r) for r in pii.items(df, max_trusted=0).collect()} == truth
+    both = [sorted(map(tuple, pii.redacted(df.unionByName(df.limit(3)), max_trusted=most).collect())) for most in (0, 10**6)]
+    assert both[0] == both[1] and len(both[0]) == len(docs) + 3
+
+
+def test_patterns_discover_phones_streets_and_ways_to_write_mail(spark):
+    docs = []
+    for i in range(40):
+        docs.append(f"Ring +1 701 555 {1000 + i} by noon. Send it to {10 + i} Marigold Street, please. Ask desk{i}@puente.example about it.")
+        docs.append(f"Ring 555-{3000 + i} by noon. Send it to {60 + i} Halfmoon Crescent, please. Ask gate{i} <bei> puente <punkt> example about it.")
+        docs.append(f"Dial 555-{5000 + i} by noon. In all, {60 + i} Solana Heights came. See pages {100 + i}-{2000 + i}. One (see) puente.net and so on.")
+    df = spark.createDataFrame(list(enumerate(docs)), DOC)
+    known = pii.Trusted.of(pii.learn(df).collect())
+    assert {"ring", "dial"} <= known.calls and known.off == {"pages"} and known.exchanges == {"555"} and known.streets == {"crescent"} and known.signs == {"<bei> <punkt>"}
+    got = {tuple(r) for r in pii.items(df).where("pii_kind <> 'name'").collect()}
+    keys = lambda i: {("phone", f"1701555{1000 + i}"), ("street_address", f"{10 + i}marigoldstreet"), ("email", f"desk{i}puenteexample"), ("phone", f"555{3000 + i}"), ("street_address", f"{60 + i}halfmooncrescent"), ("email", f"gate{i}beipuentepunktexample"), ("phone", f"555{5000 + i}")}
+    assert {x[1:] for x in got} == {k for i in range(40) for k in keys(i)}
+    without = pii.Trusted(**(known.__dict__ | {"calls": set(), "exchanges": set(), "streets": set(), "signs": set()}))
+    assert len({tuple(r) for r in pii.items(df, without).where("pii_kind <> 'name'").collect()}) == 3 * 40
+
+
+def test_smoothing_in_parts_is_the_same_as_at_once():
+    rnd = random.Random(9)
+    whole = re.compile(r"[^\S\n]*\n[^\S\n]*(?!\s)|[^\S\n]{2,}|[^\S\n ]")
+    for _ in range(3000):
+        text = "".join(rnd.choice(["a", "b-", " ", " ", "\n", "\t", "\r", "\u2009", "é"][: rnd.choice([5, 9])]) for _ in range(rnd.randint(0, 14)))
+        assert pii.smooth(text) == whole.sub(" ", pii._BROKEN.sub("-", text)), repr(text)
+
+
+def test_asked_covers_what_find_looks_up():
+    docs, _ = corpus(60)
+
+    class Spy(set):
+        def __contains__(self, x):
+            used.add(x)
+            return set.__contains__(self, x)
+
+    for _, text in docs:
+        used = set()
+        known = pii.Trusted(*(Spy({"amalia", "passport", "call", "555"}) for _ in range(7)))
+        pii.find(pii.smooth(text), known)
+        assert used <= {w for _, w in pii.asked(pii.smooth(text))}
 
 
 def test_placeholders_nulls_repeats_and_clashes(spark):
@@ -95,7 +138,7 @@ def test_items_broken_at_a_hyphen_with_any_line_end(end):
 @pytest.mark.parametrize("blank", ["\u2009", "\u202f", "\f", "\t", "\r", "\u00a0"])
 def test_odd_blanks_are_plain_ones(blank):
     flat = pii.smooth(f"by{blank}Ruth{blank}Quinelan, 12{blank}N. Marigold{blank}Street")
-    assert [(k, pii.item_key(flat[s:e])) for s, e, k in pii.find(flat, NAMES, LABELS, CALLS)] == [("name", "ruthquinelan"), ("street_address", "12nmarigoldstreet")]
+    assert [(k, pii.item_key(flat[s:e])) for s, e, k in pii.find(flat, TRUSTED)] == [("name", "ruthquinelan"), ("street_address", "12nmarigoldstreet")]
 
 
 def test_contexts_are_whole_words():
