@@ -1,4 +1,4 @@
-"""Word lists and patterns that the operators take as parameters."""
+"""Word lists and patterns that the operators take as parameters. All of them are fixed values: results are to equal published ones."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ THEMES = sorted([*(d for d in DOMAINS if d != COMBINED), "policy_frame_funding",
 # corpus's own publisher are for the caller to add.
 STOPWORDS = """
     about above after again against because been before being below between both could does doing down during each from further have
-    having here hers herself himself into itself just more most myself only other ours ourselves over same should some such than that
+    having here hers herself himself into itself just more most myself once only other ours ourselves over same should some such than that
     their theirs them themselves then there these they this those through under until very were what when where which while whom will
     with your yours yourself yourselves agenda council issue volume number page pages newsletter washington also three first
     second third fourth year years time state states united national american americans said says would must many much among however
@@ -45,20 +45,34 @@ STOPWORDS = """
     programs group groups work works worked working people person percent january february march april june july august september
     october november december throughout country city york
 """.split()
+# The usual English function words that texts are rid of before vectors are made from them.
+FUNCTION_WORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them
+    their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing
+    a an the and but if or because as until while of at by for with about against between into through during before after above below to
+    from up down in out on off over under again further then once here there when where why how all any both each few more most other some
+    such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn
+    haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
+""".split()
+
+# Fixed values.
 IDENTITY_TERMS = """
     hispanic hispanics latino latinos latina latinas spanish speaking surname chicano chicanos mexican mexicans puerto rican ricans
     cuban dominican salvadoran guatemalan nicaraguan
 """.split()
 NOISE_TOKENS = "tion ment com con ity ities ence ences ings ing pro".split()
+# Fixed values.
 POLICY_TERMS = """
     civil rights voting legal defense affirmative equal employment discrimination education bilingual school schools student students
     teacher teachers curriculum health care mental welfare labor workers worker farm housing rent tenant immigration immigrant border
     deportation undocumented refugee visa social economic development poverty services public federal department business minority
     opportunity justice criminal police prison jail court policy funding budget grant
 """.split()
+# Fixed values.
 ALIASES = {"broadcasting": "broadcast", "departments": "department", "workers": "worker", "schools": "school", "services": "service", "agencies": "agency"}
 MODIFIERS = "urban mental social economic public civil equal minority federal legal criminal affirmative bilingual high small".split()
 HEADS = "department housing health education employment service policy right worker labor development business opportunity court force market center welfare commerce statistic".split()
+# Fixed values.
 LABELS = {
     "administration business": "business administration",
     "business enterprise": "business enterprise",
@@ -70,6 +84,7 @@ LABELS = {
     "equal opportunity": "equal opportunity",
 }
 CANONICAL = {"health education": "health education welfare", "education welfare": "health education welfare"}
+# Fixed values.
 MONTHS = {
     "JAN": 1, "JANUARY": 1, "FEB": 2, "FEBRUARY": 2, "MAR": 3, "MARCH": 3, "APR": 4, "APRIL": 4, "MAY": 5, "JUN": 6, "JUNE": 6, "JUL": 7, "JULY": 7, "AUG": 8,
     "AUGUST": 8, "SEP": 9, "SEPT": 9, "SEPTEMBER": 9, "OCT": 10, "OCTOBER": 10, "NOV": 11, "NOVEMBER": 11, "DEC": 12, "DECEMBER": 12,

@@ -13,9 +13,9 @@ PAGES_PER_PART = 1000
 
 
 def latest(lines: DataFrame) -> DataFrame:
-    """Each line_id once, as last loaded."""
-    again = W.partitionBy("line_id").orderBy(F.desc_nulls_last("loaded_at"), F.desc_nulls_last("text"))
-    return lines.where("line_id is not null").withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")
+    """Each line_id of a page once, as last loaded; a page loaded again keeps its number. Lines lie together by page afterwards, as all windows over pages and columns ask."""
+    again = W.partitionBy(*PAGE, "line_id").orderBy(F.desc_nulls_last("loaded_at"), F.desc_nulls_last("text"))
+    return lines.where("line_id is not null").repartition(*PAGE).withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")
 
 
 def without_debris(lines: DataFrame) -> DataFrame:
@@ -50,18 +50,26 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return kept.withColumn("paragraph_id", F.format_string("%s_p%d_c%d_n%d", stem, "page_number", "column_index", "paragraph_in_column"))
 
 
-def column_centers(lines: DataFrame, page_width: float) -> DataFrame:
+def with_columns(lines: DataFrame) -> DataFrame:
+    """The line table, (line_id, file_name, page_number, column_index, x0, y0, x1, y1, text, loaded_at), of lines with page_width; columns are found by column_centers()."""
+    rows = lines.select("line_id", *PAGE, "page_width", "x0", "y0", "x1", "y1", "text")
+    found = nearest_column(rows, column_centers(rows, F.col("page_width")))
+    return rows.join(found.withColumnRenamed("column_no", "column_index"), "line_id").select("line_id", *COLUMN, "x0", "y0", "x1", "y1", "text", F.lit(None).cast("timestamp").alias("loaded_at"))
+
+
+def column_centers(lines: DataFrame, page_width: float | Column) -> DataFrame:
     """(file_name, page_number, column_no, center): groups of line centres with steps of more than 18 % of the page width between them, the first three.
 
     Centres come from lines of 20 letters and height 6 if a page has eight of them, else from lines of five characters, else from all.
     Fewer than four centres make one column.
     """
-    rows = lines.select(*PAGE, ((F.col("x0") + F.col("x1")) / 2).alias("c"), (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")) >= 20).alias("long"), (F.col("y1") - F.col("y0") >= 6).alias("high"), (F.length(F.coalesce("text", F.lit(""))) >= 5).alias("some"))
+    width = page_width if isinstance(page_width, Column) else F.lit(page_width)
+    rows = lines.select(*PAGE, width.alias("width"), ((F.col("x0") + F.col("x1")) / 2).alias("c"), (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")) >= 20).alias("long"), (F.col("y1") - F.col("y0") >= 6).alias("high"), (F.length(F.coalesce("text", F.lit(""))) >= 5).alias("some"))
     page = W.partitionBy(*PAGE)
     rows = rows.withColumns({"n1": F.count_if(F.col("long") & F.col("high")).over(page), "n2": F.count_if(F.col("some")).over(page)})
     rows = rows.where(F.when(F.col("n1") >= 8, F.col("long") & F.col("high")).when(F.col("n2") > 0, F.col("some")).otherwise(F.lit(True)))
     across = page.orderBy("c")
-    step = F.coalesce(F.col("c") - F.lag("c").over(across) > 0.18 * page_width, F.lit(False))
+    step = F.coalesce(F.col("c") - F.lag("c").over(across) > 0.18 * F.col("width"), F.lit(False))
     rows = rows.withColumns({"n": F.count("*").over(page), "step": step.cast("int")})
     rows = rows.withColumn("column_no", F.when(F.col("n") < 4, 0).otherwise(F.sum("step").over(across)).cast("int"))
     return rows.groupBy(*PAGE, "column_no").agg(F.avg("c").alias("center")).where(F.col("column_no") < MAX_COLUMNS)

@@ -85,6 +85,28 @@ def resolved(fronts: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of an issue's metadata, in order.
+ISSUE_COLUMNS = """
+    file_name file_year file_month file_issue_date canonical_year canonical_month canonical_issue_date front_year front_month front_issue_date front_volume
+    front_issue_no front_period_label front_parse_method front_confidence date_source date_conflict validation_status date_review_needed
+""".split()
+
+
+def issue_rows(fronts: DataFrame, parse_method: str = "pdftotext_layout") -> DataFrame:
+    """The whole metadata row of each document, ISSUE_COLUMNS, from front_parsed(); a column front_parse_method of `fronts` is kept, else all have `parse_method`."""
+    if "front_parse_method" not in fronts.columns:
+        fronts = fronts.withColumn("front_parse_method", F.lit(parse_method))
+    return resolved(fronts).select(*ISSUE_COLUMNS)
+
+
+def best_fronts(first: DataFrame, second: DataFrame, methods: tuple[str, str] = ("pdftotext_layout", "ocr_tesseract")) -> DataFrame:
+    """Of two front_parsed() tables of the same documents, for each file_name the row of the second if that has strictly more of year and month; with front_parse_method."""
+    parts = F.col("front_year").isNotNull().cast("int") + F.col("front_month").isNotNull().cast("int")
+    both = first.withColumns({"_parts": parts, "_first": F.lit(1), "front_parse_method": F.lit(methods[0])}).unionByName(second.withColumns({"_parts": parts, "_first": F.lit(0), "front_parse_method": F.lit(methods[1])}))
+    order = W.partitionBy("file_name").orderBy(F.desc("_parts"), F.desc("_first"))
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_parts", "_first")
+
+
 def better(first: str, second: str) -> Column:
     """The second parse, a struct with year and month, if it has strictly more of the two than the first."""
     parts = lambda s: F.col(f"{s}.year").isNotNull().cast("int") + F.col(f"{s}.month").isNotNull().cast("int")

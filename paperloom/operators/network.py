@@ -67,7 +67,7 @@ def scored(keys: DataFrame, unigrams: DataFrame, min_any: int = 8, method: str =
     """
     top = support(keys).where(F.greatest("pan_n", "eth_n") >= min_any)
     parts = top.select("key", F.explode(F.split(F.element_at(F.split("key", r"\|\|", 2), 2), r"\|\|\|")).alias("t"))
-    uni = unigrams.select(F.substring("key", 4, 1000).alias("t"), F.col("pooled_n").alias("u"))
+    uni = unigrams.select(F.substr("key", F.lit(4)).alias("t"), F.col("pooled_n").alias("u"))
     docs = doc_totals(keys)
     parts = with_totals(parts.join(uni, "t", "left"), docs)
     logs = parts.groupBy("key").agg(F.sum(F.ln(F.greatest(F.lit(1e-12), F.coalesce("u", F.lit(0)) / F.greatest("pooled_docs", F.lit(1))))).alias("ln_parts"))
@@ -147,7 +147,35 @@ def nodes(recount: DataFrame, labels: DataFrame, docs: DataFrame, min_any: int =
     rows = with_totals(by, docs).withColumns({"pooled_n": F.col("pan_n") + F.col("eth_n"), "pan_rate": F.col("pan_n") / F.greatest("pan_docs", F.lit(1)), "eth_rate": F.col("eth_n") / F.greatest("eth_docs", F.lit(1))})
     rows = rows.withColumn("gap_pan_minus_eth", F.col("pan_rate") - F.col("eth_rate"))
     rows = rows.withColumns({"selection_score": F.col("pooled_n") * (1 + F.least(F.lit(2.0), 12 * F.abs("gap_pan_minus_eth"))), "tilt": tilt(F.col("gap_pan_minus_eth"))})
-    return rows.drop("pooled_docs", "pan_docs", "eth_docs")
+    return rows.drop("pooled_docs", "pan_docs", "eth_docs").orderBy(F.desc(F.round("selection_score", 6)), "node")
+
+
+def single_hub_nodes(recount: DataFrame, chosen: DataFrame, labels: DataFrame, docs: DataFrame, least: int = 8) -> DataFrame:
+    """(node, node_key, ngram_n, pan_n, pan_rate, selection_score) of one group, a row for each representative, by score and recount.
+
+    `chosen` has the scores that the keys were selected by; representatives under `least` paragraphs after the recount are left out.
+    Keys of one label stay apart.
+    """
+    counts = recount.groupBy("key").agg(F.count("*").alias("pan_n")).where(F.col("pan_n") >= least)
+    rows = counts.join(chosen.select("key", F.col("score").alias("selection_score")), "key").join(labels, "key")
+    rows = with_totals(rows, docs.select("pan_docs")).select(F.col("label").alias("node"), F.col("key").alias("node_key"), F.col("n").alias("ngram_n"), "pan_n", (F.col("pan_n") / F.greatest("pan_docs", F.lit(1))).alias("pan_rate"), "selection_score")
+    return rows.orderBy(F.desc(F.round("selection_score", 9)), F.desc("pan_n"), "node_key")
+
+
+def single_hub_edges(recount: DataFrame, node: DataFrame, max_edges: int = 140, least: int = 3) -> DataFrame:
+    """(from_node, to_node, edge_type, edge_group, weight_n): the hub's edges, and the strongest pairs of representatives, counted by key and named by label; ties by key."""
+    own = F.broadcast(node.select("node_key", "node"))  # at most as many rows as keys were selected
+    names = node.select(F.col("node_key").alias("label"), F.col("node_key").alias("node"))
+    pairs = pair_counts(recount, node.select(F.col("node_key").alias("key"), F.col("node_key").alias("label")), names, least)
+    top = pairs.orderBy(F.desc("weight_n"), "from_node", "to_node").limit(max_edges)
+    top = top.join(own.toDF("from_node", "a"), "from_node").join(own.toDF("to_node", "b"), "to_node")
+    hub = node.select(F.lit("panethnic_hub").alias("from_node"), F.col("node").alias("to_node"), F.lit("hub_term").alias("edge_type"), F.lit("Panethnic Hub").alias("edge_group"), F.col("pan_n").alias("weight_n"))
+    return hub.unionByName(top.select(F.col("a").alias("from_node"), F.col("b").alias("to_node"), F.lit("term_term").alias("edge_type"), F.lit("Term-Term").alias("edge_group"), "weight_n"))
+
+
+def length_histogram(node: DataFrame) -> DataFrame:
+    """(ngram_n, n_nodes)."""
+    return node.groupBy("ngram_n").agg(F.count("*").alias("n_nodes"))
 
 
 def pair_counts(recount: DataFrame, labels: DataFrame, node: DataFrame, least: int = 3) -> DataFrame:

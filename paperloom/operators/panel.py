@@ -14,10 +14,9 @@ SIGNALS = ["has_panethnic_label", "has_ethnic_label", "policy_frame_funding", *l
 
 
 def once(panel: DataFrame) -> DataFrame:
-    """(paragraph_id, file_name, year, month, text): each paragraph_id once, of each column the largest value that isn't null."""
-    return panel.where("paragraph_id is not null").groupBy("paragraph_id").agg(
-        F.max("file_name").alias("file_name"), F.max("canonical_year").alias("year"), F.max("canonical_month").alias("month"), F.max("paragraph_text").alias("text")
-    )
+    """(paragraph_id, file_name, year, month, text): each paragraph_id once, one of its rows whole; one with a year before one without."""
+    row = F.max(F.struct(F.col("canonical_year").alias("year"), F.col("canonical_month").alias("month"), "file_name", F.col("paragraph_text").alias("text"))).alias("row")
+    return panel.where("paragraph_id is not null").groupBy("paragraph_id").agg(row).select("paragraph_id", "row.file_name", "row.year", "row.month", "row.text")
 
 
 def labelled(paragraphs: DataFrame, patterns: dict[str, str] = lx.ALL_PATTERNS) -> DataFrame:
@@ -61,6 +60,26 @@ def gated(labels: DataFrame) -> DataFrame:
     return rows.withColumns({"quality_keep": (c("_rescued") | (c("_reasons") == "")).cast("int"), "quality_reason": reason}).drop("_reasons", "_rescued")
 
 
+def kept(panel: DataFrame, gate: DataFrame) -> DataFrame:
+    """The rows of the panel whose paragraph passed the gate, with their own columns."""
+    return panel.join(gate.where("quality_keep = 1").select("paragraph_id"), "paragraph_id", "left_semi").select(*panel.columns)
+
+
+def issue_union(gate: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(file_name, canonical_issue_date, n_paragraphs_raw, n_paragraphs_filtered): every issue of the raw or of the filtered rows, 0 where one lacks it, empty where it has no metadata; by date and name."""
+    raw = gate.groupBy("file_name").agg(F.count("*").alias("n_paragraphs_raw"))
+    filtered = gate.where("quality_keep = 1").groupBy(F.col("file_name").alias("of_file")).agg(F.count("*").alias("n_paragraphs_filtered"))
+    both = raw.join(filtered, F.col("file_name").eqNullSafe(F.col("of_file")), "full_outer").withColumn("file_name", F.coalesce("file_name", "of_file")).drop("of_file").fillna(0)
+    rows = both.join(metadata.select("file_name", "canonical_issue_date"), "file_name", "left").withColumn("canonical_issue_date", F.coalesce("canonical_issue_date", F.lit("")))
+    return rows.select("file_name", "canonical_issue_date", "n_paragraphs_raw", "n_paragraphs_filtered").orderBy("canonical_issue_date", "file_name")
+
+
+def group_period(year: Column, first_late_year: int) -> Column:
+    """Group and period in one label, as Panethnic, Pre; null for paragraphs of no group or year. Years from `first_late_year` are Post."""
+    group = F.when(flag("panethnic") & flag("ethnic"), "Both").when(flag("panethnic"), "Panethnic").when(flag("ethnic"), "Ethnic")
+    return F.concat(group, F.lit(", "), F.when(year >= first_late_year, "Post").when(year < first_late_year, "Pre"))
+
+
 def issue_summary(gate: DataFrame) -> DataFrame:
     """One row for each file: paragraphs before and after the gate, and counts and percents of labels among those kept."""
     keep = F.col("quality_keep") == 1
@@ -68,7 +87,8 @@ def issue_summary(gate: DataFrame) -> DataFrame:
     rows = gate.groupBy("file_name").agg(
         F.max("year").alias("year"), F.max("month").alias("month"), F.count("*").alias("n_paragraphs_raw"), F.count_if(keep).alias("n_paragraphs_filtered"), *(F.count_if(keep & c).alias(f"n_{k}") for k, c in n.items())
     )
-    return rows.withColumns({"keep_rate_pct": percent(F.col("n_paragraphs_filtered"), F.col("n_paragraphs_raw"))} | {f"{k}_pct": percent(F.col(f"n_{k}"), F.col("n_paragraphs_filtered")) for k in n})
+    rows = rows.withColumns({"keep_rate_pct": percent(F.col("n_paragraphs_filtered"), F.col("n_paragraphs_raw"))} | {f"{k}_pct": percent(F.col(f"n_{k}"), F.col("n_paragraphs_filtered")) for k in n})
+    return rows.orderBy("year", "month", "file_name")
 
 
 def corpus_summary(issues: DataFrame) -> DataFrame:

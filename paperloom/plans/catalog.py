@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paperloom import lexicon as lx
 from paperloom.functions import text as tx
 from paperloom.functions.stats import with_totals
-from paperloom.operators import embed, graph, layout, metadata, network, panel, themes
-from paperloom.plans import sql
+from paperloom.operators import contexts, embed, graph, layout, metadata, network, panel, themes
+from paperloom.plans import more_sql, sql
 from paperloom.session import cut_lineage
 from paperloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 LEX = lx.TermLexicon()
 PAGE_WIDTH = 612.0
+FIRST_LATE_YEAR = 1976
+STRONG = 4
+KEYWORD = "school"
 _QUERIES: dict[str, Query] = {}
 
 
@@ -25,7 +28,8 @@ def query(f: Query) -> Query:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         df = f(spark, folder)
-        return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+        rounded = {c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"}
+        return df.withColumns(rounded | {c: F.transform(c, lambda x: F.round(x, 6)) for c, kind in df.dtypes if kind == "array<double>"})
 
     _QUERIES[f.__name__] = run
     return f
@@ -36,7 +40,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.queries()
+    return sql.queries() | more_sql.queries(FIRST_LATE_YEAR, KEYWORD, STRONG)
 
 
 def _paragraphs(s: SparkSession, d: str) -> DataFrame:
@@ -111,7 +115,7 @@ def gap_ribbon(s, d):
 
 @query
 def gap_change(s, d):
-    return themes.gap_change(themes.gaps(themes.complete(themes.monthly(_themed(s, d))))).drop("label")
+    return themes.gap_change(themes.gaps(themes.complete(themes.monthly(_themed(s, d)))))
 
 
 @query
@@ -121,7 +125,42 @@ def axis_breaks(s, d):
 
 @query
 def key_themes(s, d):
-    return themes.counts(_themed(s, d)).unpivot(["group_name"], lx.THEMES, "theme", "n").where(F.col("theme").isin("domain_education", "domain_health", "domain_housing", "domain_immigration", "domain_employment_labor", "policy_frame_funding"))
+    wanted = ["domain_education", "domain_health", "domain_housing", "domain_immigration", "domain_employment_labor", "policy_frame_funding"]
+    return themes.only_present(themes.counts(_themed(s, d)).unpivot(["group_name"], lx.THEMES, "theme", "n"), wanted)
+
+
+@query
+def monthly_wide(s, d):
+    return themes.monthly_wide(_themed(s, d))
+
+
+@query
+def monthly_per100(s, d):
+    """The wide table made long again by the ends of its names."""
+    return themes.long_by_suffix(themes.monthly_wide(_themed(s, d)), ["year_month", "group_name"], "_per100", "rate")
+
+
+@query
+def group_share_long(s, d):
+    return themes.share_long(themes.share_gap(_themed(s, d)))
+
+
+@query
+def theme_columns(s, d):
+    return s.createDataFrame([(c,) for c in themes.theme_columns(table(s, d, "paragraph_panel").columns)], "theme string")
+
+
+@query
+def flag_prevalence(s, d):
+    """theme_prevalence from the flags and hits that the panel holds, over the themes that its columns name."""
+    rows = table(s, d, "paragraph_panel")
+    return themes.prevalence(themes.from_flags(rows), themes.theme_columns(rows.columns)).drop("theme_pretty")
+
+
+@query
+def group_periods(s, d):
+    label = panel.group_period(F.col("year"), FIRST_LATE_YEAR)
+    return _labels(s, d).select(label.alias("group_period")).where("group_period is not null").groupBy("group_period").agg(F.count("*").alias("n"))
 
 
 @query
@@ -149,6 +188,17 @@ def quality_split(s, d):
     return panel.gated(_labels(s, d)).groupBy("quality_reason").agg(F.count("*").alias("n"), F.sum("quality_keep").alias("n_kept"))
 
 
+@query
+def filtered_panel(s, d):
+    """The rows of kept paragraphs with the panel's own columns, but for those of loading."""
+    return panel.kept(table(s, d, "paragraph_panel").drop("loaded_at", "batch_no"), panel.gated(_labels(s, d)))
+
+
+@query
+def issue_union(s, d):
+    return panel.issue_union(panel.gated(_labels(s, d)), metadata.last_loaded(table(s, d, "issue_metadata")))
+
+
 @query
 def issue_summary(s, d):
     return panel.issue_summary(panel.gated(_labels(s, d)))
@@ -196,6 +246,11 @@ def resolve_date_source(s, d):
     return metadata.resolved(_fronts(s, d)).select("file_name", "date_source", "date_conflict", "validation_status", "front_issue_date", "canonical_issue_date")
 
 
+@query
+def issue_rows(s, d):
+    return metadata.issue_rows(_fronts(s, d))
+
+
 @query
 def date_conflicts(s, d):
     return metadata.last_loaded(table(s, d, "issue_metadata")).where("date_conflict").select("file_name", "file_issue_date", "front_year", "front_month", "validation_status")
@@ -251,12 +306,12 @@ def column_cluster(s, d):
 @query
 def nearest_column(s, d):
     rows = layout.latest(_lines(s, d))
-    return layout.nearest_column(rows, layout.column_centers(rows, PAGE_WIDTH)).groupBy("column_no").agg(F.count("*").alias("n_lines"))
+    return layout.nearest_column(rows, layout.column_centers(rows, PAGE_WIDTH))
 
 
 @query
 def line_debris(s, d):
-    return layout.without_debris(layout.latest(_lines(s, d))).groupBy("file_name").agg(F.count("*").alias("n_lines"))
+    return layout.without_debris(layout.latest(_lines(s, d))).select("line_id", "file_name")
 
 
 @query
@@ -298,12 +353,12 @@ def token_sequence(s, d):
 
 @query
 def ngram_df(s, d):
-    return network.support(_keys(s, d)).where("pooled_n >= 2")
+    return network.support(_keys(s, d))
 
 
 @query
 def directional_bigram(s, d):
-    return network.directional(_terms(s, d)).where("n >= 3")
+    return network.directional(_terms(s, d))
 
 
 @query
@@ -343,7 +398,8 @@ def _network(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     terms, keys, scored = _stored_terms(s, d)
     merged = _merged(scored)
     recount = network.recounted(keys, merged)
-    labels = cut_lineage(network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(terms), LEX))
+    labels = network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(terms), LEX)
+    labels = cut_lineage(labels)
     node = cut_lineage(network.nodes(recount, labels, network.doc_totals(keys)))
     return node, network.pair_counts(recount, labels, node)
 
@@ -379,16 +435,95 @@ def grouped_layout(s, d):
     return graph.layout(network.choose(_network(s, d)[0]))
 
 
-@query
-def phrase_nodes(s, d):
-    """The nodes of one group: its own support, ranked by score and recount."""
+def _single_hub(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes of one group by its own support, and its recounted keys."""
     terms = cut_lineage(_terms(s, d).where("pan = 1").withColumn("eth", F.lit(0)))
     keys = cut_lineage(network.keyed(terms, LEX))
     rows = cut_lineage(network.selected(network.scored(keys, network.support(network.keyed(terms, LEX, 1, 1))), 70, "score"))
     merged = cut_lineage(network.variants(rows))
-    counts = network.recounted(keys, merged).groupBy("key").agg(F.count("*").alias("pan_n")).where("pan_n >= 8")
-    scored = with_totals(counts.join(rows.select("key", "score"), "key"), network.doc_totals(keys).select("pan_docs"))
-    return scored.select("key", "pan_n", "score", (F.col("pan_n") / F.col("pan_docs")).alias("pan_rate"))
+    recount = network.recounted(keys, merged)
+    labels = network.labelled_keys(merged.select(F.col("rep").alias("key")), network.directional(terms), LEX)
+    return cut_lineage(network.single_hub_nodes(recount, rows, labels, network.doc_totals(keys))), recount
+
+
+@query
+def phrase_nodes(s, d):
+    return _single_hub(s, d)[0]
+
+
+@query
+def phrase_edges(s, d):
+    node, recount = _single_hub(s, d)
+    return network.single_hub_edges(recount, node)
+
+
+@query
+def length_histogram(s, d):
+    return network.length_histogram(_network(s, d)[0])
+
+
+def _tight(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges between them, and the table and members of fixed communities: the components of the strong pairs, nodes without one alone."""
+    node, pairs = _network(s, d)
+    g = cut_lineage(pairs.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("weight_n").alias("w")))
+    members = graph.components(g.where(F.col("w") >= STRONG))
+    alone = node.select("node", F.col("node").alias("component")).join(members, "node", "left_anti")
+    rows = graph.ranked(members.unionByName(alone), "component", node.select("node", F.col("pooled_n").alias("weight")))
+    return node, g, *graph.community_table(rows, node, 1)
+
+
+@query
+def tight_communities(s, d):
+    return _tight(s, d)[2]
+
+
+@query
+def tight_members(s, d):
+    return _tight(s, d)[3]
+
+
+@query
+def tight_edges(s, d):
+    """Edges between the members of communities of two or more, with the communities of their ends."""
+    _, g, communities, members = _tight(s, d)
+    return graph.restricted(g, members.join(communities.where("n_terms >= 2").select("community_id"), "community_id", "left_semi"))
+
+
+@query
+def tight_legend(s, d):
+    """The communities of the chosen nodes."""
+    node, _, communities, members = _tight(s, d)
+    return graph.legend(communities, members.join(network.choose(node).select("node"), "node", "left_semi")).select("community_id", "community_label")
+
+
+@query
+def network_communities(s, d):
+    """The community table of Louvain over all pairs, lone nodes included."""
+    node, pairs = _network(s, d)
+    g = cut_lineage(pairs.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("weight_n").alias("w")))
+    found = graph.louvain(g, seed=42, nodes=node)
+    return graph.community_table(graph.ranked(found, "community", node.select("node", F.col("pooled_n").alias("weight"))), node)[0]
+
+
+@query
+def core_nodes(s, d):
+    node, pairs = _network(s, d)
+    return graph.core_nodes(node, network.edges(node, pairs))
+
+
+@query
+def core_nodes_without_edges(s, d):
+    node, pairs = _network(s, d)
+    return graph.core_nodes(node, network.edges(node, pairs.where("false")))
+
+
+@query
+def hub_phrase_stats(s, d):
+    keys = _keys(s, d).where(F.col("key").startswith("2||"))
+    words = network.support(keys).where(F.greatest("pan_n", "eth_n") >= 8)
+    rows = with_totals(words, network.doc_totals(keys).select(F.col("pan_docs").alias("p"), F.col("eth_docs").alias("e")))
+    rows = network.log_odds(rows, F.col("p"), F.col("e"))
+    return rows.select("key", "pan_n", "eth_n", (F.col("pan_n") / F.col("p")).alias("pan_rate"), (F.col("eth_n") / F.col("e")).alias("eth_rate"), "log_odds_pan_vs_eth")
 
 
 @query
@@ -461,15 +596,25 @@ def hub_row(s, d):
 
 @query
 def vertex_size(s, d):
-    return _weights(_graph(s, d)).select("node", graph.scaled(F.col("weight"), 4.0, 20.0, 0.5).alias("size"))
+    return graph.scaled(_weights(_graph(s, d)), "weight", "size", 4.0, 20.0, 0.5).select("node", "size")
 
 
 @query
-def edge_width(s, d):
-    from pyspark.sql import Window as W
+def last_edges(s, d):
+    """Edges of which the last batch counts, instead of their sum."""
+    return graph.last_written(table(s, d, "dual_hub_edges").where("edge_type = 'term_term'"), "batch_no")
+
+
+@query
+def largest_component(s, d):
+    return graph.largest(graph.components(_graph(s, d).where("w >= 3")))
+
 
+@query
+def edge_width(s, d):
     rows = table(s, d, "hub_word_edges").where("cooccur_n is not null").groupBy("hub", "to_node").agg(F.sum("cooccur_n").alias("n"))
-    return rows.withColumn("width", 0.4 + 2.6 * F.col("n") / F.max("n").over(W.partitionBy("hub")))
+    most = rows.groupBy("hub").agg(F.max("n").alias("most"))  # one row a hub
+    return rows.join(F.broadcast(most), "hub").select("hub", "to_node", "n", (0.4 + 2.6 * F.col("n") / F.col("most")).alias("width"))
 
 
 # Words and vectors
@@ -481,12 +626,12 @@ def _words(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def fcm_window(s, d):
-    return embed.window_pairs(_words(s, d), "paragraph_id").where("n >= 5")
+    return embed.pruned_pairs(_words(s, d), "paragraph_id")
 
 
 @query
 def pairwise_pmi(s, d):
-    return embed.window_pmi(_words(s, d), "paragraph_id").where("n >= 5")
+    return embed.window_pmi(_words(s, d), "paragraph_id")
 
 
 @query
@@ -496,7 +641,7 @@ def kwic(s, d):
 
 @query
 def slide_windows(s, d):
-    return embed.windows(_words(s, d), "paragraph_id").groupBy("paragraph_id").agg(F.count("*").alias("n_windows"))
+    return embed.windows(_words(s, d), "paragraph_id").select("paragraph_id", "window_no", F.array_join("window", " ").alias("words"))
 
 
 @query
@@ -510,6 +655,22 @@ def track_keyword(s, d):
     return rows.where(F.col("word").rlike("^immigra|^deport|^visa")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("tf_idf").alias("tf_idf"))
 
 
+@query
+def track_by_group(s, d):
+    """Counts and weights of words around a keyword by group and month; a month of a group is a document."""
+    rows = themes.in_groups(_labels(s, d)).select("group_name", themes.month_key(F.col("year"), F.col("month")).alias("year_month"), tx.term_sequence(F.col("text"), LEX).alias("tokens"))
+    words = rows.select(F.concat_ws("|", "group_name", "year_month").alias("document"), F.explode("tokens").alias("word"))
+    found = embed.tf_idf(words, "document").where(F.col("word").rlike("^immigra|^deport|^visa"))
+    part = F.split("document", r"\|")
+    return found.groupBy(part[0].alias("group_name"), part[1].alias("year_month"), "word").agg(F.sum("n").alias("n"), F.sum("tf_idf").alias("tf_idf"))
+
+
+@query
+def other_words(s, d):
+    """The vocabulary around a keyword, without the keyword itself."""
+    return contexts.vocabulary(contexts.contexts(_words(s, d), "paragraph_id", KEYWORD), KEYWORD)
+
+
 @query
 def top_terms(s, d):
     rows = _words(s, d).select("file_name", F.explode("tokens").alias("word")).groupBy("file_name", "word").agg(F.count("*").alias("n"))
@@ -523,7 +684,7 @@ def vocab_prune(s, d):
 
 @query
 def clean_corpus(s, d):
-    return table(s, d, "documents").where("text is not null and text <> ''").select("doc_id", tx.corpus_clean(F.col("text"), lx.STOPWORDS).alias("clean"))
+    return table(s, d, "documents").where("text is not null and text <> ''").select("doc_id", tx.corpus_clean(F.col("text"), lx.FUNCTION_WORDS).alias("clean"))
 
 
 @query
@@ -534,12 +695,12 @@ def both_groups(s, d):
 
 @query
 def stem_count(s, d):
-    return _words(s, d).select(F.explode("tokens").alias("word")).groupBy(embed.stem(F.col("word")).alias("stem")).agg(F.count("*").alias("n")).where("n >= 5")
+    return _words(s, d).select(F.explode("tokens").alias("word")).groupBy(embed.stem(F.col("word")).alias("stem")).agg(F.count("*").alias("n"))
 
 
 @query
 def skipgrams(s, d):
-    return embed.skipgrams(_words(s, d), "paragraph_id").groupBy("target", "context", "label").agg(F.count("*").alias("n")).where("n >= 5")
+    return embed.skipgrams(_words(s, d), "paragraph_id").groupBy("target", "context", "label").agg(F.count("*").alias("n"))
 
 
 @query
@@ -548,11 +709,20 @@ def cosine_knn(s, d):
     return embed.neighbours(v, v.where("vec_id % 20 = 0"))
 
 
+@query
+def knn_ties(s, d):
+    """The nearest vectors with all that are as near as the tenth."""
+    v = table(s, d, "embeddings")
+    return embed.neighbours(v, v.where("vec_id % 20 = 0"), ties=True)
+
+
 @query
 def knn_overlap(s, d):
+    """Of each pair of neighbouring query vectors, which lists of nearest vectors a vector stands in."""
     v = table(s, d, "embeddings")
-    found = embed.neighbours(v, v.where("vec_id in (0, 1)")).groupBy("vec_id").agg(F.min("query_id").alias("lo"), F.max("query_id").alias("hi"))
-    return found.select("vec_id", F.when(F.col("lo") < F.col("hi"), "shared").when(F.col("lo") == 0, "first only").otherwise("second only").alias("class"))
+    near = embed.neighbours(v, v.where("vec_id % 20 = 0")).select(F.floor(F.col("query_id") / 40).alias("pair"), "query_id", "vec_id")
+    found = near.groupBy("pair", "vec_id").agg(F.min("query_id").alias("lo"), F.max("query_id").alias("hi"))
+    return found.select("pair", "vec_id", F.when(F.col("lo") < F.col("hi"), "shared").when(F.col("lo") % 40 == 0, "first only").otherwise("second only").alias("class"))
 
 
 @query
@@ -569,52 +739,95 @@ def mean_similarity(s, d):
 
 @query
 def confidence_band(s, d):
-    v = table(s, d, "embeddings").groupBy("label").agg(F.avg(F.col("embedding")[0].cast("double")).alias("est"), F.stddev_samp(F.col("embedding")[0].cast("double")).alias("sd"), F.count("*").alias("n"))
+    v = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    v = v.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("est"), F.stddev_samp(F.col("x").cast("double")).alias("sd"), F.count("*").alias("n"))
     se = F.col("sd") / F.sqrt("n")
-    return v.select("label", "est", (F.col("est") - 1.96 * se).alias("low"), (F.col("est") + 1.96 * se).alias("high"))
+    return v.select("label", "dim", "est", (F.col("est") - 1.96 * se).alias("low"), (F.col("est") + 1.96 * se).alias("high"))
 
 
 @query
 def bootstrap_means(s, d):
-    return embed.bootstrap_means(table(s, d, "embeddings"), "label").select("label", "boot", "n")
-
-
-@query
-def word_vectors(s, d):
-    """Word2Vec over the term sequences, as the built-in stand-in for co-occurrence embeddings."""
-    from pyspark.ml.feature import Word2Vec
-
-    rows = _words(s, d).select("tokens")
-    model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=42, numPartitions=2, inputCol="tokens", outputCol="v").fit(rows)
-    return model.getVectors().select("word")
+    means = embed.bootstrap_means(table(s, d, "embeddings"), "label")
+    return means.select("label", "boot", F.col("n").cast("long").alias("n"), F.posexplode("embedding").alias("dim", "value"))
 
 
 def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words, and Word2Vec over them as the built-in stand-in for co-occurrence embeddings."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     words = cut_lineage(_words(s, d))
-    model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=42, numPartitions=2, inputCol="tokens", outputCol="v").fit(words.select("tokens"))
-    return words, model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    model = Word2Vec(vectorSize=50, minCount=5, maxIter=1, seed=42, numPartitions=2, inputCol="tokens", outputCol="v").fit(words.select("tokens"))
+    return words, cut_lineage(model.getVectors().select("word", vector_to_array("vector").alias("vector")))
+
+
+@query
+def word_vectors(s, d):
+    return _vectors(s, d)[1]
 
 
 @query
 def context_vectors(s, d):
     words, vectors = _vectors(s, d)
-    return embed.around(words, "paragraph_id", vectors).select("word", "n")
+    return embed.around(words, "paragraph_id", vectors)
 
 
 @query
 def transform_matrix(s, d):
     words, vectors = _vectors(s, d)
-    vectors = cut_lineage(vectors)
-    return embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors).select("row", F.size("values").alias("n"))
+    return embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors)
+
+
+def _contexts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Contexts of a keyword by group and period, their vectors, the word vectors, and those of the words around it."""
+    words, vectors = _vectors(s, d)
+    matrix = embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors)
+    label = panel.group_period(F.col("year"), FIRST_LATE_YEAR)
+    rows = _labels(s, d).select("paragraph_id", label.alias("group_period"), tx.term_sequence(F.col("text"), LEX).alias("tokens")).where("group_period is not null")
+    found = cut_lineage(contexts.contexts(rows, "paragraph_id", KEYWORD, ("group_period",)))
+    around = vectors.join(contexts.vocabulary(found, KEYWORD), "word")
+    return found, cut_lineage(contexts.embedded(found, vectors, matrix, ("group_period",))), vectors, around
+
+
+@query
+def keyword_vectors(s, d):
+    """The mean vector of a keyword's contexts by group and period."""
+    rows = _contexts(s, d)[1]
+    return embed.weighted_sums(rows, ["group_period"], lambda part, run: part["n"].to_numpy() * 0.0 + 1.0, 1).select("group_period", "n", F.transform("total", lambda v: v / F.col("n")).alias("embedding"))
+
+
+@query
+def bootstrap_neighbours(s, d):
+    _, rows, _, around = _contexts(s, d)
+    return contexts.nearest_words(rows, around, ("group_period",))
+
+
+@query
+def shared_neighbours(s, d):
+    """The nearest words that several groups and periods share."""
+    _, rows, _, around = _contexts(s, d)
+    return contexts.in_both(contexts.nearest_words(rows, around, ("group_period",)), "group_period")
+
+
+@query
+def keyword_examples(s, d):
+    found, rows, _, _ = _contexts(s, d)
+    return contexts.examples(found, rows, ("group_period",))
+
+
+@query
+def keyword_contrast(s, d):
+    """How much nearer the words around a keyword are to its contexts in one group than in the other."""
+    _, rows, _, around = _contexts(s, d)
+    rows = rows.where("group_period like 'Panethnic%' or group_period like 'Ethnic%'").withColumn("g", F.col("group_period").startswith("Panethnic").cast("int"))
+    targets = around.select(F.xxhash64("word").alias("vec_id"), F.col("vector").alias("embedding"))
+    return around.select("word", F.xxhash64("word").alias("vec_id")).join(embed.contrast_neighbours(rows, "g", targets), "vec_id").drop("vec_id")
 
 
 @query
 def contrast_neighbours(s, d):
     v = table(s, d, "embeddings").withColumn("g", (F.col("label") % 2).cast("int"))
-    return embed.contrast_neighbours(v, "g", v.where("vec_id % 20 = 0")).select("vec_id", "ratio")
+    return embed.contrast_neighbours(v, "g", v.where("vec_id % 20 = 0"))
 
 
 @query
@@ -626,11 +839,11 @@ def nearest_vertex(s, d):
 def stopword_antijoin(s, d):
     words = _paragraphs(s, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
     stop = s.createDataFrame([(w,) for w in lx.STOPWORDS], "word string")
-    return words.join(F.broadcast(stop), "word", "left_anti").groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    return words.join(F.broadcast(stop), "word", "left_anti").groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query
 def term_totals(s, d):
-    n = _words(s, d).select("file_name", F.explode("tokens").alias("word")).groupBy("file_name", "word").agg(F.count("*").alias("n"))
+    n = cut_lineage(_words(s, d).select("file_name", F.explode("tokens").alias("word")).groupBy("file_name", "word").agg(F.count("*").alias("n")))
     total = n.groupBy("file_name").agg(F.sum("n").alias("total"))
-    return n.join(total, "file_name", "left").where("n >= 3")
+    return n.join(total, "file_name", "left")

@@ -185,7 +185,7 @@ _KNN = lambda where, k: f"near AS (SELECT * FROM (SELECT q.vec_id AS query_id, v
 
 
 def queries() -> dict[str, str]:
-    stop = "|".join(lx.STOPWORDS)
+    stop = "|".join(lx.FUNCTION_WORDS)
     return {
         "theme_contrast": rounded(_CONTRAST, "pct_panethnic pct_ethnic gap_pct_pan_minus_eth odds_ratio_pan_vs_eth log_odds_ratio_pan_vs_eth p_value_two_prop_z"),
         "theme_prevalence": rounded(_PREV, "pct_theme"),
@@ -197,7 +197,7 @@ def queries() -> dict[str, str]:
         "complete_grid": rounded(f"WITH {_GRID} SELECT * FROM grid", "per100"),
         "normalize_max100": rounded(f"WITH {_GRID} SELECT year_month, group_name, theme, coalesce(100.0 * per100 / nullif(max(per100) OVER (PARTITION BY theme, group_name), 0), 0.0) AS norm FROM grid", "norm"),
         "gap_ribbon": rounded(f"WITH {_GAPS} SELECT * FROM gaps", "pan eth gap low high"),
-        "gap_change": rounded(f"WITH {_GAPS} SELECT theme, min_by(gap, year_month) AS first_gap, max_by(gap, year_month) AS last_gap, max_by(gap, year_month) - min_by(gap, year_month) AS change FROM gaps GROUP BY 1", "first_gap last_gap change"),
+        "gap_change": rounded(f"WITH {_GAPS} SELECT theme, min_by(gap, year_month) AS first_gap, max_by(gap, year_month) AS last_gap, max_by(gap, year_month) - min_by(gap, year_month) AS change, printf('%+.1f', max_by(gap, year_month) - min_by(gap, year_month)) AS label FROM gaps GROUP BY 1", "first_gap last_gap change"),
         "axis_breaks": f"WITH {_MONTHLY} SELECT year_month FROM (SELECT year_month, row_number() OVER (ORDER BY year_month) AS i FROM (SELECT DISTINCT year_month FROM monthly)) WHERE (i - 1) % 4 = 0",
         "key_themes": f"WITH {GROUPED}, long AS ({_long('')}) SELECT group_name, theme, n_theme AS n FROM long WHERE theme IN ('domain_education', 'domain_health', 'domain_housing', 'domain_immigration', 'domain_employment_labor', 'policy_frame_funding')",
         "table_prevalence": rounded(f"SELECT batch_no, group_name, theme, {_PRETTY} AS pretty, coalesce(100.0 * n_theme / greatest(n_paragraphs_group, 1), 0.0) AS pct FROM (SELECT DISTINCT * FROM paragraph_theme_prevalence_by_group)", "pct"),
@@ -220,12 +220,12 @@ def queries() -> dict[str, str]:
         "page_text": f"WITH {SEGMENTS} SELECT * FROM pages",
         "issue_text": f"WITH {SEGMENTS} SELECT file_name, ((page_number - 1) // 1000)::INTEGER AS part, count(*) AS page_count, string_agg(page_text, {NL} || {NL} ORDER BY page_number) AS issue_text FROM pages GROUP BY 1, 2",
         "column_cluster": rounded(f"WITH {_CENTERS} SELECT * FROM centers", "center"),
-        "nearest_column": f"WITH {_CENTERS}, b AS (SELECT line_id, min_by(column_no, (abs((x0 + x1) / 2 - center), column_no)) AS column_no FROM latest JOIN centers USING (file_name, page_number) GROUP BY 1) SELECT column_no, count(*) AS n_lines FROM b GROUP BY 1",
-        "line_debris": f"WITH {LINES} SELECT file_name, count(*) AS n_lines FROM latest WHERE length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) >= 2 GROUP BY 1",
+        "nearest_column": f"WITH {_CENTERS}, b AS (SELECT line_id, min_by(column_no, (abs((x0 + x1) / 2 - center), column_no)) AS column_no FROM latest JOIN centers USING (file_name, page_number) GROUP BY 1) SELECT line_id, column_no FROM b",
+        "line_debris": f"WITH {LINES} SELECT line_id, file_name FROM latest WHERE length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) >= 2",
         "layout_clean": rf"WITH {LINES} SELECT line_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(text, chr(173), ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '’', ''''), '[ \t]+', ' ', 'g'), '\n{{3,}}', {NL} || {NL}, 'g'), '^\s+|\s+$', '', 'g') AS clean FROM latest WHERE text IS NOT NULL",
         "token_sequence": f"WITH {TERMSEQ} SELECT paragraph_id, array_to_string(tokens, ' ') AS tokens FROM seq",
-        "ngram_df": f"WITH {SCORED} SELECT key, pooled_n, pan_n, eth_n, n FROM supp WHERE pooled_n >= 2",
-        "directional_bigram": f"WITH {KEYS}, {_DIRECT} SELECT * FROM direct WHERE n >= 3",
+        "ngram_df": f"WITH {SCORED} SELECT key, pooled_n, pan_n, eth_n, n FROM supp",
+        "directional_bigram": f"WITH {KEYS}, {_DIRECT} SELECT * FROM direct",
         "doc_totals": f"WITH {SCORED} SELECT * FROM docs",
         "pmi_score": rounded(f"WITH {SCORED} SELECT key, n, pmi, score, gap, select_score FROM scored", "pmi score gap select_score"),
         "select_terms": f"WITH {CHOSEN} SELECT key, pooled_n FROM chosen",
@@ -238,7 +238,6 @@ def queries() -> dict[str, str]:
         "pair_counts": f"WITH {NODES} SELECT * FROM pairs",
         "choose_nodes": f"WITH {NODES} SELECT * FROM picked",
         "grouped_layout": rounded(f"WITH {NODES}, pi AS (SELECT *, row_number() OVER (PARTITION BY tilt ORDER BY pooled_n DESC, node) - 1 AS i, count(*) OVER (PARTITION BY tilt) AS n FROM picked) SELECT node, (CASE tilt WHEN 'panethnic_tilt' THEN -0.64 WHEN 'shared' THEN -0.02 ELSE 0.74 END + CASE WHEN n > 5 THEN 0.024 * ((i % 2) * 2 - 1) ELSE 0 END)::DOUBLE AS x, (CASE WHEN n = 1 THEN 1.7 ELSE 1.7 - 3.4::DOUBLE * i / (n - 1) END - 0.18)::DOUBLE AS y FROM pi", "x y"),
-        "phrase_nodes": rounded(f"WITH {PHRASE} SELECT key, count(*) AS pan_n, any_value(score) AS score, count(*)::DOUBLE / any_value(pan_docs) AS pan_rate FROM recount JOIN chosen USING (key) GROUP BY 1 HAVING count(*) >= 8", "score pan_rate"),
         "hub_word_stats": rounded(f"WITH {TERMSEQ}, w AS (SELECT word, sum(pan)::BIGINT AS pan_n, sum(eth)::BIGINT AS eth_n FROM (SELECT pan, eth, unnest(list_distinct(tokens)) AS word FROM seq) GROUP BY 1 HAVING greatest(sum(pan), sum(eth)) >= 8), t AS (SELECT sum(pan)::BIGINT AS p, sum(eth)::BIGINT AS e FROM seq) SELECT word, pan_n, eth_n, pan_n::DOUBLE / p AS pan_rate, eth_n::DOUBLE / e AS eth_rate, ln(((pan_n + 0.5::DOUBLE) * (e - eth_n + 0.5::DOUBLE)) / ((eth_n + 0.5::DOUBLE) * (p - pan_n + 0.5::DOUBLE))) AS log_odds_pan_vs_eth FROM w, t", "pan_rate eth_rate log_odds_pan_vs_eth"),
         "graph_edges": f"WITH {GRAPH} SELECT * FROM graph",
         "connected_components": f"WITH RECURSIVE {COMPONENTS} SELECT node, component FROM comp",
@@ -249,10 +248,12 @@ def queries() -> dict[str, str]:
         "hub_row": rounded(f"WITH {GRAPH} SELECT node, weight::DOUBLE AS weight FROM weights UNION ALL SELECT 'panethnic_hub', 1.35 * max(weight) FROM weights HAVING max(weight) IS NOT NULL", "weight"),
         "vertex_size": rounded(f"WITH {GRAPH}, r AS (SELECT min(weight) AS lo, max(weight) AS hi FROM weights) SELECT node, CASE WHEN hi <= lo THEN 12.0 ELSE 4.0 + 16.0 * pow((weight - lo)::DOUBLE / (hi - lo), 0.5) END AS size FROM weights, r", "size"),
         "edge_width": rounded("SELECT *, 0.4 + 2.6 * n / max(n) OVER (PARTITION BY hub) AS width FROM (SELECT hub, to_node, sum(cooccur_n)::BIGINT AS n FROM hub_word_edges WHERE cooccur_n IS NOT NULL GROUP BY 1, 2)", "width"),
-        "fcm_window": f"WITH {WORDS}, p AS (SELECT paragraph_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM seq) SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, count(*) AS n FROM p x JOIN p y ON x.paragraph_id = y.paragraph_id AND y.i - x.i BETWEEN 1 AND 6 AND x.w <> y.w GROUP BY 1, 2 HAVING count(*) >= 5",
-        "pairwise_pmi": rounded(f"WITH {_WIN}, s AS (SELECT a, count(*) AS n_a FROM (SELECT unnest(w) AS a FROM win) GROUP BY 1 HAVING count(*) >= 5), wi AS (SELECT w, row_number() OVER () AS id FROM win), u AS (SELECT id, unnest(w) AS a FROM wi), p AS (SELECT x.a, y.a AS b, count(*) AS n FROM u x JOIN u y ON x.id = y.id AND x.a < y.a GROUP BY 1, 2) SELECT p.a, p.b, n, ln(n::DOUBLE * (SELECT count(*) FROM win) / (s.n_a::DOUBLE * t.n_a)) AS pmi FROM p JOIN s ON s.a = p.a JOIN s t ON t.a = p.b WHERE n >= 5", "pmi"),
+        "fcm_window": f"""WITH {WORDS}, p AS (SELECT paragraph_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM seq), often AS (SELECT w FROM p GROUP BY 1 HAVING count(*) >= 5)
+SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, count(*) AS n FROM p x JOIN p y ON x.paragraph_id = y.paragraph_id AND y.i - x.i BETWEEN 1 AND 6 AND x.w <> y.w
+WHERE x.w IN (FROM often) AND y.w IN (FROM often) GROUP BY 1, 2""",
+        "pairwise_pmi": rounded(f"WITH {_WIN}, s AS (SELECT a, count(*) AS n_a FROM (SELECT unnest(w) AS a FROM win) GROUP BY 1), wi AS (SELECT w, row_number() OVER () AS id FROM win), u AS (SELECT id, unnest(w) AS a FROM wi), p AS (SELECT x.a, y.a AS b, count(*) AS n FROM u x JOIN u y ON x.id = y.id AND x.a < y.a GROUP BY 1, 2) SELECT p.a, p.b, n, ln(n::DOUBLE * (SELECT count(*) FROM win) / (s.n_a::DOUBLE * t.n_a)) AS pmi FROM p JOIN s ON s.a = p.a JOIN s t ON t.a = p.b", "pmi"),
         "kwic": f"WITH {WORDS}, p AS (SELECT paragraph_id, tokens, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM seq) SELECT paragraph_id, (i - 1)::INTEGER AS place, array_to_string(tokens[greatest(1, i - 6):i - 1], ' ') AS before, array_to_string(tokens[i + 1:i + 6], ' ') AS after FROM p WHERE w = 'grant'",
-        "slide_windows": f"WITH {WORDS} SELECT paragraph_id, (len(tokens) - 3)::BIGINT AS n_windows FROM seq WHERE len(tokens) >= 4",
+        "slide_windows": f"WITH {WORDS}, w AS (SELECT paragraph_id, tokens, unnest(range(1, len(tokens) - 2)) AS i FROM seq WHERE len(tokens) >= 4) SELECT paragraph_id, (i - 1)::INTEGER AS window_no, array_to_string(tokens[i:i + 3], ' ') AS words FROM w",
         "tf_idf": rounded(f"WITH {_TFIDF} SELECT * FROM tfidf", "tf_idf"),
         "track_keyword": rounded(f"WITH {_TFIDF} SELECT word, sum(n)::BIGINT AS n, sum(tf_idf) AS tf_idf FROM tfidf WHERE regexp_matches(word, '^immigra|^deport|^visa') GROUP BY 1", "tf_idf"),
         "top_terms": f"WITH {_WORDROWS}, wn AS (SELECT file_name, word, count(*) AS n FROM word GROUP BY 1, 2) SELECT * FROM (SELECT *, rank() OVER (PARTITION BY file_name ORDER BY n DESC)::INTEGER AS rank FROM wn) WHERE rank <= 10",
@@ -260,17 +261,17 @@ def queries() -> dict[str, str]:
         "clean_corpus": rf"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_ASCII.format('text').replace(chr(39) + 'x' + chr(39), chr(39) + '0' + chr(39))}, '\b(?:{stop})\b', '', 'g'), '[^a-zA-Z]+', ' ', 'g'), '\b[a-zA-Z]{{1,3}}\b', ' ', 'g'), ' +', ' ', 'g'))) AS clean FROM documents WHERE text IS NOT NULL AND text <> ''",
         "both_groups": f"WITH {TERMSEQ} SELECT word, sum(pan)::BIGINT AS pan_n, sum(eth)::BIGINT AS eth_n FROM (SELECT pan, eth, unnest(list_distinct(tokens)) AS word FROM seq) GROUP BY 1 HAVING sum(pan) > 0 AND sum(eth) > 0",
         "cosine_knn": rounded(f"WITH {_KNN('q.vec_id % 20 = 0', 10)} SELECT * FROM near", "similarity"),
-        "knn_overlap": f"WITH {_KNN('q.vec_id IN (0, 1)', 10)} SELECT vec_id, CASE WHEN min(query_id) < max(query_id) THEN 'shared' WHEN min(query_id) = 0 THEN 'first only' ELSE 'second only' END AS class FROM near GROUP BY 1",
+        "knn_overlap": f"WITH {_KNN('q.vec_id % 20 = 0', 10)} SELECT (query_id // 40)::BIGINT AS pair, vec_id, CASE WHEN min(query_id) < max(query_id) THEN 'shared' WHEN min(query_id) % 40 = 0 THEN 'first only' ELSE 'second only' END AS class FROM near GROUP BY 1, 2",
         "analogy_knn": rounded("WITH e AS (SELECT embedding::DOUBLE[] AS v, vec_id FROM embeddings), t AS (SELECT list_transform(range(1, len(e1.v) + 1), lambda i: (e1.v[i]::FLOAT - e2.v[i]::FLOAT + e3.v[i]::FLOAT)::DOUBLE) AS t FROM e e1, e e2, e e3 WHERE e1.vec_id = 1 AND e2.vec_id = 2 AND e3.vec_id = 3) SELECT vec_id, list_cosine_similarity(v, t) AS similarity FROM e, t", "similarity"),
         "mean_similarity": rounded(f"WITH {_KNN('q.vec_id % 20 = 0', 50)} SELECT query_id, label, avg(similarity) AS mean_similarity FROM near JOIN embeddings USING (vec_id) GROUP BY 1, 2", "mean_similarity"),
-        "confidence_band": rounded("WITH v AS (SELECT label, avg(embedding[1]::DOUBLE) AS est, stddev_samp(embedding[1]::DOUBLE) AS sd, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, est, est - 1.96 * sd / sqrt(n) AS low, est + 1.96 * sd / sqrt(n) AS high FROM v", "est low high"),
-        "contrast_neighbours": rounded("WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 2 AS g FROM embeddings), u AS (SELECT g, unnest(e) AS v, generate_subscripts(e, 1) AS d FROM g), m AS (SELECT g, d, avg(v) AS v FROM u GROUP BY 1, 2), mv AS (SELECT g, list(v ORDER BY d) AS m FROM m GROUP BY 1) SELECT vec_id, list_cosine_similarity(e, (SELECT m FROM mv WHERE g = 1)) / list_cosine_similarity(e, (SELECT m FROM mv WHERE g = 0)) AS ratio FROM g WHERE vec_id % 20 = 0", "ratio"),
+        "confidence_band": rounded("""WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), v AS (SELECT label, (k - 1)::INTEGER AS dim, avg(x) AS est, stddev_samp(x) AS sd, count(*) AS n FROM u GROUP BY 1, 2)
+SELECT label, dim, est, est - 1.96 * sd / sqrt(n) AS low, est + 1.96 * sd / sqrt(n) AS high FROM v""", "est low high"),
         "nearest_vertex": rounded(f"WITH {NODES}, pi AS (SELECT *, row_number() OVER (PARTITION BY tilt ORDER BY pooled_n DESC, node) - 1 AS i, count(*) OVER (PARTITION BY tilt) AS n FROM picked), xy AS (SELECT node, (CASE tilt WHEN 'panethnic_tilt' THEN -0.64 WHEN 'shared' THEN -0.02 ELSE 0.74 END + CASE WHEN n > 5 THEN 0.024 * ((i % 2) * 2 - 1) ELSE 0 END)::DOUBLE AS x, (CASE WHEN n = 1 THEN 1.7 ELSE 1.7 - 3.4::DOUBLE * i / (n - 1) END - 0.18)::DOUBLE AS y FROM pi), r AS (SELECT *, sqrt(x * x + y * y) AS radius FROM xy) SELECT a.node, (SELECT min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) FROM r b WHERE b.node <> a.node) AS distance, radius, radius <= (SELECT quantile_cont(radius, 0.45) FROM r) AS inner FROM r a", "distance radius"),
-        "stopword_antijoin": f"WITH {PANEL} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM panel) WHERE NOT list_contains({_LIST(lx.STOPWORDS)}, word) GROUP BY 1 HAVING count(*) >= 5",
-        "term_totals": f"WITH {_WORDROWS}, wn AS (SELECT file_name, word, count(*) AS n FROM word GROUP BY 1, 2) SELECT * FROM (SELECT file_name, word, n, (sum(n) OVER (PARTITION BY file_name))::BIGINT AS total FROM wn) WHERE n >= 3",
+        "stopword_antijoin": f"WITH {PANEL} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM panel) WHERE NOT list_contains({_LIST(lx.STOPWORDS)}, word) GROUP BY 1",
+        "term_totals": f"WITH {_WORDROWS}, wn AS (SELECT file_name, word, count(*) AS n FROM word GROUP BY 1, 2) SELECT file_name, word, n, (sum(n) OVER (PARTITION BY file_name))::BIGINT AS total FROM wn",
         "stem_count": f"""WITH {_WORDROWS}, w1 AS (SELECT regexp_replace(regexp_replace(word, 'sses$', 'ss'), 'ies$', 'y') AS w FROM word),
 w2 AS (SELECT CASE WHEN length(w) > 3 AND regexp_matches(w, '[^su]s$') THEN w[:-2] ELSE w END AS w FROM w1),
 w3 AS (SELECT CASE WHEN regexp_matches(w, '[aeiouy].*ing$') AND length(w) > 5 THEN w[:-4] WHEN regexp_matches(w, '[aeiouy].*ed$') AND length(w) > 4 THEN w[:-3] ELSE w END AS w FROM w2),
 w4 AS (SELECT CASE WHEN length(w) > 4 AND w LIKE '%ly' THEN w[:-3] ELSE w END AS w FROM w3)
-SELECT CASE WHEN length(w) > 4 AND w LIKE '%e' THEN w[:-2] ELSE w END AS stem, count(*) AS n FROM w4 GROUP BY 1 HAVING count(*) >= 5""",
+SELECT CASE WHEN length(w) > 4 AND w LIKE '%e' THEN w[:-2] ELSE w END AS stem, count(*) AS n FROM w4 GROUP BY 1""",
     }

@@ -11,6 +11,7 @@ def test_csv_keeps_line_breaks_and_writes_nothing_for_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([("a", 'two\nlines, "quoted"'), ("b", None)], "k string, t string")
     assert files.write_csv(rows, path) and not files.write_csv(rows.where("false"), path)
+    assert b"\r\n" in next((tmp_path / "t").glob("part-*.csv")).read_bytes() and not (tmp_path / "t.part").exists()
     assert {tuple(r) for r in files.read_csv(spark, path).collect()} == {("a", 'two\nlines, "quoted"'), ("b", None)}
 
 
@@ -19,14 +20,48 @@ def test_named_texts_and_listing(spark, tmp_path):
     assert tuple(files.read_named_texts(spark, str(tmp_path / "*.txt")).first()) == ("herald", "1971", "06", "one\ntwo")
     (tmp_path / "b.pdf").write_bytes(b"2")
     (tmp_path / "a.pdf").write_bytes(b"1")
-    assert [os.path.basename(r.path) for r in files.list_documents(spark, str(tmp_path)).collect()] == ["a.pdf", "b.pdf"]
-    assert files.list_documents(spark, str(tmp_path), limit=1).count() == 1
-
-
-def test_layout_xml(spark, tmp_path):
-    (tmp_path / "x.xml").write_text('<doc><page width="600" height="800"><flow><block><line xMin="1" yMin="2" xMax="3" yMax="4"><word>Old</word><word>Bridge</word></line></block></flow></page></doc>')
-    row = files.read_layout(spark, str(tmp_path / "x.xml")).first()
-    assert (row.file_name, row.page_width, row.x0, row.y1, row.text) == ("x.xml", 600.0, 1.0, 4.0, "Old Bridge")
+    assert [os.path.basename(r.path) for r in files.document_paths(spark, str(tmp_path)).collect()] == ["a.pdf", "b.pdf"]
+    assert {r.content for r in files.list_documents(spark, str(tmp_path)).collect()} == {b"1", b"2"}
+    assert [r.content for r in files.list_documents(spark, str(tmp_path), limit=1).collect()] == [b"1"] and files.list_documents(spark, str(tmp_path), "*.doc", 3).count() == 0
+
+
+def test_markdown(spark, tmp_path):
+    files.write_markdown(spark.createDataFrame([("n", "3"), ("mean", "1.5")], "metric string, value string"), str(tmp_path / "m"))
+    assert next((tmp_path / "m").glob("part-*")).read_text().splitlines() == ["| metric | value |", "|---|---|", "| n | 3 |", "| mean | 1.5 |"]
+
+
+def test_programs_are_chained_without_files(spark, tmp_path):
+    docs = spark.createDataFrame([("x/a.pdf", bytearray(b"june 1975")), ("x/b.pdf", None)], "path string, content binary")
+    assert {r.path: r.text for r in files.piped(docs, [["tr", "a-z", "A-Z"], ["rev"]]).collect()} == {"x/a.pdf": "5791 ENUJ", "x/b.pdf": ""}
+    assert [r.text for r in files.piped(docs, [["false"]]).collect()] == ["", ""]
+    with pytest.raises(RuntimeError, match="no-such-program"):
+        files.piped(docs, [["no-such-program"]])
+
+
+def test_pages_are_read_as_images_where_their_text_lacks_a_date(spark):
+    docs = spark.createDataFrame([("x/1975_06.pdf", bytearray(b"june 1975")), ("x/1976_07.pdf", bytearray(b"1976")), ("x/1977_08.pdf", bytearray(b"1977"))], "path string, content binary")
+    text = lambda d: files.piped(d, [["cat"]])
+    ocr = lambda d: files.piped(d, [["sed", "s/1976/july 1976/"]])
+    got = {r.file_name: r for r in files.front_rows(docs, True, text, ocr).collect()}
+    assert [(r.front_month, r.front_parse_method, r.date_source) for _, r in sorted(got.items())] == [(6, "pdftotext_layout", "both"), (7, "ocr_tesseract", "both"), (None, "pdftotext_layout", "filename_with_front_partial")]
+    plain = files.front_rows(docs, False, text).where("file_name = '1976_07.pdf'").first()
+    assert plain.front_month is None and len(plain) == 19
+
+
+def test_layout_xml_to_paragraphs(spark, tmp_path):
+    from paperloom.operators import layout
+
+    line = lambda x, y, words: f'<line xMin="{x}" yMin="{y}" xMax="{x + 200}" yMax="{y + 10}">' + "".join(f'<word xMin="1">{w}</word>' for w in words.split()) + "</line>"
+    left, right = "".join(line(40, 100 + 12 * i, f"left column line number {i} of it") for i in range(4)), "".join(line(340, 100 + 12 * i, f"right column line number {i} of it") for i in range(4))
+    page = lambda blocks: f'<page width="600" height="800"><flow>{"".join(f"<block>{b}</block>" for b in blocks)}</flow></page>'
+    text = f'<!DOCTYPE html>\n<html><body>\n<doc>{page([left, right])}{page([line(40, 100, "Old Bridge &amp; co over there")])}</doc></body></html>'
+    (tmp_path / "x.xml").write_text(text)
+    rows = files.read_layout(spark, str(tmp_path / "x.xml"))
+    assert rows.count() == 9 and {(r.page_number, r.page_width) for r in rows.collect()} == {(1, 600.0), (2, 600.0)}
+    docs = spark.createDataFrame([("y/x.pdf", bytearray(text.encode()))], "path string, content binary")
+    lines = layout.with_columns(files.layout_lines(files.piped(docs, [["cat"]], strict=True)))
+    got = layout.paragraphs(lines).orderBy("page_number", "paragraph_in_page").collect()
+    assert [(r.paragraph_id, r.paragraph_text.split("\n")[0]) for r in got] == [("x_p1_c0_n1", "left column line number 0 of it"), ("x_p1_c1_n1", "right column line number 0 of it"), ("x_p2_c0_n1", "Old Bridge & co over there")]
 
 
 def test_missing_rows_are_an_error(spark):

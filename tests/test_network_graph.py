@@ -104,7 +104,93 @@ def test_contrast_tells_real_groups_from_random_ones(spark):
     rows = [(i, i % 2, (rng.normal(size=3) * 0.1 + ([1, 0, 0.5] if i % 2 else [0, 1, 0.5])).tolist()) for i in range(60)]
     v = spark.createDataFrame(rows, "vec_id long, g int, embedding array<double>")
     r = {x.vec_id: x for x in embed.contrast_neighbours(v, "g", v.where("vec_id < 2"), permutations=20).collect()}
-    assert r[1].ratio > 1.2 > 0.9 > r[0].ratio and r[1].p <= 0.1
+    assert r[1].ratio > 1.2 > 0.9 > r[0].ratio and r[1].p <= 0.1 and r[0].std_error < 0.2
+    assert embed.contrast_neighbours(v.where("false"), "g", v).count() == 0
+
+
+def brute_knn(rows, queries, k, ties):
+    import numpy as np
+
+    out = set()
+    unit = {i: np.array(x) / np.linalg.norm(x) if any(x) else None for i, x in rows}
+    for q in queries:
+        s = sorted(((-round(float(unit[q] @ u), 12), i) for i, u in unit.items() if i != q and u is not None))
+        bar = s[min(k, len(s)) - 1][0]
+        out |= {(q, i) for n, (v, i) in enumerate(s) if (v <= bar if ties else n < k)}
+    return out
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_nearest_vectors_against_brute_force_with_copies_and_blocks(spark, monkeypatch, ties):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(150)]
+    rows = [(i, [1.0, 2.0, 1.0] if i % 3 == 0 else x) for i, x in rows] + [(200, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = [i for i, x in rows if i % 20 == 0 and any(x)][:6]
+    q = v.where(F.col("vec_id").isin(queries))
+    want = brute_knn(rows, queries, 5, ties)
+    for block, chunk in ((20_000, 512), (2, 7)):
+        monkeypatch.setattr(embed, "MAX_QUERIES", block)
+        monkeypatch.setattr(embed, "CHUNK", chunk)
+        assert {(r.query_id, r.vec_id) for r in embed.neighbours(v, q, 5, ties).collect()} == want
+    assert embed.neighbours(v, v.where("false")).count() == 0 and embed.neighbours(v.where("false"), q).count() == 0
+
+
+def test_resamples_add_up_over_tasks(spark):
+    import numpy as np
+
+    rows = [(i, i % 2, [float(i), 1.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, g int, embedding array<double>")
+    got = {(r.g, r.boot): (r.n, r.embedding) for r in embed.bootstrap_means(v.repartition(5), "g", boots=3).collect()}
+    for g in (0, 1):
+        ids = np.array([i for i, x, _ in rows if x == g])
+        for boot in (1, 2, 3):
+            w = embed.poisson(ids, boot, 42)
+            assert got[g, boot][0] == w.sum() and got[g, boot][1] == pytest.approx([(w * ids).sum() / w.sum(), 1.0])
+    draws = embed.poisson(np.arange(100_000), 1, 42)
+    assert abs(draws.mean() - 1) < 0.02 and abs((draws == 0).mean() - 0.3679) < 0.01
+
+
+def test_contexts_their_neighbours_and_examples(spark):
+    from paperloom.operators import contexts
+
+    tokens = spark.createDataFrame([("d1", "x", ["a", "key", "b", "c"]), ("d2", "y", ["key", "c", "d", "key"]), ("d3", "x", ["a", "b"])], "k string, g string, tokens array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.2]), ("c", [0.0, 1.0]), ("far", [-1.0, 0.0])], "word string, vector array<double>")
+    found = contexts.contexts(tokens, "k", "key", ("g",), width=1)
+    assert sorted((r.g, r.context) for r in found.collect()) == [("x", ["a", "b"]), ("y", ["c"]), ("y", ["d"])]
+    assert {r.word for r in contexts.vocabulary(found, "key").collect()} == set("abcd")
+    turned = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0])], "row int, values array<double>")
+    plain, swapped = ({r.g: r.embedding for r in contexts.embedded(found, vectors, m, ("g",)).collect()} for m in (None, turned))
+    assert plain == {"x": [1.0, 0.1], "y": [0.0, 1.0]} and swapped == {"x": [0.1, 1.0], "y": [1.0, 0.0]}
+    rows = contexts.embedded(found, vectors, None, ("g",))
+    near = contexts.nearest_words(rows, vectors, ("g",), boots=30, most=2).collect()
+    assert {r.word for r in near if r.g == "x"} == {"a", "b"} and all(r.low <= r.estimate <= r.high for r in near)
+    assert contexts.in_both(spark.createDataFrame([("x", "a"), ("y", "a"), ("y", "b")], "g string, word string"), "g").count() == 2
+    assert [(r.g, r.context) for r in contexts.examples(found, rows, ("g",), 1).orderBy("g").collect()] == [("x", "a b"), ("y", "c")]
+    assert contexts.nearest_words(rows.where("false"), vectors, ("g",)).count() == 0
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    rows = spark.range(100).selectExpr("(id * 37) % 100 as x").repartition(7)
+    assert [(r.x, r.i) for r in graph.numbered(rows, F.desc("x"), "i").orderBy("i").collect()] == [(99 - i, i + 1) for i in range(100)]
+    assert graph.numbered(rows.where("false"), "x", "i").count() == 0
+
+
+def test_lone_nodes_seeds_and_the_last_of_repeated_edges(spark):
+    edges = spark.createDataFrame([("a", "b", 5), ("b", "c", 5)], EDGE)
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("y",), ("z",)], "node string")
+    got = {r.node: r.community for r in graph.louvain(graph.undirected(edges), seed=3, nodes=nodes).collect()}
+    assert len(got) == 5 and len({got["y"], got["z"], got["a"]}) == 3
+    assert {r.node for r in graph.louvain(graph.undirected(edges.where("false")), nodes=nodes).collect()} == set("abcyz")
+    last = graph.last_written(spark.createDataFrame([("a", "b", 5, 1), ("b", "a", 2, 2), ("a", None, 1, 1)], f"{EDGE}, batch_no int"), "batch_no")
+    assert [tuple(r) for r in last.collect()] == [("a", "b", 2)]
+
+
+def test_scaling_of_equal_and_spread_values(spark):
+    size = lambda *xs: [r["size"] for r in graph.scaled(spark.createDataFrame([(x,) for x in xs], "v double"), "v", "size", 2.0, 6.0).orderBy("v").collect()]
+    assert size(1.0, 2.0, 3.0) == [2.0, 4.0, 6.0] and size(5.0, 5.0) == [4.0, 4.0]
 
 
 def test_nearest_vertex(spark):

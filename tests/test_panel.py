@@ -80,3 +80,31 @@ def test_issue_summary_counts_only_kept(spark):
     long = "The school board of the county met with Latino parents about classrooms and teachers"
     row = panel.issue_summary(panel.gated(labels(spark, long, "x"))).first()
     assert (row.n_paragraphs_raw, row.n_paragraphs_filtered, row.n_panethnic_appeared, row.keep_rate_pct) == (2, 1, 1, 50.0)
+
+
+def test_themes_are_discovered_by_column_names():
+    columns = ["paragraph_id", "policy_frame_data", "policy_frame_funding", "policy_frame_funding_hits", "domain_other", lx.COMBINED, "domain_new", "theme_x"]
+    assert themes.theme_columns(columns) == ["domain_new", "policy_frame_funding", "theme_anti_discrimination", "theme_equal_opportunity", "theme_x"]
+
+
+def test_groups_and_periods(spark):
+    rows = labels(spark, "latino", "chicano and latino", "chicano", "none").withColumn("year", F.when(F.col("paragraph_id") == "p2", 1970).otherwise(1980))
+    assert [r.x for r in rows.orderBy("paragraph_id").select(panel.group_period(F.col("year"), 1976).alias("x")).collect()] == ["Panethnic, Post", "Both, Post", "Ethnic, Pre", None]
+
+
+def test_wide_months_and_back(spark):
+    wide = themes.monthly_wide(panel.themed(labels(spark, "latino school", "latino")))
+    long = themes.long_by_suffix(wide, ["year_month", "group_name"], "_per100", "rate")
+    assert {r.theme: r.rate for r in long.where("rate > 0").collect()} == {"domain_education": 50.0} and long.count() == 13
+    assert one(spark, themes.recoded(F.col("c"), {"a": "Alpha"}), c="a") == "Alpha" and one(spark, themes.recoded(F.col("c"), {"a": "Alpha"}), c="z") == "z"
+
+
+def test_issues_of_either_side(spark):
+    gate = panel.gated(labels(spark, "x", None)).withColumn("file_name", F.when(F.col("paragraph_id") == "p0", "f"))
+    meta = spark.createDataFrame([("f", "1975-05-01")], "file_name string, canonical_issue_date string")
+    assert [tuple(r) for r in panel.issue_union(gate, meta).collect()] == [(None, "", 1, 0), ("f", "1975-05-01", 1, 0)]
+
+
+def test_each_paragraph_is_one_of_its_rows(spark):
+    rows = spark.createDataFrame([("p", "f", None, None, "t"), ("p", "f", 1975, 5, "t"), (None, "f", 1, 1, "t"), ("q", None, None, None, None)], "paragraph_id string, file_name string, canonical_year int, canonical_month int, paragraph_text string")
+    assert sorted(map(tuple, panel.once(rows).collect())) == [("p", "f", 1975, 5, "t"), ("q", None, None, None, None)]
