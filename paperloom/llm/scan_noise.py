@@ -250,7 +250,7 @@ def _beyond(lines: DataFrame, accepted: DataFrame, known: dict[str, int]) -> Dat
 def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
     """Adds cut (the word goes on below) and suspects (words that aren't accepted, with their neighbours; seam: length of a cut word's part above, below zero where the line holds that part).
 
-    `beyond` holds the accepted forms and skeletons outside the broadcast set that a line at a hyphen asks for, from _beyond(); null for none.
+    `beyond`, if there is such a column, holds the accepted forms and skeletons outside the broadcast set that a line at a hyphen asks for, from _beyond(); null for none.
     """
     shared = lines.sparkSession.sparkContext.broadcast(accepted)
     kinds = dict(lines.dtypes)
@@ -294,7 +294,8 @@ def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for text, one, two, before, beyond in zip(batch["text"], batch["next_1"], batch["next_2"], batch["before"], batch["beyond"], strict=True):
+            asked = batch["beyond"] if "beyond" in batch else [None] * len(batch)
+            for text, one, two, before, beyond in zip(batch["text"], batch["next_1"], batch["next_2"], batch["before"], asked, strict=True):
                 words = tokens(text)
                 rare = {x["item"]: x["n"] for x in beyond} if beyond is not None else {}
                 cut = cut_at(text, one, two) if _hyphenated(text) else None
@@ -424,11 +425,8 @@ def _known(lines: DataFrame, accepted: DataFrame) -> dict[str, int]:
 
 def _cut_marks(lines: DataFrame, accepted: DataFrame, known: dict[str, int]) -> DataFrame:
     """_marks() by the whole accepted table: what the broadcast set doesn't hold is joined."""
-    if len(known) < MAX_ACCEPTED:  # the set is the whole table
-        asked = lines.withColumn("beyond", F.lit(None).cast("array<struct<item: string, n: bigint>>"))
-    else:
-        asked = lines.join(_beyond(lines, accepted, known), "line_id", "left")
-    return _marks(asked, known)
+    whole = len(known) < MAX_ACCEPTED  # the set is the whole table
+    return _marks(lines if whole else lines.join(_beyond(lines, accepted, known), "line_id", "left"), known)
 
 
 def _analysed(lines: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, dict[str, int]]]:
