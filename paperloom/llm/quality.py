@@ -28,6 +28,8 @@ MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|ene|abr|ago|dic"
 _CELL = r"(?:\$?\d[\d.,]*%?|n\.a\.|-)"
 #: A row of figures: at least two cells in a row, or a name and then cells behind separators, to the end of the line.
 _ROW = rf"(?m)^[^\d\n]{{0,40}}?(?:\d{{4}})?(?:(?:[^\S\n]{{2,}}|[^\S\n]*[|;][^\S\n]*|\t){_CELL}){{2,}}[^\S\n]*$|^{_CELL}(?:[^\S\n]+{_CELL})+$"
+#: What a row needs: a separator of cells, or a line that begins as a cell does.
+_MAY_BE_ROW = r"(?m)[^\S\n]{2}|[|;\t]|^(?:[$\d-]|n\.a)"
 _ITEM = (
     r"(?m)^[^\S\n]*(?:[•*+·o–—-][^\S\n]+\d*[^\S\n]*\p{L}|\d{1,3}[^\S\n]*(?:[):]|-)[^\S\n]*\p{Lu})"
     r"|(?:\.[^\S\n]?){4,}[^\S\n]*\d+[^\w\n]*$"
@@ -56,7 +58,8 @@ def with_statistics(panel: DataFrame) -> DataFrame:
     Null and empty texts have counts and shares of 0. Columns: n_words, n_tokens, n_lines, n_chars, mean_word_length, symbol_share,
     digit_share, common_share, n_common, n_common_kinds, end_share, vowelless_share, run_share, mixed_share, row_share, cell_share,
     item_share, names_share, running_share, folio, lower_words. Patterns that need a certain sign are tried only where it stands: rows
-    and cells where there is a figure, a dash or n.a., names where there is a comma. Running lines are counted on up to three lines.
+    and cells where there is a figure, a dash or n.a., rows where there is also a separator or a line that begins with a cell, names where
+    there is a comma. Running lines are counted on up to three lines.
     """
     raw, low = F.col("_raw"), F.col("_low")
     count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
@@ -89,13 +92,15 @@ def with_statistics(panel: DataFrame) -> DataFrame:
         }
     )
     cells = lambda x: x.rlike(r"[\d-]|n\.a\.")
+    # Running lines have a figure; without one, only a page number in letters can be there.
+    running = F.when(raw.rlike(r"\d"), count(raw, f"{_RUNNING}|{_FOLIO}")).otherwise(count(raw, _FOLIO))
     out = base.withColumns(
         {
-            "row_share": F.when(cells(raw), _share(count(raw, _ROW), c("n_lines"))).otherwise(0.0),
+            "row_share": F.when(cells(raw) & raw.rlike(_MAY_BE_ROW), _share(count(raw, _ROW), c("n_lines"))).otherwise(0.0),
             "cell_share": F.when(cells(low), _share(count(low, rf"(?<!\S){_CELL}[;|]?(?!\S)"), c("n_tokens"))).otherwise(0.0),
             "item_share": _share(count(raw, _ITEM), c("n_lines")),
             "names_share": F.when(F.contains(raw, F.lit(",")), _share(count(raw, _NAMES), c("n_lines"))).otherwise(0.0),
-            "running_share": F.when(c("n_lines").between(1, 3), _share(count(raw, f"{_RUNNING}|{_FOLIO}"), c("n_lines"))).otherwise(0.0),
+            "running_share": F.when(c("n_lines").between(1, 3), _share(running, c("n_lines"))).otherwise(0.0),
             "folio": F.when(c("n_lines") == 1, count(raw, _FOLIO)).otherwise(0),
             "lower_words": count(raw, _LOWER_WORD),
         }
