@@ -146,7 +146,7 @@ def _bloom(items: DataFrame, n: int) -> np.ndarray:
                     bits[_bits(_hashes(ws, n))] = True
         chunks = np.packbits(bits).reshape(-1, CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
-        yield pd.DataFrame({"chunk": used, "bits": [chunks[i].tobytes() for i in used]})
+        yield pd.DataFrame([(int(i), chunks[i].tobytes()) for i in used], columns=["chunk", "bits"])
 
     def both(rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]])

@@ -104,7 +104,7 @@ def laid_out(lines: DataFrame) -> DataFrame:
     A paragraph starts where the gap to the line above is more than max(8, 1.25 * median height) of its column; blank lines count for
     the median but belong to no paragraph and are left out. line_no is the place of the line in its column. ends: the line is its
     paragraph's last. at_top, at_bottom: no other line of the page lies higher, or lower. next_1 and next_2 are the lines below in the
-    column, `before` the one above.
+    column of a line that ends in a hyphen, `before` the line above one if that ends in a hyphen; else they are null.
     """
     rows = latest(lines.select("line_id", "file_name", "page_number", "column_index", "x0", "y0", "y1", "text", "loaded_at"))
     column = W.partitionBy("file_name", "page_number", "column_index")
@@ -113,7 +113,9 @@ def laid_out(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_gap", F.col("y0") - F.lag("y1").over(down))
     rows = rows.withColumn("_new", (F.coalesce(F.col("_gap"), F.lit(0.0)) > F.greatest(F.lit(8.0), 1.25 * F.col("_h"))).cast("int"))
     rows = rows.withColumns({"line_no": F.row_number().over(down), "paragraph_in_column": 1 + F.sum("_new").over(down), "ends": F.coalesce(F.lead("_new").over(down), F.lit(1)) == 1})
-    rows = rows.withColumns({"next_1": F.lead("text", 1).over(down), "next_2": F.lead("text", 2).over(down), "before": F.lag("text", 1).over(down)})
+    at_hyphen = lambda text: text.rlike(rf"[{HYPHENS}][^\p{{L}}\p{{N}}]*$")
+    own, above = at_hyphen(F.col("text")), F.lag("text", 1).over(down)
+    rows = rows.withColumns({"next_1": F.when(own, F.lead("text", 1).over(down)), "next_2": F.when(own, F.lead("text", 2).over(down)), "before": F.when(at_hyphen(above), above)})
     page = W.partitionBy("file_name", "page_number")
     rows = rows.withColumns({"at_top": F.col("y0") <= F.min("y0").over(page), "at_bottom": F.col("y1") >= F.max("y1").over(page)})
     return rows.drop("_h", "_gap", "_new", "x0", "y0", "y1", "loaded_at")
@@ -133,7 +135,7 @@ def _counted(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs: Counter = Counter()
 
         def out() -> pd.DataFrame:
-            rows = pd.DataFrame({"form": [*words, *(f"{a} {b}" for a, b in pairs)], "n": [*words.values(), *pairs.values()]})
+            rows = pd.DataFrame({"form": [*words, *(f"{a} {b}" for a, b in pairs)], "n": [*words.values(), *pairs.values()]}, dtype=object)  # or an empty one would hold floats
             words.clear()
             pairs.clear()
             return rows
@@ -301,7 +303,8 @@ def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
                 cut = cut_at(text, one, two) if _hyphenated(text) else None
                 from_above = cut_at(before, text) if _hyphenated(before) else None
                 suspects = []
-                for i in [k for k, w in enumerate(words) if not count(w)]:
+                look = count if rare else frequent
+                for i in [k for k, w in enumerate(words) if not look(w)]:
                     w = words[i]
                     first, last = i == 0 and from_above is not None, i == len(words) - 1 and cut is not None
                     if first or last:
@@ -323,7 +326,7 @@ def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
 
 def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs: DataFrame) -> DataFrame:
     """(line_id, word, at_seam, right): suspects with the form they are misread from; at_seam: the word is put together from two lines."""
-    found = marked.select("line_id", F.explode("suspects").alias("s")).select("line_id", "s.*").where(F.length("word") > 2)
+    found = cut_lineage(marked.select("line_id", F.explode("suspects").alias("s")).select("line_id", "s.*").where(F.length("word") > 2))  # read twice
     bones = F.pandas_udf(lambda words: words.map(skeleton), "string")
     strange = F.pandas_udf(lambda words: words.map(odd), "boolean")
     form = F.pandas_udf(lambda words: words.map(key_of), "string")
@@ -442,7 +445,10 @@ def noise_outside_junk(lines: DataFrame, panel: DataFrame) -> DataFrame:
     """noise() without the lines of paragraphs that are junk by their statistics."""
     laid, right, _ = _analysed(lines)
     junk = with_text_kind(panel).where("text_kind = 'junk'").select(F.col("paragraph_id").alias("of_paragraph"))
-    clean = laid.withColumn("of_paragraph", paragraph_key()).join(junk, "of_paragraph", "left_anti")
+    # One pass over the lines keeps those that can have a kind; of these the lines of junk are left out.
+    may_be = F.col("cut") | F.col("at_top") | (F.size("suspects") > 0) | page_number_value(F.col("text")).isNotNull()
+    rows = laid.where(may_be).withColumn("of_paragraph", paragraph_key()).drop("suspects", "column_index", "line_no", "paragraph_in_column")
+    clean = cut_lineage(rows.join(junk, "of_paragraph", "left_anti"))
     numbers = page_numbers(clean).select("line_id", F.lit("page_number").alias("noise_kind"))
     cut = clean.where("cut").select("line_id", F.lit("hyphen").alias("noise_kind"))
     top = headers(clean).select("line_id", F.lit("header").alias("noise_kind"))
