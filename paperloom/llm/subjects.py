@@ -17,11 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Labelled paragraphs that the chain is fitted on at most, those it is chosen from, the share that Spanish ones may take, and features.
+#: Labelled paragraphs that the chain is fitted on at most, those they are chosen from, and the share that Spanish ones may take.
 MAX_LABELLED = 5000
 POOL = 40_000
 SECOND_SHARE = 0.3
-MAX_FEATURES = 4096
 #: Standard deviations by which a feature must stand more often with some subject than by chance.
 MIN_TELL = 4.0
 #: A mark whose probability is below this is taken for a slip of the hand and left out of the last fit.
@@ -178,8 +177,11 @@ def _fit(x: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int, ridge: fl
     return w, b, c * before
 
 
-def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int = 80, ridge: float = 4e-3, max_features: int = MAX_FEATURES, min_tell: float = MIN_TELL) -> Chain:
-    """The chain from (features, subjects) of labelled paragraphs. Frequent subjects come first in the chain."""
+def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int = 80, ridge: float = 4e-3, min_tell: float = MIN_TELL) -> Chain:
+    """The chain from (features, subjects) of labelled paragraphs. Frequent subjects come first in the chain.
+
+    All features that tell a subject by `min_tell` are taken, so their number follows the labelled paragraphs.
+    """
     k = len(subjects)
     if not rows:
         return Chain(subjects, {}, np.zeros((0, k)), np.full(k, -9.0), np.zeros((k, k)), np.ones(k), np.zeros(k))
@@ -195,7 +197,7 @@ def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int
         of[[at[f] for f in found if f in at]] += labels
     n, share = np.array([df[f] for f in kept])[:, None], y.mean(axis=0)
     tells = ((of - n * share) / np.sqrt(n * share * (1 - share) + 0.5)).max(axis=1, initial=0)
-    kept = [kept[i] for i in np.argsort(-tells, kind="stable")[:max_features] if tells[i] >= min_tell]
+    kept = [f for f, tell in zip(kept, tells, strict=True) if tell >= min_tell]
     index = {f: i for i, f in enumerate(sorted(kept))}
     x = np.zeros((len(rows), len(index)), np.float32)
     for r, (found, _) in enumerate(rows):
@@ -246,7 +248,8 @@ def labelled(panel: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, pool
     they are too few otherwise to teach their words.
     """
     marks = labels.where("paragraph_id is not null and theme is not null").groupBy("paragraph_id").agg(F.collect_set("theme").alias("themes"))
-    chosen = marks.withColumn("h", F.xxhash64("paragraph_id")).orderBy("h", "paragraph_id").limit(pool)
+    marks = marks.join(panel.select("paragraph_id"), "paragraph_id", "left_semi")
+    chosen = marks.withColumn("h", F.xxhash64("paragraph_id")).orderBy("h", "paragraph_id").limit(pool)  # at most `pool` rows
     texts = panel.select("paragraph_id", "file_name", "paragraph_text").join(F.broadcast(chosen), "paragraph_id").dropDuplicates(["paragraph_id"])
     texts = texts.withColumn("spanish", is_spanish(F.col("paragraph_text")))
     rank = F.row_number().over(W.partitionBy("spanish").orderBy("h", "paragraph_id"))
@@ -262,7 +265,7 @@ def subjects_of(panel: DataFrame, chain: Chain, key: str = "paragraph_id") -> Da
 
     Repeated rows of a key are taken to have the same text. Null and empty texts have no subject. Rows with a null key are left out.
     """
-    # The chain is of bounded size: MAX_FEATURES rows of as many numbers as there are subjects.
+    # The chain is of bounded size: its features are some of those of MAX_LABELLED paragraphs.
     shared = panel.sparkSession.sparkContext.broadcast({f.name: getattr(chain, f.name) for f in fields(chain)})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
