@@ -161,14 +161,18 @@ class Chain:
         return sets[rows, best], np.exp(logs[rows, best])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic weights for all links at once, by Adam on the whole sample; link j sees the true subjects before it. trust: 0 for marks that don't count."""
+def _fit(x: np.ndarray, times: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic weights for all links at once, by Adam on the whole sample; link j sees the true subjects before it. trust: 0 for marks that don't count.
+
+    Features that stand in the same paragraphs are one column of `x`, `times` of them: they have the same weight, as they'd get if each
+    had a column of its own.
+    """
     n, k = y.shape
     before = np.tril(np.ones((k, k)), -1)
     w, b, c = np.zeros((x.shape[1], k), np.float32), np.full(k, -2.0), np.zeros((k, k))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b, c)]
     for t in range(1, rounds + 1):
-        z = x @ w + b + y @ (c * before).T
+        z = x @ (w * times) + b + y @ (c * before).T
         off = trust * (1 / (1 + np.exp(-z)) - y) / n
         for (m, v), p, g in zip(state, (w, b, c), (x.T @ off.astype(np.float32) + ridge * w, off.sum(axis=0), (off.T @ y) * before + ridge * c), strict=True):
             m += 0.1 * (g - m)
@@ -199,9 +203,16 @@ def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int
     tells = ((of - n * share) / np.sqrt(n * share * (1 - share) + 0.5)).max(axis=1, initial=0)
     kept = [f for f, tell in zip(kept, tells, strict=True) if tell >= min_tell]
     index = {f: i for i, f in enumerate(sorted(kept))}
-    x = np.zeros((len(rows), len(index)), np.float32)
+    held: dict[str, list[int]] = {f: [] for f in index}
     for r, (found, _) in enumerate(rows):
-        x[r, [index[f] for f in found if f in index]] = 1
+        for f in found:
+            if f in index:
+                held[f].append(r)
+    columns: dict[tuple[int, ...], int] = {}
+    column = np.array([columns.setdefault(tuple(held[f]), len(columns)) for f in index], dtype=np.int64)
+    x, times = np.zeros((len(rows), len(columns)), np.float32), np.bincount(column, minlength=len(columns)).astype(np.float32)[:, None]
+    for paragraphs, i in columns.items():
+        x[list(paragraphs), i] = 1
     # Rare features count for more, or the ridge would keep what is seldom said, as in a second language, below notice.
     rare = np.log(len(rows) / np.maximum(x.sum(axis=0), 1)).astype(np.float32) ** RARE
     x *= rare
@@ -212,14 +223,14 @@ def fit(rows: list[tuple[set[str], set[str]]], subjects: list[str], rounds: int
         for last in (False, True):
             z = np.zeros_like(y)
             for h in (0, 1):
-                w, b, c = _fit(x[half != h], y[half != h], trust[half != h], rounds, ridge)
-                z[half == h] = x[half == h] @ w + b + y[half == h] @ c.T
+                w, b, c = _fit(x[half != h], times, y[half != h], trust[half != h], rounds, ridge)
+                z[half == h] = x[half == h] @ (w * times) + b + y[half == h] @ c.T
             scale, shift = _calibrate(z, y, trust)
             if not last:
                 p = 1 / (1 + np.exp(-(scale * z + shift)))
                 trust = 1.0 - (((y == 1) & (p < DOUBT)) | ((y == 0) & (p > 1 - DOUBT)))
-    w, b, c = _fit(x, y, trust, rounds, ridge)
-    return Chain(subjects, index, (w * rare[:, None]).astype(float), b, c, scale, shift)
+    w, b, c = _fit(x, times, y, trust, rounds, ridge)
+    return Chain(subjects, index, (w * rare[:, None]).astype(float)[column], b, c, scale, shift)
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, trust: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
