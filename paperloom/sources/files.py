@@ -14,9 +14,12 @@ from paperloom.operators import layout, metadata
 from paperloom.session import cut_lineage
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False) -> DataFrame:
-    """CSV with a header; cells may hold line breaks and doubled quotes. Without a schema all columns are strings, or inferred if asked for."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; cells may hold line breaks and doubled quotes. Without a schema all columns are strings, or inferred if asked for.
+
+    Files whose cells hold no line breaks can be read with `multi_line` off, so that large ones are split over tasks.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", infer)).csv(path)
 
 
