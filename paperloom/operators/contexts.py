@@ -12,11 +12,11 @@ from paperloom.operators import embed
 
 
 def contexts(tokens: DataFrame, key: str, word: str, by: tuple[str, ...] = (), width: int = 6) -> DataFrame:
-    """(by, vec_id, context): the words within `width` places of each occurrence of the word, without it; vec_id is a hash of the document and the place."""
+    """(by, vec_id, context): the words within `width` places of each occurrence of the word, without it; vec_id is a number out of a hash of the document and the place."""
     rows = tokens.where(F.array_contains("tokens", word)).select(key, *by, F.posexplode("tokens").alias("i", "w"), "tokens").where(F.col("w") == word)
     low = F.greatest(F.lit(0), F.col("i") - width)
     words = F.concat(F.slice("tokens", low + 1, F.col("i") - low), F.slice("tokens", F.col("i") + 2, width))
-    return rows.select(*by, F.xxhash64(key, "i").alias("vec_id"), words.alias("context"))
+    return rows.select(*by, F.conv(F.substring(F.md5(F.concat_ws("|", key, "i")), 1, 15), 16, 10).cast("long").alias("vec_id"), words.alias("context"))
 
 
 def vocabulary(found: DataFrame, word: str) -> DataFrame:
@@ -48,7 +48,7 @@ def nearest_words(context_vectors: DataFrame, candidates: DataFrame, by: tuple[s
     """(by, word, estimate, std_error, low, high, rank): for each group the words nearest to its mean context, over resamples of the contexts.
 
     `candidates` is (word, vector). estimate and std_error are the mean and spread of the similarity over the resamples, low and high the
-    band of 1.96 errors. Only the means reach the driver, one for each group and resample. All words as near as the last are kept.
+    band of 1.96 errors. Both are rounded to nine places. Only the means reach the driver, one for each group and resample. All words as near as the last are kept.
     """
     sums = embed.weighted_sums(context_vectors, list(by), lambda rows, run: embed.poisson(rows["vec_id"].to_numpy(), run, seed), boots).collect()
     kinds = dict(context_vectors.dtypes)
@@ -66,6 +66,7 @@ def nearest_words(context_vectors: DataFrame, candidates: DataFrame, by: tuple[s
                 yield pd.DataFrame({c: [v] * len(s) for c, v in zip(by, group, strict=True)} | {"word": batch["word"], "estimate": s.mean(axis=1), "std_error": spread})
 
     near = candidates.select("word", "vector").mapInPandas(compare, schema)
+    near = near.withColumns({"estimate": F.round("estimate", 9), "std_error": F.round("std_error", 9)})
     near = near.withColumns({"low": F.col("estimate") - 1.96 * F.col("std_error"), "high": F.col("estimate") + 1.96 * F.col("std_error")})
     return embed.top_with_ties(near.where("not isnan(estimate)"), list(by), "estimate", most)
 
@@ -79,6 +80,6 @@ def examples(found: DataFrame, context_vectors: DataFrame, by: tuple[str, ...],
     """(by, vec_id, context, similarity, rank): for each group the contexts nearest to its mean context, ties by id."""
     sums = embed.weighted_sums(context_vectors, list(by), lambda rows, run: np.ones(len(rows)), 1)
     mean = sums.select(*by, F.col("total").alias("mean"))  # one row a group
-    near = context_vectors.join(F.broadcast(mean), list(by)).select(*by, "vec_id", embed.cosine(F.col("embedding"), F.col("mean")).alias("similarity"))
+    near = context_vectors.join(F.broadcast(mean), list(by)).select(*by, "vec_id", F.round(embed.cosine(F.col("embedding"), F.col("mean")), 9).alias("similarity"))
     near = near.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last("similarity"), "vec_id"))).where(F.col("rank") <= most)
     return near.join(found.select("vec_id", F.array_join("context", " ").alias("context")), "vec_id").select(*by, "vec_id", "context", "similarity", "rank")

@@ -221,6 +221,21 @@ def bootstrap_means(vectors: DataFrame, group: str, boots: int = 20, seed: int =
     return sums.select(group, F.col("run").alias("boot"), "n", F.transform("total", lambda v: v / F.col("n")).alias("embedding"))
 
 
+def count_vectors(tokens: DataFrame, key: str, dims: int = 16, width: int = 6, least: int = 5) -> DataFrame:
+    """(word, vector): explicit vectors, ln(1 + n) for the number of times that each of the `dims` most frequent words stands within `width` places.
+
+    Words that occur `least` times and stand near one of these; ties of the frequent words by name, which is the order of the vector.
+    """
+    often = tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n_w")).where(F.col("n_w") >= least)
+    top = F.broadcast(often.orderBy(F.desc("n_w"), "word").limit(dims).select(F.col("word").alias("other")))
+    near = window_pairs(tokens, key, width=width)
+    both = near.select(F.col("a").alias("word"), F.col("b").alias("other"), "n").unionByName(near.select(F.col("b").alias("word"), F.col("a").alias("other"), "n"))
+    own = both.join(top, "other").join(often.select("word"), "word", "left_semi").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("other", F.ln(1.0 + F.col("n"))))).alias("own"))
+    names = F.broadcast(top.agg(F.sort_array(F.collect_list("other")).alias("names")))
+    rows = with_totals(own, names)
+    return rows.select("word", F.transform("names", lambda w: F.coalesce(F.try_element_at("own", w), F.lit(0.0))).alias("vector"))
+
+
 def around(tokens: DataFrame, key: str, vectors: DataFrame, width: int = 6) -> DataFrame:
     """(word, n, context): for each word with a vector, the mean vector of the words within `width` places, over all its occurrences.
 

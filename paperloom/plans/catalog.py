@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom import lexicon as lx
@@ -767,58 +768,80 @@ def word_vectors(s, d):
 
 
 @query
-def context_vectors(s, d):
+def transform_matrix(s, d):
     words, vectors = _vectors(s, d)
-    return embed.around(words, "paragraph_id", vectors)
+    return embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors)
+
+
+def _counted_vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words and their explicit vectors."""
+    words = cut_lineage(_words(s, d))
+    return words, cut_lineage(embed.count_vectors(words, "paragraph_id"))
+
+
+def _long(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.posexplode(vector).alias("dim", "value"))
 
 
 @query
-def transform_matrix(s, d):
-    words, vectors = _vectors(s, d)
-    return embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors)
+def count_vectors(s, d):
+    return _long(_counted_vectors(s, d)[1], "vector", "word")
 
 
-def _contexts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Contexts of a keyword by group and period, their vectors, the word vectors, and those of the words around it."""
-    words, vectors = _vectors(s, d)
-    matrix = embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors)
+@query
+def context_vectors(s, d):
+    words, vectors = _counted_vectors(s, d)
+    return _long(embed.around(words, "paragraph_id", vectors), "context", "word", "n")
+
+
+def _contexts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contexts of a keyword by group and period, their vectors, and those of the words around it."""
+    _, vectors = _counted_vectors(s, d)
     label = panel.group_period(F.col("year"), FIRST_LATE_YEAR)
     rows = _labels(s, d).select("paragraph_id", label.alias("group_period"), tx.term_sequence(F.col("text"), LEX).alias("tokens")).where("group_period is not null")
     found = cut_lineage(contexts.contexts(rows, "paragraph_id", KEYWORD, ("group_period",)))
     around = vectors.join(contexts.vocabulary(found, KEYWORD), "word")
-    return found, cut_lineage(contexts.embedded(found, vectors, matrix, ("group_period",))), vectors, around
+    return found, cut_lineage(contexts.embedded(found, vectors, None, ("group_period",))), around
 
 
 @query
 def keyword_vectors(s, d):
     """The mean vector of a keyword's contexts by group and period."""
-    rows = _contexts(s, d)[1]
-    return embed.weighted_sums(rows, ["group_period"], lambda part, run: part["n"].to_numpy() * 0.0 + 1.0, 1).select("group_period", "n", F.transform("total", lambda v: v / F.col("n")).alias("embedding"))
+    sums = embed.weighted_sums(_contexts(s, d)[1], ["group_period"], lambda part, run: np.ones(len(part)), 1)
+    return _long(sums.select("group_period", F.col("n").cast("long").alias("n"), F.transform("total", lambda v: v / F.col("n")).alias("v")), "v", "group_period", "n")
+
+
+@query
+def transformed_contexts(s, d):
+    """Contexts of a keyword as word vectors, by the transform matrix of the corpus."""
+    words, vectors = _vectors(s, d)
+    matrix = embed.transform_matrix(embed.around(words, "paragraph_id", vectors), vectors)
+    return contexts.embedded(contexts.contexts(words, "paragraph_id", KEYWORD), vectors, matrix)
 
 
 @query
 def bootstrap_neighbours(s, d):
-    _, rows, _, around = _contexts(s, d)
+    _, rows, around = _contexts(s, d)
     return contexts.nearest_words(rows, around, ("group_period",))
 
 
 @query
 def shared_neighbours(s, d):
     """The nearest words that several groups and periods share."""
-    _, rows, _, around = _contexts(s, d)
+    _, rows, around = _contexts(s, d)
     return contexts.in_both(contexts.nearest_words(rows, around, ("group_period",)), "group_period")
 
 
 @query
 def keyword_examples(s, d):
-    found, rows, _, _ = _contexts(s, d)
+    found, rows, _ = _contexts(s, d)
     return contexts.examples(found, rows, ("group_period",))
 
 
 @query
 def keyword_contrast(s, d):
     """How much nearer the words around a keyword are to its contexts in one group than in the other."""
-    _, rows, _, around = _contexts(s, d)
+    _, rows, around = _contexts(s, d)
     rows = rows.where("group_period like 'Panethnic%' or group_period like 'Ethnic%'").withColumn("g", F.col("group_period").startswith("Panethnic").cast("int"))
     targets = around.select(F.xxhash64("word").alias("vec_id"), F.col("vector").alias("embedding"))
     return around.select("word", F.xxhash64("word").alias("vec_id")).join(embed.contrast_neighbours(rows, "g", targets), "vec_id").drop("vec_id")

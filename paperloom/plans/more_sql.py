@@ -74,6 +74,40 @@ communities AS (SELECT community_id, count(*) AS n_terms, sum(pooled_n)::BIGINT
   string_agg(node, '|' ORDER BY community_rank_in_pooled_n) FILTER (WHERE community_rank_in_pooled_n <= 8) AS top_terms FROM members GROUP BY 1)"""
 
 
+_POISSON = "CASE WHEN x < 0.367879 THEN 0 WHEN x < 0.735759 THEN 1 WHEN x < 0.919699 THEN 2 WHEN x < 0.981012 THEN 3 ELSE 4 END"
+
+#: Explicit vectors in long form, vec (word, k, value), with k from 1, and as lists, vecs (word, v).
+_VECTORS = f"""{WORDS}, pos AS (SELECT paragraph_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM seq),
+often AS (SELECT w, count(*) AS n_w FROM pos GROUP BY 1 HAVING count(*) >= 5), topw AS (SELECT w FROM often ORDER BY n_w DESC, w LIMIT 16), dims AS (SELECT w AS other, row_number() OVER (ORDER BY w) AS k FROM topw),
+near AS (SELECT x.w AS a, y.w AS b, count(*) AS n FROM pos x JOIN pos y ON x.paragraph_id = y.paragraph_id AND y.i - x.i BETWEEN 1 AND 6 AND x.w <> y.w GROUP BY 1, 2),
+sides AS (SELECT word, other, sum(n) AS n FROM (SELECT a AS word, b AS other, n FROM near UNION ALL SELECT b, a, n FROM near) GROUP BY 1, 2),
+has AS (SELECT DISTINCT word FROM sides JOIN dims USING (other) WHERE word IN (SELECT w FROM often)),
+vec AS (SELECT word, k, coalesce(ln(1.0::DOUBLE + n), 0.0::DOUBLE) AS value FROM has CROSS JOIN dims LEFT JOIN sides USING (word, other)), vecs AS (SELECT word, list(value ORDER BY k) AS v FROM vec GROUP BY 1)"""
+
+
+def _contexts(late: int, keyword: str) -> str:
+    """Contexts of the keyword, ctx (group_period, vec_id, context), their vectors emb (group_period, vec_id, k, value), and the vectors of the words around it, cand (word, v)."""
+    period = f"CASE WHEN panethnic_hits <> '' AND ethnic_hits <> '' THEN 'Both' WHEN panethnic_hits <> '' THEN 'Panethnic' WHEN ethnic_hits <> '' THEN 'Ethnic' END || ', ' || CASE WHEN year >= {late} THEN 'Post' WHEN year < {late} THEN 'Pre' END"
+    labels = LABELS[LABELS.index("normed AS") :]
+    return f"""{_VECTORS}, {labels}, periods AS (SELECT paragraph_id, {period} AS group_period FROM labels),
+ctx AS (SELECT group_period, ('0x' || substr(md5(paragraph_id || '|' || (i - 1)), 1, 15))::BIGINT AS vec_id, list_concat(tokens[greatest(1, i - 6):i - 1], tokens[i + 1:i + 6]) AS context
+  FROM (SELECT paragraph_id, tokens, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM seq) JOIN periods USING (paragraph_id) WHERE w = '{keyword}' AND group_period IS NOT NULL),
+said AS (SELECT group_period, vec_id, unnest(context) AS word FROM ctx), emb AS (SELECT group_period, vec_id, k, avg(value) AS value FROM said JOIN vec USING (word) GROUP BY 1, 2, 3),
+cand AS (SELECT word, v FROM vecs WHERE word IN (SELECT word FROM said) AND word <> '{keyword}')"""
+
+
+def _drawn(first: int, last: int) -> str:
+    """w (…, run, x): the contexts' vectors with the uniform number of each run."""
+    return f"""u0 AS (SELECT emb.*, r AS run, ((vec_id % 2147483647) * 1103515245 + r * 69621 + 42 * 7919 + 12345) % 2147483648 AS x FROM emb, (SELECT unnest(range({first}, {last})) AS r)),
+u1 AS (SELECT * REPLACE (xor(x, x >> 11) * 1103515245 % 2147483648 AS x) FROM u0), w AS (SELECT * REPLACE (xor(x, x >> 11) * 1103515245 % 2147483648 / 2147483648.0::DOUBLE AS x) FROM u1)"""
+
+
+def _nearest(late: int, keyword: str) -> str:
+    return f"""{_contexts(late, keyword)}, {_drawn(1, 21)}, runs AS (SELECT group_period, run, list(s ORDER BY k) AS m FROM (SELECT group_period, run, k, sum(value * {_POISSON}) AS s, sum({_POISSON}) AS n FROM w GROUP BY 1, 2, 3) WHERE n > 0 GROUP BY 1, 2),
+est AS (SELECT group_period, word, round(avg(list_cosine_similarity(v, m)), 9) AS estimate, round(stddev_samp(list_cosine_similarity(v, m)), 9) AS std_error FROM cand, runs GROUP BY 1, 2),
+nearest AS (SELECT * FROM (SELECT *, estimate - 1.96 * std_error AS low, estimate + 1.96 * std_error AS high, rank() OVER (PARTITION BY group_period ORDER BY estimate DESC)::INTEGER AS rank FROM est) WHERE rank <= 20)"""
+
+
 def queries(late: int, keyword: str, strong: int) -> dict[str, str]:
     period = f"CASE WHEN panethnic_hits <> '' AND ethnic_hits <> '' THEN 'Both' WHEN panethnic_hits <> '' THEN 'Panethnic' WHEN ethnic_hits <> '' THEN 'Ethnic' END || ', ' || CASE WHEN year >= {late} THEN 'Post' WHEN year < {late} THEN 'Pre' END"
     per100 = " UNION ALL ".join(f"SELECT year_month, group_name, '{t}' AS theme, {t}_per100 AS rate FROM wide" for t in _THEME)
@@ -149,6 +183,25 @@ def queries(late: int, keyword: str, strong: int) -> dict[str, str]:
             SELECT vec_id, any_value(seen) AS ratio, stddev_samp(ratio) FILTER (WHERE run BETWEEN 1 AND 20) AS std_error, avg((abs(1 - ratio) >= abs(1 - seen))::INTEGER) FILTER (WHERE run > 20) AS p FROM r JOIN s USING (vec_id) GROUP BY 1""",
             "ratio std_error p",
         ),
+        "count_vectors": rounded(f"WITH {_VECTORS} SELECT word, (k - 1)::INTEGER AS dim, value FROM vec", "value"),
+        "context_vectors": rounded(f"WITH {_VECTORS} SELECT s.word, sum(n)::BIGINT AS n, (k - 1)::INTEGER AS dim, sum(n * value) / sum(n) AS value FROM sides s JOIN vec ON vec.word = s.other GROUP BY s.word, k", "value"),
+        "keyword_vectors": rounded(f"WITH {_contexts(late, keyword)} SELECT group_period, count(*) AS n, (k - 1)::INTEGER AS dim, avg(value) AS value FROM emb GROUP BY 1, k", "value"),
+        "bootstrap_neighbours": rounded(f"WITH {_nearest(late, keyword)} SELECT * FROM nearest", "estimate std_error low high"),
+        "shared_neighbours": rounded(f"WITH {_nearest(late, keyword)} SELECT * FROM nearest WHERE word IN (SELECT word FROM nearest GROUP BY 1 HAVING count(*) > 1)", "estimate std_error low high"),
+        "keyword_examples": rounded(
+            f"""WITH {_contexts(late, keyword)}, own AS (SELECT group_period, vec_id, list(value ORDER BY k) AS e FROM emb GROUP BY 1, 2), total AS (SELECT group_period, list(s ORDER BY k) AS m FROM (SELECT group_period, k, sum(value) AS s FROM emb GROUP BY 1, 2) GROUP BY 1),
+            s AS (SELECT group_period, vec_id, round(list_cosine_similarity(e, m), 9) AS similarity FROM own JOIN total USING (group_period)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY group_period ORDER BY similarity DESC, vec_id)::INTEGER AS rank FROM s) SELECT r.group_period, r.vec_id, array_to_string(context, ' ') AS context, similarity, rank FROM r JOIN ctx USING (vec_id) WHERE rank <= 5""",
+            "similarity",
+        ),
+        "keyword_contrast": rounded(
+            f"""WITH {_contexts(late, keyword)}, {_drawn(0, 121)}, one AS (SELECT *, (group_period LIKE 'Panethnic%')::INTEGER AS own FROM w WHERE group_period LIKE 'Panethnic%' OR group_period LIKE 'Ethnic%'), share AS (SELECT avg(own) AS s FROM one),
+            g AS (SELECT run, k, value, CASE WHEN run > 20 THEN (x < s)::INTEGER ELSE own END AS g, CASE WHEN run BETWEEN 1 AND 20 THEN {_POISSON} ELSE 1 END AS t FROM one, share),
+            m AS (SELECT run, g, list(v ORDER BY k) AS m FROM (SELECT run, g, k, sum(value * t) AS v, sum(t) AS n FROM g GROUP BY 1, 2, 3) WHERE n > 0 GROUP BY 1, 2),
+            r AS (SELECT word, a.run, list_cosine_similarity(v, a.m) / list_cosine_similarity(v, b.m) AS ratio FROM cand, m a JOIN m b ON a.run = b.run AND a.g = 1 AND b.g = 0), s AS (SELECT word, ratio AS seen FROM r WHERE run = 0)
+            SELECT word, any_value(seen) AS ratio, stddev_samp(ratio) FILTER (WHERE run BETWEEN 1 AND 20) AS std_error, avg((abs(1 - ratio) >= abs(1 - seen))::INTEGER) FILTER (WHERE run > 20) AS p FROM r JOIN s USING (word) GROUP BY 1""",
+            "ratio std_error p",
+        ),
         "skipgrams": f"""WITH {WORDS}, p AS (SELECT paragraph_id, tokens, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM seq),
             good AS (SELECT w AS target, unnest(tokens[i + 1:i + 3]) AS context, 1 AS label FROM p),
             bad AS (SELECT w AS target, tokens[1 + (i - 1 + (i - 1) * 7919 + ascii(w) * 104729 + 42 * 31) % len(tokens)] AS context, 0 AS label FROM p)

@@ -172,6 +172,13 @@ def test_contexts_their_neighbours_and_examples(spark):
     assert contexts.nearest_words(rows.where("false"), vectors, ("g",)).count() == 0
 
 
+def test_explicit_vectors_count_the_frequent_words_nearby(spark):
+    tokens = spark.createDataFrame([("d", ["a", "b", "a", "c"]), ("e", ["a", "b", "x"])], "k string, tokens array<string>")
+    got = {r.word: r.vector for r in embed.count_vectors(tokens, "k", dims=2, width=1, least=2).collect()}
+    assert got == {"a": pytest.approx([0.0, math.log(4)]), "b": pytest.approx([math.log(4), 0.0])}
+    assert embed.count_vectors(tokens.where("false"), "k").count() == 0
+
+
 def test_rows_are_numbered_over_partitions(spark):
     rows = spark.range(100).selectExpr("(id * 37) % 100 as x").repartition(7)
     assert [(r.x, r.i) for r in graph.numbered(rows, F.desc("x"), "i").orderBy("i").collect()] == [(99 - i, i + 1) for i in range(100)]
