@@ -14,6 +14,7 @@ slot that it shares with it, and edit distance verifies what is found there.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -62,7 +63,8 @@ def path_of(tokens: list[str]) -> tuple[str, ...]:
     cuts = [0]
     for i in range(1, DEPTH):
         share = len(letters) * i / DEPTH
-        end = min(ends, key=lambda e, s=share: abs(e - s))
+        at = bisect_left(ends, share)
+        end = ends[at - 1] if at and share - ends[at - 1] <= ends[at] - share else ends[at]
         cuts.append(end if abs(end - share) * 2 * DEPTH < len(letters) else round(share))
     return tuple(letters[a:b] for a, b in zip(cuts, [*cuts[1:], len(letters)], strict=True))
 
@@ -125,13 +127,18 @@ class WildcardTree:
             for i, slot in enumerate(path):
                 node.setdefault((i, at, at + len(slot)), {}).setdefault(slot, []).append(letters)
                 at += len(slot)
+        #: The numbers of letters of templates that a line of so many letters can be near to.
+        self.totals: dict[int, list[int]] = {}
+        for total in self.by_length:
+            for n in range(total - MAX_EDITS, total + MAX_EDITS + 1):
+                self.totals.setdefault(n, []).append(total)
 
     def covers(self, letters: str) -> bool:
         """Whether the letters are those of a template, or at most MAX_EDITS letters away from one."""
         if letters in self.whole:
             return True
-        for total in range(len(letters) - MAX_EDITS, len(letters) + MAX_EDITS + 1):
-            for (i, start, end), slots in self.by_length.get(total, {}).items():
+        for total in self.totals.get(len(letters), ()):
+            for (i, start, end), slots in self.by_length[total].items():
                 # The first slot stands where it stood, the last as far from the end; in between edits on either side may have moved it.
                 moves = (0,) if i == 0 else (len(letters) - total,) if i == DEPTH - 1 else range(1 - MAX_EDITS, MAX_EDITS)
                 for by in moves:
