@@ -28,6 +28,8 @@ ODD_DOMINANCE = 3
 #: a line's end, is looked up by joins.
 MAX_ACCEPTED = 50_000
 MIN_ACCEPTED = 3
+#: Misread forms with the forms that they stand for that are broadcast at most, some 20 MB.
+MAX_VERDICTS = 100_000
 #: Distinct words or word pairs counted in memory before they are handed on.
 FLUSH = 200_000
 
@@ -337,7 +339,9 @@ def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs:
     words = words.join(counts, "key", "left").fillna(1, ["n_wrong"])
     right = accepted.where("bones <> ''").select("bones", F.col("form").alias("right"), F.col("n").alias("n_right"))
     words = words.join(right, "bones").where((F.col("right") != F.col("key")) & (F.col("n_right") >= F.when(F.col("odd"), ODD_DOMINANCE).otherwise(DOMINANCE) * F.col("n_wrong")))
-    found = found.join(words, "word")
+    # A wrong form may be frequent: the verdicts go to all tasks where they are few, else to the occurrences, split where one form has too many.
+    words = cut_lineage(words)
+    found = found.join(F.broadcast(words) if words.count() <= MAX_VERDICTS else words, "word")
     # A word cut in two: the error is in the part that the right form doesn't share.
     head, tail = F.abs("seam"), F.length("word") - F.abs("seam")
     low, good = F.lower("word"), F.lower("right")

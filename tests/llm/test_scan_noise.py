@@ -124,3 +124,10 @@ def test_rare_accepted_forms_decide_about_hyphens(spark, monkeypatch):
     monkeypatch.setattr(N, "MAX_ACCEPTED", 3)
     assert {tuple(r) for r in N.noise(lines).collect()} == whole
     assert [r.text for r in N.repaired(lines).where("page_number = 50").collect()] == text
+
+
+def test_verdicts_are_joined_where_they_aren_t_broadcast(spark, monkeypatch):
+    lines = frame(spark, corpus() + page(30, ["the council of neigbbors met in Fcbruary", "mem,bers and the l@st"], 90000)).cache()
+    whole = {tuple(r) for r in N.noise(lines).collect()}
+    monkeypatch.setattr(N, "MAX_VERDICTS", 0)
+    assert {tuple(r) for r in N.noise(lines).collect()} == whole
