@@ -327,8 +327,8 @@ def _marks(lines: DataFrame, accepted: dict[str, int]) -> DataFrame:
 
 
 def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line_id, word, at_seam, right): suspects with the form they are misread from; at_seam: the word is put together from two lines."""
-    found = cut_lineage(marked.select("line_id", F.explode("suspects").alias("s")).select("line_id", "s.*").where(F.length("word") > 2))  # read twice
+    """(line_id, file_name, page_number, word, at_seam, right): suspects with the form they are misread from; at_seam: the word is put together from two lines."""
+    found = cut_lineage(marked.select(*LINE_KEY, F.explode("suspects").alias("s")).select(*LINE_KEY, "s.*").where(F.length("word") > 2))  # read twice
     bones = F.pandas_udf(lambda words: words.map(skeleton), "string")
     strange = F.pandas_udf(lambda words: words.map(odd), "boolean")
     form = F.pandas_udf(lambda words: words.map(key_of), "string")
@@ -354,7 +354,7 @@ def _misread(marked: DataFrame, accepted: DataFrame, given_up: DataFrame, pairs:
     supported = F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0)) > 0
     both = both.where(F.col("odd") | supported | (F.col("n_right") >= CLEAR * F.col("n_wrong")))
     best = F.max_by("right", F.struct(supported.cast("int"), "n_right", "right")).alias("right")
-    return both.groupBy("line_id", "word", (F.col("seam") != 0).alias("at_seam")).agg(best)
+    return both.groupBy(*LINE_KEY, "word", (F.col("seam") != 0).alias("at_seam")).agg(best)
 
 
 #: Pages that a printed number may be off the number of the page in its file, as covers are counted or not. A file whose pages are
@@ -381,18 +381,21 @@ def page_number_value(text: Column) -> Column:
     return F.when(~F.trim(text).rlike(r"^\d+\.$"), number)
 
 
+LINE_KEY = ("line_id", "file_name", "page_number")
+
+
 def page_numbers(lines: DataFrame) -> DataFrame:
-    """(line_id) of the lines of laid_out() that consist of their page's number: near the page's own in its file, or off by what holds for the file."""
+    """(line_id, file_name, page_number) of the lines of laid_out() that consist of their page's number: near the page's own in its file, or off by what holds for the file."""
     rows = lines.select("line_id", "file_name", "page_number", (F.col("at_top") | F.col("at_bottom")).alias("at_edge"), (page_number_value(F.col("text")) - F.col("page_number")).alias("off")).where("off is not null")
     edge = rows.where("at_edge").groupBy("file_name", "off").agg(F.count_distinct("page_number").alias("n"))
     file = edge.groupBy("file_name").agg(F.max_by("off", F.struct("n", (-F.abs("off")).alias("d"))).alias("own"), F.max("n").alias("n"), F.sum("n").alias("n_all"))
     file = file.where((F.col("n") >= OWN_PAGES) & (F.col("n") >= OWN_SHARE * F.col("n_all")) & (F.abs("own") > MAX_OFFSET)).select(F.col("file_name").alias("of_file"), "own")
     rows = rows.join(file, F.col("file_name").eqNullSafe(F.col("of_file")), "left")
-    return rows.where((F.abs("off") <= MAX_OFFSET) | (F.col("at_edge") & F.coalesce(F.col("off") == F.col("own"), F.lit(False)))).select("line_id")
+    return rows.where((F.abs("off") <= MAX_OFFSET) | (F.col("at_edge") & F.coalesce(F.col("off") == F.col("own"), F.lit(False)))).select(*LINE_KEY)
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """(line_id) of running titles, dates and issue lines at the top of pages, from laid_out().
+    """(line_id, file_name, page_number) of running titles, dates and issue lines at the top of pages, from laid_out().
 
     A line at the top is one if, with figures masked and glyphs made one, it comes again at the top of another page of its file, isn't a
     sentence, and stands alone or has a sign between its parts; or if it has the parts of a running line: a page number, date, volume or
@@ -406,7 +409,7 @@ def headers(lines: DataFrame) -> DataFrame:
     sentence = F.col("text").rlike(r"[.!?;,]\s*$") | (F.regexp_count("text", F.lit(r"(?<![\p{L}])\p{Ll}{4,}")) >= 3)
     running = F.col("text").rlike(_RUNNING) & ~F.col("text").rlike(r"^\W*\d{1,3}\W+\p{Ll}") & (F.regexp_count("text", F.lit("[|;]")) < 2)
     apart = F.col("ends") | F.col("text").rlike(r"\S\s+[/|*·•]\s+\S")
-    return top.where(((F.col("n_pages") >= HEADER_PAGES) & apart & ~sentence & (F.length("form") >= HEADER_STROKES)) | running).select("line_id")
+    return top.where(((F.col("n_pages") >= HEADER_PAGES) & apart & ~sentence & (F.length("form") >= HEADER_STROKES)) | running).select(*LINE_KEY)
 
 
 def noise(lines: DataFrame) -> DataFrame:
@@ -543,9 +546,13 @@ def repaired(lines: DataFrame) -> DataFrame:
     column or page is one, under the place of its first part. A paragraph of nothing but headers and numbers is left out.
     """
     laid, right, (accepted, known) = _analysed(lines)
-    gone = headers(laid).unionByName(page_numbers(laid))
-    fixes = right.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("word", "right", "at_seam"))).alias("fixes"))
-    kept = laid.join(gone, "line_id", "left_anti").join(fixes, "line_id", "left")
+    gone = headers(laid).unionByName(page_numbers(laid)).withColumn("gone", F.lit(True))
+    fixes = right.groupBy(*LINE_KEY).agg(F.sort_array(F.collect_list(F.struct("word", "right", "at_seam"))).alias("fixes"))
+    # Lines and what is to be done to them meet by page, where the paragraphs are put together next, so texts are shuffled once.
+    own = ["column_index", "paragraph_in_column", "line_no", "text", "cut"]
+    both = laid.select(*LINE_KEY, *own).unionByName(gone, allowMissingColumns=True).unionByName(fixes, allowMissingColumns=True).repartition("file_name", "page_number")
+    met = both.groupBy("file_name", "page_number", "line_id").agg(*(F.max(c).alias(c) for c in (*own, "gone")), F.first("fixes", ignorenulls=True).alias("fixes"))
+    kept = met.where(F.col("gone").isNull() & F.col("text").isNotNull())
     place = ["file_name", "page_number", "column_index", "paragraph_in_column"]
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text", "cut", "fixes")))
     kind = "struct<text: string, tail: string, head: string>"
